@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, language_model, minhash, packing, quality
+from . import anomaly, contamination, html_main, language_model, line_dedup, minhash, packing, quality, suffixes, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def _id_mod(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    gone = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "n_lines", "n_removed", gone.alias("removed_lines"), F.md5("kept_text").alias("kept_md5"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_table(spark, sf_dir, "documents"), _id_mod(10) == 0)
 
@@ -26,12 +36,24 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.digest(unit_dedup.deduplicate(_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _id_mod(4) == 2
     scored = quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), ~held)
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= quality.CUT_SCORE).cast("int").alias("predicted"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.check(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": unit_dedup.ORACLE_SQL}

@@ -56,3 +56,9 @@ def components(edges: DataFrame) -> DataFrame:
         label = step.select("id", "component")
         if not step.filter("moved").limit(1).count():
             return label
+
+
+def without(df: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose key is not in `ids`; rows with a null key stay. The ids are counted, and broadcast if few."""
+    ids = cut(ids.select(on).distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_anti")
