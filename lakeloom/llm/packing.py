@@ -21,6 +21,8 @@ LENGTH = 4096
 END_ID = 2
 #: Documents of a group, about: its last bins stay open, so padding falls with the group's size.
 GROUP_DOCS = 2000
+CLOSING = np.isin(np.arange(256), list(b".,;:!?"))
+ALNUM = np.isin(np.arange(256), list(range(97, 123)) + list(range(48, 58)))
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,31 +49,74 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 class WordTokens:
-    """Ids of texts by a tokenizer that never joins characters over white space: each distinct
-    word is tokenised once for a batch, and the texts' ids are put together from them."""
+    """Ids of texts by a lower-casing tokenizer that never joins characters over white space, nor
+    letters and digits with the punctuation that follows them.
 
-    def __init__(self, path: str):
+    Words are cut before their closing ASCII punctuation, each distinct piece is tokenised once for a
+    task, and the texts' ids are put together from the pieces' ids. The pieces known are kept up to a
+    number, so memory is bounded.
+    """
+
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.keep = keep
+        # a piece of ASCII letters is one unit of the model, as checked here, and can go to it directly
+        self.direct = all(self.encode(x) == self.units(x) for x in ("a", "them", "ofthstthor", "xqzvwk"))
+        self.known, self.at, self.flat = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, piece: str) -> list[int]:
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def units(self, piece: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece)]
+
+    def learn(self, fresh: np.ndarray, texts: list[str]) -> None:
+        ids = [self.units(x) if self.direct and x.isascii() and x.isalpha() else self.encode(x) for x in texts]
+        size = np.concatenate([np.diff(self.at), np.fromiter(map(len, ids), np.int64, len(ids))])
+        flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.uint32)])
+        both = np.concatenate([self.known, fresh])
+        order = np.argsort(both, kind="stable")
+        starts = np.cumsum(size) - size
+        self.known, size = both[order], size[order]
+        self.at = np.concatenate([[0], np.cumsum(size)])
+        self.flat = flat[np.arange(self.at[-1]) + np.repeat(starts[order] - self.at[:-1], size)]
 
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        h, d, s, e = textkit.word_hashes(buf, off, lower=False)
         n = len(off) - 1
-        if not len(h):
+        buf = textkit.LOWER[buf]
+        s, e, d = textkit.words(buf, off)
+        if not len(s):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        known = [x.ids for x in self.tokenizer.encode_batch_fast([raw[s[i] : e[i]].decode("utf-8", "replace") for i in first], add_special_tokens=False)]
-        size = np.fromiter(map(len, known), np.int64, len(known))
-        at = np.concatenate([[0], np.cumsum(size)])
-        flat = np.fromiter((x for ids in known for x in ids), np.uint32, at[-1])
+        # the closing run of punctuation, if a letter or digit stands before it
+        plain = ~CLOSING[buf]
+        last = np.maximum.accumulate(np.where(plain, np.arange(len(buf)), -1))[e - 1]
+        cut = (last >= s) & (last < e - 1) & ALNUM[buf[np.maximum(last, 0)]]
+        mid = last[cut] + 1
+        place = np.arange(len(s)) + np.cumsum(cut) - cut
+        starts, ends, doc = (np.empty(len(s) + len(mid), np.int64) for _ in range(3))
+        starts[place], ends[place], doc[place] = s, e, d
+        ends[place[cut]] = mid
+        starts[place[cut] + 1], ends[place[cut] + 1], doc[place[cut] + 1] = mid, e[cut], d[cut]
+        h = textkit.hash_spans(textkit.prefix_hash(buf), starts, ends)
+        kinds, first, back = np.unique(h, return_index=True, return_inverse=True)
+        new = ~np.isin(kinds, self.known, assume_unique=True)
+        if len(self.known) + new.sum() > self.keep:
+            new[:] = True
+            self.known = self.known[:0]
+            self.at, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        if new.any():
+            raw = buf.tobytes()
+            self.learn(kinds[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
+        at = np.searchsorted(self.known, kinds)
+        size, begin = np.diff(self.at)[at], self.at[at]
         each = size[back]
-        ends = np.cumsum(each)
-        ids = flat[np.arange(ends[-1]) + np.repeat(at[back] - ends + each, each)]
-        return ids, np.bincount(d, weights=each, minlength=n).astype(np.int64)
+        total = np.cumsum(each)
+        ids = self.flat[np.arange(total[-1]) + np.repeat(begin[back] - total + each, each)]
+        return ids, np.bincount(doc, weights=each, minlength=n).astype(np.int64)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,7 +124,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
 
     def run(batches):
         encode = WordTokens(path)
-        for batch, buf, off in textkit.parts(batches):
+        for batch, buf, off in textkit.parts(batches, limit=4 << 20):
             ids, count = encode(buf, off)
             name, rows, lo = batch.column(0).to_pylist(), [], 0
             for x, n in zip(name, count.tolist()):
