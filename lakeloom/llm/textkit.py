@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text looked at together; a longer document is looked at alone.
-PART_BYTES = 4 << 20
+PART_BYTES = 1 << 20
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=U)
 _P = U(0x9E3779B97F4A7C15 | 1)
@@ -30,7 +30,7 @@ def _power(n: int, inverse: bool = False) -> np.ndarray:
     """Powers 0 .. n - 1 of the hash base, or of its inverse."""
     k = int(inverse)
     if len(_powers[k]) < n:
-        step = np.full(max(n, 1 << 20), _PINV if inverse else _P, U)
+        step = np.full(max(n, PART_BYTES + (PART_BYTES >> 2)), _PINV if inverse else _P, U)
         step[0] = 1
         _powers[k] = np.multiply.accumulate(step)
     return _powers[k][:n]
