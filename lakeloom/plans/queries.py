@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import clean_text, count_nulls, exact_sum, money, ratio, round_half_up, row_hash
+from ..functions import count_nulls, exact_sum, money, ratio, round_half_up, row_hash
 from ..operators import analytics, cleaning, data_quality, dimensions, facts, incremental, keys, layout, profiling, scd2
 from ..operators import relational as rel
 from ..sources import files, scratch
