@@ -2,8 +2,8 @@
 
 A line's set are its distinct words, ordered by rarity. If two sets are similar enough, they share a
 word within their prefixes, so only prefixes are dealt, by word. Within a word's lines, pairs must pass
-the length filter, the positional filter and a filter on 64-bit marks of the sets; what is left is
-verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
+the length filter, the positional filter and a filter on marks of the sets, 64 or 256 bits by their
+size; what is left is verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
 (doc_id, line number).
 
 Rarity is the count in a table of fixed size that words are hashed to. Any order that is the same
@@ -26,8 +26,10 @@ PERCENT = 80
 MIN_WORDS = 4
 #: Slots of the rarity table (4 bytes each are broadcast), and the parts it is summed in.
 SLOTS, RANGES = 1 << 20, 64
-#: Earlier lines that a line is verified with in the first round; those it leaves open get all.
-FIRST_ROUND = 4
+#: Earlier lines by word that a line is verified with in the first and second round; those then open get all.
+FIRST_ROUND, SECOND_ROUND = 4, 64
+#: Sets of more words have marks of 256 bits.
+FEW = 64
 BUCKET_BYTES = 24 << 20
 _NAME = np.uint64((1 << 40) - 1)
 
@@ -81,7 +83,9 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
     names = ["doc", "number", "set", "n", "first", "marks"]
     if not len(first):
         return {k: np.zeros(0, np.int64) for k in names} | {"words": g}
-    marks = np.bitwise_or.reduceat(np.uint64(1) << (textkit.mix(g) >> np.uint64(58)), first)
+    bit = textkit.mix(g) >> np.uint64(56)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    marks = np.stack([np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == np.uint64(k), one, np.uint64(0)), first) for k in range(4)], axis=1)
     sets = np.add.reduceat(textkit.mix(g + np.uint64(5)), first) + n.astype(np.uint64)
     keep = n >= least
     got = d[order[first]], number[order[first]], sets, n, first, marks
@@ -89,7 +93,8 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
 
 
 def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, buckets: int) -> DataFrame:
-    """(bucket, ids, cell): lines' prefixes by the bucket of their words; bucket -1 has every line (doc_id, number, set)."""
+    """(bucket, ids, cell, big): lines' prefixes by the bucket of their words, big for the longer marks; where big is null,
+    cell has all lines of some documents (document, number, set)."""
     known = docs.sparkSession.sparkContext.broadcast(count)
 
     def run(batches):
@@ -97,7 +102,8 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
             x = line_sets(buf, off, known.value, least)
             ids = batch.column(0).to_numpy().astype("<i8")
             low = np.uint64((1 << 32) - 1)
-            rows = [(-1, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low))]
+            folded = np.bitwise_or.reduce(x["marks"], axis=1) if len(x["n"]) else np.zeros(0, np.uint64)
+            rows = [(int(len(buf) + off[len(off) // 2]) % buckets, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None)]
             # equal sets of this part: the earliest stands for all
             order = np.lexsort((x["number"], ids[x["doc"]], x["set"]))
             k = order[np.flatnonzero(np.diff(x["set"][order], prepend=x["set"][order[:1]] ^ np.uint64(1)))] if len(order) else order
@@ -111,37 +117,62 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
             for b in np.flatnonzero(np.diff(edge)):
                 i = order[edge[b] : edge[b + 1]]
                 w = who[i]
-                rows.append((int(b), ids.tobytes(), _squeeze(x["doc"][w], x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, word[i] >> np.uint64(20) & _NAME, pos[i], x["n"][w], x["marks"][w] >> np.uint64(32), x["marks"][w] & low)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell"])
+                rows.append((int(b), ids.tobytes(), _squeeze(x["doc"][w], x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, word[i] >> np.uint64(20) & _NAME, pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, big binary")
 
 
 def _sets(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ((high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)).view(np.int64)
 
 
-def _lines(batches):
-    for batch in batches:
-        for ids, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            doc, number, high, low = _spread(cell, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ids, "<i8")[doc]), pa.array(number), pa.array(_sets(high, low))], ["doc_id", "pos", "line"])
+PAIR = ["a", "b", "na", "nb", "a_doc", "a_pos", "b_doc", "b_pos", "turn", "more"]
+ARROW = pa.schema([(c, pa.bool_() if c == "more" else pa.int64()) for c in PAIR])
 
 
 def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | None) -> DataFrame:
-    """(a, b, na, nb, a_doc, a_pos, b_doc, b_pos, more): pairs of sets, b the earlier, that pass the filters.
+    """(a, b, na, nb, a_doc, a_pos, b_doc, b_pos, turn, more): pairs of sets, b the earlier, that pass the filters; and, with
+    b null, every line (a_doc, a_pos) with its set a.
 
-    A set a gets its `most` earliest candidates of every word; more: it had others. only: the sets that are asked about, all if None.
+    A set a gets its `most` earliest candidates of every word, numbered by turn; more: it had others. only: the sets that are asked about, all if None.
     """
 
     def run(table):
-        cols, owners = [], []
-        for ids, cell in zip(table.column("ids").to_pylist(), table.column("cell").to_pylist()):
+        cols, owners, wide = [], [], []
+        lines: list[list[np.ndarray]] = [[], [], []]
+        for ids, cell, big in zip(*(table.column(c).to_pylist() for c in ("ids", "cell", "big"))):
+            ids = np.frombuffer(ids, "<i8")
+            if big is None:
+                doc, number, high, low = _spread(cell, 4)
+                for out, x in zip(lines, (_sets(high, low), ids[doc], number)):
+                    out.append(x)
+                continue
             x = _spread(cell, 9)
-            cols.append(x), owners.append(np.frombuffer(ids, "<i8")[x[0]])
+            w = np.zeros((len(x[0]), 4), np.uint64)
+            w[x[6] > FEW] = np.frombuffer(big, np.uint64).reshape(-1, 4)
+            cols.append(x), owners.append(ids[x[0]]), wide.append(w)
+        pairs = paired(cols, owners, wide) if cols else {c: np.zeros(0, np.int64) for c in PAIR}
+        if not lines[0] or only is not None:
+            return pa.table(pairs).cast(ARROW)
+        sets, docs, numbers = (np.concatenate(x) for x in lines)
+        none = pa.nulls(len(sets), pa.int64())
+        found = pa.table({"a": sets, "b": none, "na": none, "nb": none, "a_doc": docs, "a_pos": numbers, "b_doc": none, "b_pos": none, "turn": none, "more": pa.nulls(len(sets), pa.bool_())})
+        return pa.concat_tables([pa.table(pairs).cast(ARROW), found.cast(ARROW)])
+
+    def paired(cols, owners, wide):
         _, number, high, low, word, pos, n, mh, ml = (np.concatenate(x) for x in zip(*cols))
         owner, sets = np.concatenate(owners), _sets(high, low)
         marks = (mh.astype(np.uint64) << np.uint64(32)) | ml.astype(np.uint64)
+        # words that one line has are of no use; most are such
+        order = np.argsort(word)
+        alone = np.ones(len(order), bool)
+        same = word[order[1:]] == word[order[:-1]]
+        alone[1:] &= ~same
+        alone[:-1] &= ~same
+        keep = np.sort(order[~alone])
+        number, word, pos, n, marks, owner, sets = (x[keep] for x in (number, word, pos, n, marks, owner, sets))
+        wide = np.concatenate(wide)[keep]
         order = np.lexsort((number, owner, sets, word))
         new = np.ones(len(order), bool)
         new[1:] = np.diff(word[order]).astype(bool) | np.diff(sets[order]).astype(bool)
@@ -154,7 +185,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         order, w = order[keep], w[keep]
         start = np.flatnonzero(np.diff(w, prepend=-1))
         size = np.diff(np.append(start, len(w)))
-        n, pos, marks, sets, owner, number = (x[order] for x in (n, pos, marks, sets, owner, number))
+        n, pos, marks, wide, sets, owner, number = (x[order] for x in (n, pos, marks, wide, sets, owner, number))
         base = np.repeat(start, size)
         active = np.arange(len(w))
         if only is not None:
@@ -167,17 +198,25 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
             total = na + nb
             need = -(-percent * total // (100 + percent))
             ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pos[active], nb - pos[x]) >= need)
-            ok[ok] = np.bitwise_count(marks[active[ok]] ^ marks[x[ok]]) <= total[ok] - 2 * need[ok]
+            room = total - 2 * need  # what is in one set alone
+            ok[ok] = np.bitwise_count(marks[active[ok]] ^ marks[x[ok]]) <= room[ok]
+            far = np.flatnonzero(ok)[(na[ok] > FEW) & (nb[ok] > FEW)]
+            ok[far] = np.bitwise_count(wide[active[far]] ^ wide[x[far]]).sum(1, dtype=np.int64) <= room[far]
             a, b = active[ok], x[ok]
             hits[a] += 1
             full = hits[a] <= most
-            got.append((a[full], b[full]))
+            got.append((a[full], b[full], hits[a[full]]))
             j += 1
-        a, b = (np.concatenate(z) if got else np.zeros(0, np.int64) for z in (zip(*got) if got else ((), ())))
-        return pa.table({"a": sets[a], "b": sets[b], "na": n[a], "nb": n[b], "a_doc": owner[a], "a_pos": number[a], "b_doc": owner[b], "b_pos": number[b], "more": hits[a] > most})
+        a, b, turn = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
+        more = hits[a] > most
+        order = np.lexsort((turn, ~more, sets[b], sets[a]))  # a pair that several words show counts once
+        a, b, turn, more = a[order], b[order], turn[order], more[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (sets[a][1:] != sets[a][:-1]) | (sets[b][1:] != sets[b][:-1])
+        a, b, turn, more = a[new], b[new], turn[new], more[new]
+        return dict(zip(PAIR, (sets[a], sets[b], n[a], n[b], owner[a], number[a], owner[b], number[b], turn, more)))
 
-    schema = "a long, b long, na long, nb long, a_doc long, a_pos long, b_doc long, b_pos long, more boolean"
-    return dealt.groupBy("bucket").applyInArrow(run, schema)
+    return dealt.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in PAIR))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -199,30 +238,36 @@ def full_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     return near.select("doc_id", "text", "ask").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
+def verify(docs: DataFrame, asking: DataFrame, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(a, lines): the sets that are similar to an earlier one they are paired with, and their lines (doc_id, pos)."""
+    wanted = asking.select(F.col("a_doc").alias("doc_id"), F.col("a_pos").alias("pos")).union(asking.select("b_doc", "b_pos")).distinct()
+    items = store.cut(full_sets(docs, wanted, least))
+    near = overlap(asking.select("a", "b", "na", "nb").distinct(), items).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+    hit = store.cut(near.select("a").distinct())
+    where = asking.groupBy("a").agg(F.min(F.struct("a_doc", "a_pos")).alias("at"))
+    return hit, where.join(hit, "a").select(F.col("at.a_doc").alias("doc_id"), F.col("at.a_pos").alias("pos"))
+
+
 def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, gone): numbers of the lines that have a similar earlier line; docs: (doc_id, text)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = store.cut(prefixes(docs, rarity(docs), percent, least, max(1, size // bucket_bytes)))
-    lines = store.cut(dealt.filter("bucket = -1").select("ids", "cell").mapInArrow(_lines, "doc_id long, pos long, line long"))
+    dealt = prefixes(docs, rarity(docs), percent, least, max(1, size // bucket_bytes))
+    pairs = store.cut(candidates(dealt, percent, SECOND_ROUND, None))
+    lines = pairs.filter("b IS NULL").select(F.col("a_doc").alias("doc_id"), F.col("a_pos").alias("pos"), F.col("a").alias("line"))
+    pairs = pairs.filter("b IS NOT NULL")
     firsts = store.cut(lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first"))
     gone = lines.join(firsts, "line").filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
-    most, only = FIRST_ROUND, None
-    while True:
-        pairs = store.cut(candidates(dealt.filter("bucket >= 0"), percent, most, only))
-        wanted = pairs.select(F.col("a_doc").alias("doc_id"), F.col("a_pos").alias("pos")).union(pairs.select("b_doc", "b_pos")).distinct()
-        # a set's line differs by bucket if equal lines met in some buckets only; its id is the same
-        items = store.cut(full_sets(docs, wanted, least))
-        asked = pairs.select("a", "b", "na", "nb").distinct()
-        hit = overlap(asked, items).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a").distinct()
-        hit = store.cut(hit)
-        where = pairs.select("a", "a_doc", "a_pos").groupBy("a").agg(F.min(F.struct("a_doc", "a_pos")).alias("at"))
-        gone = gone.union(where.join(hit, "a").select("at.a_doc", "at.a_pos"))
+    hit, found = verify(docs, pairs.filter(F.col("turn") <= FIRST_ROUND), percent, least)
+    gone = gone.union(found)
+    pairs = store.cut(pairs.join(hit, "a", "left_anti"))  # of the lines that are open still
+    if not (asking := pairs.filter(F.col("turn") > FIRST_ROUND)).isEmpty():
+        hit, found = verify(docs, asking, percent, least)
+        gone = gone.union(found)
         open_ = store.cut(pairs.filter("more").select("a").distinct().join(hit, "a", "left_anti"))
-        if most > 1 << 40 or open_.isEmpty():
-            break
-        n = open_.count()
-        only = np.sort(np.fromiter((r[0] for r in open_.toLocalIterator()), np.int64, n)) if n <= store.BROADCAST_ROWS else None
-        most = 1 << 41
+        if n := open_.count():
+            only = np.sort(np.fromiter((r[0] for r in open_.toLocalIterator()), np.int64, n)) if n <= store.BROADCAST_ROWS else np.zeros(0, np.int64)
+            all_pairs = candidates(dealt, percent, 1 << 41, only if len(only) else None).filter("b IS NOT NULL")
+            gone = gone.union(verify(docs, store.cut(all_pairs.join(open_, "a", "left_semi")), percent, least)[1])
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
@@ -236,11 +281,11 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     """
     plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = store.cut(later_lines(plain, percent, least, bucket_bytes))
-    side = gone.select(F.col("doc_id").alias("_id"), "gone")
+    side = gone.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
     out = docs.join(F.broadcast(side) if gone.count() <= store.BROADCAST_ROWS else side, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    drop = F.coalesce("gone", F.array().cast("array<long>"))
+    drop = F.coalesce("_gone", F.array().cast("array<long>"))
     parts = F.split(text, "\n")
     kept = F.when(F.size(drop) > 0, F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i.cast("long"))), "\n")).otherwise(text)
     n = F.when(text == "", 0).otherwise(F.size(parts)).cast("long")
-    return out.withColumns({"n_lines": n, "n_removed": F.size(drop).cast("long"), "removed_lines": F.sort_array(drop), "kept_text": kept}).drop("gone")
+    return out.withColumns({"n_lines": n, "n_removed": F.size(drop).cast("long"), "removed_lines": F.sort_array(drop), "kept_text": kept}).drop("_gone")
