@@ -21,7 +21,9 @@ class EliasFano:
         n = len(x)
         top = int(x[-1]) + 1 if n else 1
         l = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = ((x[:, None] >> np.arange(l)) & 1).astype(np.uint8)
+        bits = np.empty((n, l), np.uint8)
+        for k in range(l):
+            bits[:, k] = (x >> k) & 1
         low = np.append(np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, np.uint8))
         size = n + (top >> l) + 2
         flags = np.zeros(-(-size // 64) * 64, np.uint8)

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from . import elias_fano, store, textkit
 
 #: Text bytes counted by one task, tokens scored by one shard, about; count from which a word is spread.
-BUCKET_BYTES, SHARD_TOKENS, HOT = 24 << 20, 2_000_000, 500_000
+BUCKET_BYTES, SHARD_TOKENS, HOT = 12 << 20, 1_500_000, 400_000
 DISCOUNT, ADD = 0.75, 0.1
 BOS, END = 0, 1  # numbers of the marks; words follow
 END_HASH = np.uint64(0x8000000000000001)
-_CODES = 65_000
+_CODES = 1_023  # steps that unigram probabilities are quantised to
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
@@ -44,18 +44,23 @@ def _spread(cell: bytes, k: int) -> list[np.ndarray]:
     return [out[i].reshape(-1).view("<i8") for i in range(k)]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows one at a time, so that one chunk's bytes are copied at once."""
+    for i in range(len(batch)):
+        yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns)}
+
+
 def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, ids, held, sizes, words, vocab): some MB of text each, every word a place in the chunk's own vocabulary."""
+    """(chunk, ids, held, sizes, words, vocab): some MB of text each, every word a place in the chunk's own vocabulary, which is sorted."""
 
     def run(batches):
-        for batch, buf, off in textkit.parts(batches):
+        for batch, buf, off in textkit.parts(batches, limit=4 << 20):
             h, d, _, _ = textkit.word_hashes(buf, off)
-            vocab, place = np.unique(np.where(h == END_HASH, h + np.uint64(1), h), return_inverse=True)
-            vocab = np.append(vocab, END_HASH)
+            vocab, place = np.unique(np.append(np.where(h == END_HASH, h + np.uint64(1), h), END_HASH), return_inverse=True)
             n = len(batch)
             size = np.bincount(d, minlength=n) + 1
-            tokens = np.full(size.sum(), len(vocab) - 1)
-            tokens[np.arange(len(d)) + d] = place
+            tokens = np.full(size.sum(), place[-1])
+            tokens[np.arange(len(d)) + d] = place[:-1]
             ids = batch.column(0)
             name = int(textkit.mix(np.array([hash((ids[0].as_py(), ids[-1].as_py(), n, len(buf))) & (2**64 - 1)], np.uint64) ^ (h.sum() if len(h) else np.uint64(0)))[0] >> np.uint64(1))
             row = [np.nan_to_num(ids.to_numpy(zero_copy_only=False)).astype("<i8").tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), size.astype("<i8").tobytes(), _squeeze(tokens), vocab.tobytes()]
@@ -65,49 +70,46 @@ def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
 
 
 def number_words(chunked: DataFrame, buckets: int) -> DataFrame:
-    """(chunk, bucket, count, number): of each vocabulary word in the bucket, in the chunk's order.
+    """(chunk, bucket, told): of each vocabulary word in the bucket, in the chunk's order, its count and its number.
 
-    count is how often training documents have the word. The rows of chunk -1 have each bucket's
-    [training tokens, distinct training words].
+    The count is how often training documents have the word. Buckets are ranges of the words' hashes. The
+    rows of chunk -1 have each bucket's training tokens and distinct training words.
     """
 
     def deal(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 vocab = np.frombuffer(row["vocab"], np.uint64)
                 (words,) = _spread(row["words"], 1)
                 train = np.repeat(np.frombuffer(row["held"], np.uint8) == 0, np.frombuffer(row["sizes"], "<i8"))
                 count = np.bincount(words[train], minlength=len(vocab))
-                where = (vocab % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                size = np.bincount(where, minlength=buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(buckets, row["chunk"])), pa.array(np.arange(buckets)), textkit.to_binary(vocab[order], size), textkit.to_binary(count[order].astype(np.uint32), size)], ["chunk", "bucket", "h", "n"])
+                edge = np.searchsorted((vocab >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1).astype(np.uint64))
+                full = np.flatnonzero(np.diff(edge))
+                cells = [vocab[edge[b] : edge[b + 1]].tobytes() for b in full], [_squeeze(count[edge[b] : edge[b + 1]]) for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), row["chunk"])), pa.array(full), *(pa.array(c, pa.binary()) for c in cells)], ["chunk", "bucket", "h", "n"])
 
     def count(table):
         b = table.column("bucket")[0].as_py()
         hs = [np.frombuffer(c.as_buffer(), np.uint64) for c in table.column("h")]
         h, back = np.unique(np.concatenate(hs), return_inverse=True)
         n = np.zeros(len(h), np.int64)
-        np.add.at(n, back, np.concatenate([np.frombuffer(c.as_buffer(), np.uint32) for c in table.column("n")]))
+        np.add.at(n, back, np.concatenate([_spread(c.as_py(), 1)[0] for c in table.column("n")]))
         number = np.empty(len(h), np.int64)
         number[np.lexsort((h, -n))] = np.arange(len(h)) * buckets + b + 2
         number[h == END_HASH] = END
-        size = np.fromiter(map(len, hs), np.int64, len(hs))
-        rows = [pa.concat_arrays([x, textkit.to_binary(y, [2])]) for x, y in ((textkit.to_binary(n[back].astype(np.int64), size), np.array([n.sum(), (n > 0).sum()])), (textkit.to_binary(number[back], size), np.zeros(2, np.int64)))]
-        return pa.table([pa.array([*table.column("chunk").to_pylist(), -1]), pa.array(np.full(len(hs) + 1, b)), *rows], ["chunk", "bucket", "count", "number"])
+        edge = np.cumsum([0, *map(len, hs)])
+        told = [_squeeze(n[back[i:j]], number[back[i:j]]) for i, j in zip(edge, edge[1:])]
+        told.append(_squeeze(np.array([n.sum() >> 32, n.sum() & (1 << 32) - 1, (n > 0).sum()])))
+        return pa.table([pa.array([*table.column("chunk").to_pylist(), -1]), pa.array(np.full(len(told), b)), pa.array(told, pa.binary())], ["chunk", "bucket", "told"])
 
     dealt = chunked.select("chunk", "held", "sizes", "words", "vocab").mapInArrow(deal, "chunk long, bucket long, h binary, n binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, count binary, number binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, told binary")
 
 
-def _read(row: dict, buckets: int) -> tuple:
+def _read(row: dict) -> tuple:
     """A numbered chunk's (ids, held, sizes, word place per token, count per place, number per place)."""
-    vocab = np.frombuffer(row["vocab"], np.uint64)
-    where = (vocab % np.uint64(buckets)).astype(np.int64)
-    count, number = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
-    for part in row["parts"]:
-        at = where == part["bucket"]
-        count[at], number[at] = np.frombuffer(part["count"], np.int64), np.frombuffer(part["number"], np.int64)
+    parts = sorted({p["bucket"]: p["told"] for p in row["parts"]}.items())
+    count, number = (np.concatenate(x) for x in zip(*(_spread(told, 2) for _, told in parts)))
     (words,) = _spread(row["words"], 1)
     return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], np.uint8), np.frombuffer(row["sizes"], "<i8"), words, count, number
 
@@ -127,8 +129,8 @@ def _hash(x: np.ndarray) -> np.ndarray:
     return (textkit.mix(x.astype(np.uint64) + np.uint64(77)) >> np.uint64(2)).astype(np.int64)
 
 
-def build(t3: np.ndarray, c3: np.ndarray, w: tuple[np.ndarray, np.ndarray, np.ndarray], u: np.ndarray, hot: tuple[np.ndarray, ...] | None) -> dict[str, np.ndarray]:
-    """The shard's trie. w: (w1, w0, w2) of each trigram type, by rising (w1, w0, w2); c3 > 0; u: log10 of w0's unigram probability.
+def build(c3: np.ndarray, w: tuple[np.ndarray, np.ndarray, np.ndarray], u: np.ndarray, hot: tuple[np.ndarray, ...] | None) -> dict[str, np.ndarray]:
+    """The shard's trie. w: (w1, w0, w2) of each trigram type, by rising (w1, w0, w2); c3: their counts, all above 0; u: log10 of w0's unigram probability.
 
     hot: (w1, w0, count, u) of all bigrams whose w1 is spread over shards, which stand in for sums over this shard.
     """
@@ -187,13 +189,13 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
     buckets = max(1, (size[0] or 0) // bucket_bytes)
     numbered = store.cut(number_words(chunked, buckets))
     n_train, n_kinds = 0, 0
-    for r in numbered.filter("chunk = -1").select("count").toLocalIterator():  # a row per bucket
-        a, b = np.frombuffer(r[0], np.int64)
-        n_train, n_kinds = n_train + int(a), n_kinds + int(b)
+    for r in numbered.filter("chunk = -1").select("told").toLocalIterator():  # a row per bucket
+        high, low, kinds = map(int, _spread(bytes(r[0]), 1)[0])
+        n_train, n_kinds = n_train + (high << 32) + low, n_kinds + kinds
     floor = ADD * (n_kinds + 1) + n_train
     low, high = np.log10(ADD / floor) if floor else 0.0, np.log10((n_train + ADD) / floor) if floor else 0.0
     shards = max(1, n_train // shard_tokens)
-    joined = chunked.join(numbered.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "count", "number")).alias("parts")), "chunk")
+    joined = chunked.drop("vocab").join(numbered.filter("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias("parts")), "chunk")
 
     def unigram(count: np.ndarray) -> np.ndarray:
         return np.log10((count + ADD) / floor) if floor else np.zeros(len(count))
@@ -217,8 +219,8 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
 
     def hot_bigrams(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in batch.to_pylist():
-                _, held_, sizes, words, count, number = _read(row, buckets)
+            for row in _rows(batch):
+                _, held_, sizes, words, count, number = _read(row)
                 w0, w1, _ = _grams(sizes, number, words)
                 many = mids(sizes, words, count, w1)
                 at = np.flatnonzero((many > 1) & np.repeat(held_ == 0, sizes))
@@ -254,8 +256,8 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, held_, sizes, words, count, number = _read(row, buckets)
+            for row in _rows(batch):
+                ids, held_, sizes, words, count, number = _read(row)
                 w0, w1, w2 = _grams(sizes, number, words)
                 many = mids(sizes, words, count, w1)
                 where = (_hash(w1) + np.where(many > 1, _hash(w2) % many, 0)) % shards
@@ -268,8 +270,12 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                 rows = []
                 for s in np.flatnonzero(np.diff(edge)):
                     k = order[edge[s] : edge[s + 1]]
-                    step = np.diff(w1[k], prepend=0)
-                    rows.append((int(s), 0, ids.tobytes(), _squeeze(step, w0[k], w2[k], codes[k], doc[k] * 2 + flag[k])))
+                    # sorted, so steps are small: of w1, and of w0 under one w1; a code stands where w0 changes
+                    a, b = np.diff(w1[k], prepend=0), w0[k].copy()
+                    b[1:] = np.where(a[1:] == 0, np.diff(w0[k]), w0[k][1:])
+                    new = (a != 0) | (b != 0)
+                    new[0] = True
+                    rows.append((int(s), 0, ids.tobytes(), _squeeze(a, b, np.where(new, codes[k], 0), w2[k], doc[k] * 2 + flag[k])))
                 place = row["chunk"] % shards
                 rows.append((place, 2, ids.tobytes(), base.astype("<f8").tobytes() + known.tobytes() + sizes.astype("<i8").tobytes() + held_.astype("<i8").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "kind", "ids", "cell"])
@@ -287,10 +293,16 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                 hot.append(_spread(cell, 4))
             else:
                 g = _spread(cell, 5)
-                # steps are below zero nowhere, as w1 rises within a cell
-                g[0] = np.cumsum(g[0])
+                a, b, code_ = g[0], g[1], g[2]
+                place = np.arange(len(a))
+                fresh = a != 0
+                fresh[0] = True
+                total = np.cumsum(b)
+                start = np.maximum.accumulate(np.where(fresh, place, 0))
+                last = np.maximum.accumulate(np.where(fresh | (b != 0), place, 0))
+                g[0], g[1], g[2], g[3] = np.cumsum(a), total - (total - b)[start], g[3], code_[last]
                 grams.append(g)
-                owners.append(ids[g[4] // 2])
+                owners.append(ids[g[4] >> 1])
         if grams:
             w1, w0, w2, codes, flag = (np.concatenate(x) for x in zip(*grams))
             owner, train = np.concatenate(owners), (flag & 1) == 0
@@ -311,7 +323,7 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                 a, b, n, cu = (np.concatenate(x) for x in zip(*hot))
                 here = np.isin(a, k1)
                 more = (a[here], b[here], n[here], decode(cu[here]))
-            trie = elias_fano.unpack(elias_fano.pack(build(seen, c[seen], (k1[seen], k0[seen], k2[seen]), u[seen], more)))
+            trie = elias_fano.unpack(elias_fano.pack(build(c[seen], (k1[seen], k0[seen], k2[seen]), u[seen], more)))
             logs = query(trie, k0, k1, k2, u)
             who, at = np.unique(owner, return_inverse=True)
             sums = np.bincount(at, weights=logs[kind_of], minlength=len(who))
