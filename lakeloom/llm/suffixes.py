@@ -28,7 +28,7 @@ LENGTH = 100
 COVER, V = np.array([0, 1, 3, 13, 32, 36, 43, 52]), 57
 SEED_BYTES = 8
 #: Text bytes whose samples, or sorted suffixes, one task holds at once, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 _NAME = np.uint64((1 << 40) - 1)
 
 
@@ -77,7 +77,9 @@ def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([len(ids).to_bytes(8, "little") + r[1] for r in rows], pa.binary())], ["bucket", "id", "cell"])
 
     def rank(table):
-        known = table.filter(table.column("id").is_valid()).select(["id", "cell"]).rename_columns(["id", "names"])
+        known = table.filter(table.column("id").is_valid())
+        names = [np.frombuffer(c.as_buffer(), np.uint64) for c in known.column("cell")]
+        ids = [np.full(len(x), i, np.int64) for i, x in zip(known.column("id").to_pylist(), names)]
         name, owner, several = [], [], []
         for cell in table.filter(table.column("id").is_null()).column("cell"):
             cell = cell.as_py()
@@ -86,24 +88,35 @@ def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             name.append(np.cumsum(step))
             owner.append(np.frombuffer(cell, "<i8", n, 8)[doc // 2])
             several.append(doc & 1)
-        if not name:
-            return known
-        name, owner, several = np.concatenate(name), np.concatenate(owner), np.concatenate(several)
-        order = np.argsort(name)
-        name, owner, several = name[order], owner[order], several[order]
-        same = name[1:] == name[:-1]
-        tied = np.zeros(len(name), bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        k = np.flatnonzero(tied & (several == 0))
-        k = k[np.argsort(owner[k], kind="stable")]
-        who, start = np.unique(owner[k], return_index=True)
-        # a bucket is told names by their middle bits; as a set of these they go back
-        cells = textkit.to_binary(name[k].astype(np.uint64) | np.uint64(1 << 63), np.diff(np.append(start, len(k))))
-        return pa.concat_tables([known, pa.table({"id": who, "names": cells})])
+        if name:
+            name, owner, several = np.concatenate(name), np.concatenate(owner), np.concatenate(several)
+            order = np.argsort(name)
+            name, owner, several = name[order], owner[order], several[order]
+            same = name[1:] == name[:-1]
+            tied = np.zeros(len(name), bool)
+            tied[1:] |= same
+            tied[:-1] |= same
+            k = tied & (several == 0)
+            # a bucket is told names by their middle bits; as a set of these they go back
+            names.append(name[k].astype(np.uint64) | np.uint64(1 << 63))
+            ids.append(owner[k])
+        ids, names = np.concatenate(ids), np.concatenate(names)
+        where = ids % groups
+        order = np.argsort(where, kind="stable")
+        size = np.bincount(where, minlength=groups)
+        full = np.flatnonzero(size)
+        return pa.table({"grp": full, "ids": textkit.to_binary(ids[order], size[full]), "names": textkit.to_binary(names[order], size[full])})
+
+    def by_text(table):
+        ids, names = (np.concatenate([np.frombuffer(c.as_buffer(), t) for c in table.column(k)]) for k, t in (("ids", np.int64), ("names", np.uint64)))
+        order = np.argsort(ids, kind="stable")
+        who, start = np.unique(ids[order], return_index=True)
+        return pa.table({"id": who, "names": textkit.to_binary(names[order], np.diff(np.append(start, len(ids))))})
 
+    groups = max(1, buckets // 16)
     dealt = texts.mapInArrow(deal, "bucket long, id long, cell binary")
-    return dealt.groupBy("bucket").applyInArrow(rank, "id long, names binary")
+    ranked = dealt.groupBy("bucket").applyInArrow(rank, "grp long, ids binary, names binary")
+    return ranked.groupBy("grp").applyInArrow(by_text, "id long, names binary")
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -128,7 +141,7 @@ def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             edge = np.searchsorted(doc, np.arange(len(ids) + 1))
             for i, cells in enumerate(batch.column(2).to_pylist()):
                 k = slice(edge[i], edge[i + 1])
-                got = np.frombuffer(b"".join(cells), np.uint64)
+                got = np.frombuffer(cells, np.uint64)
                 short = got[got >> np.uint64(63) == 1] & np.uint64((1 << 63) - 1)
                 tied[k] = np.isin(name[k], got) | np.isin(name[k] >> np.uint64(20) & _NAME, short)
             # suffixes that reach a tied sample within V bytes
@@ -237,7 +250,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
     single = single.join(F.broadcast(copies) if n_copies <= store.BROADCAST_ROWS else copies, "id", "left_anti")
     if seen[0] != seen[1]:
         single = single.dropDuplicates(["id"])
-    tied = store.cut(tied_samples(single, length, buckets).groupBy("id").agg(F.collect_list("names").alias("names")))
+    tied = store.cut(tied_samples(single, length, buckets))
     near = store.semi(single, tied.select("id"), "id", tied.count()).join(tied, "id").select("id", "text", "names")
     later = store.cut(later_runs(near, length, buckets).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
 
