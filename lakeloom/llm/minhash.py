@@ -5,12 +5,13 @@ two minhashes. A table key is a pair (key of the first collection, key of the se
 keys stand for m * m tables and only 4 m minhashes are computed. Documents that share a table key
 are candidates; candidates are verified on their full shingle sets.
 
-Big buckets never yield all their pairs. In every bucket all documents are compared with one
-pivot, the smallest id. Let d be the Jaccard distance, a metric, and r = 1 - threshold. Two linked
-documents are at most r apart, so a document that the pivot rejects can be linked with one that it
-accepts only if it is at most 2 r from the pivot, and their distances to the pivot differ by at most r:
-just these pairs are compared as well. What the pivot rejects forms the bucket of the next
-round. So links are lost neither within nor across buckets, and copies cost one comparison each.
+Big buckets never yield all their pairs. All documents of a bucket are compared with one pivot, the
+one with the smallest share of shingles that no other document has; most links show there, and
+copies cost one comparison each. A document x differs from its pivot p by what it lost of p and what it
+has besides. Since |x & y| = |p| - lost(x) - lost(y) + |diff(x) & diff(y)|, a document that the pivot
+rejects is linked with another of its bucket only if their differences share so many items. These are
+found by a prefix filter over the rarest items of the differences, and verified on the full sets.
+So no link is lost within a bucket.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from . import store, textkit
 
 WORDS = 5
 PERCENT = 75
+#: Bytes of shingle hashes that one task counts at once, about.
+BUCKET_BYTES = 24 << 20
+#: Slots of the table of counts, up to 65,535, that orders items by rarity; 2 bytes each are broadcast.
+SLOTS, SHIFT = 1 << 22, np.uint64(42)
 #: Keys in each of the two collections: at similarity 0.75 a linked pair shares no table with
 #: probability 2 * (1 - 0.75 ** 2) ** 14 = 2e-5, at 0.85 with 2e-8.
 KEYS = 14
@@ -88,6 +93,47 @@ def table_keys(signed: DataFrame, keys: int = KEYS) -> DataFrame:
     return rows.join(several, "key")
 
 
+def alone(items: DataFrame, buckets: int) -> DataFrame:
+    """(doc, alone): how many of a document's shingles no other document of `items` has.
+
+    Shingles are dealt by their hash. A task sends each shingle once, with its document if the task
+    knows no other, so a shingle that very many documents share takes a row per task at most.
+    """
+
+    def deal(batches):
+        for batch in batches:
+            cells = batch.column(1)
+            count = np.array([len(c.as_buffer()) // 8 if c.is_valid else 0 for c in cells])
+            h = np.concatenate([np.frombuffer(c.as_buffer(), np.uint64) for c in cells] or [np.zeros(0, np.uint64)])
+            doc = np.repeat(batch.column(0).to_numpy(), count)
+            h, first, n = np.unique(h, return_index=True, return_counts=True)
+            doc, where = doc[first], (h % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            size = np.bincount(where, minlength=buckets)
+            cell = [textkit.to_binary(x[order], size) for x in (h, doc, n > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *cell], ["bucket", "h", "doc", "several"])
+
+    def count(table):
+        h, doc, several = (np.concatenate([np.frombuffer(c.as_buffer(), t) for c in table.column(k)] or [np.zeros(0, t)]) for k, t in (("h", np.uint64), ("doc", np.int64), ("several", bool)))
+        _, back, n = np.unique(h, return_inverse=True, return_counts=True)
+        who, times = np.unique(doc[(n[back] == 1) & ~several], return_counts=True)
+        return pa.table({"doc": who, "alone": times})
+
+    dealt = items.select("id", "items").mapInArrow(deal, "bucket long, h binary, doc binary, several binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "doc long, alone long").groupBy("doc").agg(F.sum("alone").alias("alone"))
+
+
+def feasible(members: DataFrame, percent: int) -> DataFrame:
+    """Members (key, doc, n, s) that some other member of the bucket can be similar to.
+
+    s counts the shingles that any other document has, so two documents have at most min(s, s') in
+    common. With that, x needs a partner of at most 100 s / percent + s - n shingles.
+    """
+    least = members.groupBy("key").agg(F.min("n").alias("least"), F.count("*").alias("c"))
+    room = 100 * F.col("s") / percent + F.col("s") - F.col("n")
+    return members.join(least, "key").filter((F.col("c") > 1) & (F.col("least") <= room + 1e-6)).select("key", "doc", "n", "s")
+
+
 def overlap(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Adds `common`, the number of items that the sets of a and b share, to rows (a, b, ...)."""
 
@@ -110,35 +156,96 @@ def overlap(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return both.select(*names, "ia", "ib").mapInArrow(run, schema)
 
 
+def differences(pairs: DataFrame, items: DataFrame) -> DataFrame:
+    """Adds `diff` to rows (a, b, ...): the hashes that just one of the sets has, each named with b, in one binary cell."""
+    names = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            pivots = textkit.mix(batch.column(names.index("b")).to_numpy().astype(np.uint64))
+            sides = zip(batch.column(len(names)), batch.column(len(names) + 1), pivots)
+            cells = [textkit.mix(np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True) ^ p).tobytes() for x, y, p in sides]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(cells, pa.binary())], [*names, "diff"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", diff binary"
+    both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
+    return both.select(*names, "ia", "ib").mapInArrow(run, schema)
+
+
+def slot_counts(table: DataFrame, cell: str) -> np.ndarray:
+    """How often the hashes in a binary column fall into each of SLOTS slots; of a fixed size at the driver."""
+
+    def tally(batches):
+        total = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            slot, n = np.unique(h >> SHIFT, return_counts=True)
+            total[slot.astype(np.int64)] += n.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(16)), pa.array([pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in total.reshape(16, -1)], pa.binary())], ["part", "cell"])
+
+    def add(group):
+        return pa.table({"part": group.column("part")[:1], "cell": pa.array([np.minimum(sum(np.frombuffer(pa.decompress(c.as_py(), SLOTS // 4, codec="zstd", asbytes=True), np.uint32) for c in group.column("cell")), 65535).astype(np.uint16).tobytes()], pa.binary())})
+
+    out = np.zeros((16, SLOTS // 16), np.uint16)
+    for r in table.select(cell).mapInArrow(tally, "part long, cell binary").groupBy("part").applyInArrow(add, "part long, cell binary").collect():
+        out[r["part"]] = np.frombuffer(r["cell"], np.uint16)
+    return out.ravel()
+
+
+def rare_differences(rows: DataFrame) -> DataFrame:
+    """(item, doc, n, open) from rows (a, b, na, open, least, diff): what of a's difference from its pivot b can be the
+    rarest of `least` shared ones. One that is alone in its slot is in no other row, and left out."""
+    count = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, "diff"))
+
+    def run(batches):
+        for batch in batches:
+            for a, n, open_, least, cell in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(cell, np.uint64)
+                if len(h) < least:
+                    continue
+                times = count.value[(h >> SHIFT).astype(np.int64)]
+                order = np.lexsort((h, times))[: len(h) - least + 1]
+                h = h[order[times[order] > 1]]
+                k = len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, a)), pa.array(np.full(k, n)), pa.array(np.full(k, open_))], ["item", "doc", "n", "open"])
+
+    return rows.select("a", "na", "open", "least", "diff").mapInArrow(run, "item long, doc long, n long, open boolean")
+
+
 def bucket_links(members: DataFrame, sizes: DataFrame, items_of: Callable[[DataFrame, int], DataFrame], percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect whatever similar documents share a bucket.
 
     members: (key, doc); sizes: (doc, n), the set sizes; items_of(ids, n_ids) gives (id, items).
     The links need not list every similar pair, but join the same documents to components.
     """
-    r = (100 - percent) / 100
-    members = store.cut(members.join(sizes, "doc"))
     ids = members.select(F.col("doc").alias("id")).distinct()
     items = store.cut(items_of(ids, ids.count()))
-    links = None
-    while not members.isEmpty():
-        pivots = members.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("p"))
-        star = store.cut(members.join(pivots, "key").filter("doc <> p.doc").select("key", "doc", "n", F.col("p.doc").alias("pivot"), F.col("p.n").alias("pn")))
-        # sizes alone show that the others are more than 2 r from the pivot
-        asked = star.filter(F.least("n", "pn") >= (1 - 2 * r) * F.greatest("n", "pn")).select(F.col("doc").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("pn").alias("nb")).distinct()
-        seen = store.cut(overlap(asked, items).select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"), (100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).alias("linked")))
-        judged = store.cut(star.join(seen.select(F.col("a").alias("doc"), F.col("b").alias("pivot"), "d", "linked"), ["doc", "pivot"], "left").select("key", "doc", "n", "pivot", F.coalesce("d", F.lit(1.0)).alias("d"), F.coalesce("linked", F.lit(False)).alias("linked")))
-        fringe = judged.filter(~F.col("linked") & (F.col("d") <= 2 * r + 1e-9)).select("key", F.col("doc").alias("a"), F.col("d").alias("da"), F.col("n").alias("na"))
-        # a bucket's pivot is fixed, so (a, b, pivot) repeats over buckets only by the key
-        ring = judged.filter("linked").join(fringe.select("key").distinct(), "key", "left_semi").select("key", F.col("doc").alias("b"), F.col("d").alias("db"), F.col("n").alias("nb"))
-        more = fringe.join(ring, "key").filter((F.col("da") - F.col("db") <= r + 1e-9) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-        across = overlap(more, items).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
-        found = store.cut(seen.filter("linked").select("a", "b").union(across))
-        links = found if links is None else links.union(found)
-        rest = judged.filter(~F.col("linked")).select("key", "doc", "n")
-        left = rest.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-        members = store.cut(rest.join(left, "key"))
-    return links if links is not None else members.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
+    total = items.agg(F.sum(F.length("items"))).first()[0] or 0
+    shared = sizes.join(alone(items, max(1, total // BUCKET_BYTES)), "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
+    members = store.cut(feasible(members.join(shared, "doc"), percent))
+    pivots = members.groupBy("key").agg(F.min_by(F.struct("doc", "n"), F.struct(-F.col("s") / F.col("n"), "doc")).alias("p"))
+    star = members.join(pivots, "key").filter("doc <> p.doc").select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).distinct()
+    union = F.col("na") + F.col("nb") - F.col("common")
+    far = F.col("nb") - F.col("common") + percent * F.col("na") / (100 + percent)
+    seen = store.cut(overlap(star, items).withColumns({"linked": 100 * F.col("common") >= percent * union, "far": far}))
+    stars = seen.filter("linked").select("a", "b")
+    # with x, y and their pivot p: |x & y| = |p| - lost(x) - lost(y) + |diff(x) & diff(y)|
+    # what most of a bucket shares against its pivot, the nearest of those linked with the pivot shares as well:
+    # those that the pivot rejects are compared with that one, too, before the join over differences
+    best = seen.filter("linked").groupBy("b").agg(F.min_by(F.struct("a", "na"), F.struct("far", "a")).alias("best"))
+    left = seen.filter(~F.col("linked")).join(best, "b", "left")
+    asked = left.filter("best IS NOT NULL").select("a", F.col("best.a").alias("b"), "na", F.col("best.na").alias("nb"), F.col("b").alias("pivot"))
+    direct = store.cut(overlap(asked, items).filter(100 * F.col("common") >= percent * union).select("a", "b", "pivot"))
+    open_ = store.cut(left.select("a", "b", "far").join(direct.select("a", F.col("pivot").alias("b")), ["a", "b"], "left_anti"))
+    bounds = open_.groupBy("b").agg(F.min("far").alias("least_open")).join(seen.groupBy("b").agg(F.min("far").alias("least_all"), F.count("*").alias("c")), "b").filter("c > 1")
+    rows = seen.join(bounds, "b").join(open_.select("a", "b", F.lit(True).alias("open")), ["a", "b"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    least = F.ceil(F.col("far") + F.when(F.col("open"), F.col("least_all")).otherwise(F.col("least_open")) - F.col("nb") - 1e-6)
+    rows = store.cut(differences(rows.select("a", "b", "na", "open", F.greatest(least, F.lit(1)).cast("long").alias("least")), items))
+    rare = store.cut(rare_differences(rows))
+    x, y = rare.select("item", F.col("doc").alias("b"), F.col("n").alias("nb")), rare.filter("open").select("item", F.col("doc").alias("a"), F.col("n").alias("na"))
+    maybe = y.join(x, "item").filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
+    across = overlap(maybe, items).filter(100 * F.col("common") >= percent * union).select("a", "b")
+    return store.cut(stars.union(direct.select("a", "b")).union(across))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,3 +269,29 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     out = signed.select("doc_id", *same).join(named, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+
+
+#: DuckDB SQL for the registered query: every pair that shares a shingle, and all ids reachable over links.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM p
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), c AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT doc_id AS id, doc_id AS other FROM documents UNION SELECT id, b FROM r JOIN e ON other = a
+), m AS (
+  SELECT id, min(other) AS component_id FROM r GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN m ON doc_id = id
+"""

@@ -69,4 +69,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_dedup": unit_dedup.ORACLE_SQL}
+    return {"op4_minhash_dedup": minhash.ORACLE_SQL, "op6_substring_dedup": unit_dedup.ORACLE_SQL}
