@@ -56,6 +56,7 @@ def test_components_are_the_smallest_ids_reachable(spark):
 @pytest.mark.parametrize("first", [4, 1])
 def test_line_dedup_equals_brute_force(frame, corpus, first, monkeypatch):
     monkeypatch.setattr(line_dedup, "FIRST_ROUND", first)
+    monkeypatch.setattr(line_dedup, "SECOND_ROUND", 2 * first)
     want = brute.later_lines(corpus)
     rows = line_dedup.deduplicate(frame(corpus), bucket_bytes=1 << 12).collect()
     assert {r["doc_id"]: r["removed_lines"] for r in rows} == {i: want[i] for i, _ in corpus}
@@ -191,7 +192,7 @@ def test_scores_equal_brute_force(frame, corpus, sizes):
     for r in rows:
         tokens, known, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, held(r["doc_id"]))
-        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 1e-3 * tokens
+        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 4e-3 * tokens
 
 
 def test_scores_of_nothing_and_without_training_rows(spark, frame):

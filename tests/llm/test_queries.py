@@ -1,7 +1,11 @@
 import pytest
 
+public_tokenizers = pytest.importorskip("public_tokenizers")
+from tokenizers import Tokenizer  # noqa: E402
+
 import corpus_pipeline
 from lakeloom.llm import queries
+from tests.llm import brute
 from tests.compare import assert_same, connect
 
 COLUMNS = {
@@ -32,8 +36,28 @@ def test_queries_return_their_columns_for_every_row(spark, sf_dir):
             assert df.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    """All stages by plain code, but for the fitted scores, which are the classifier's own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).select("doc_id", "text").collect()
+    later = brute.later_lines([(r[0], r[1]) for r in good])
+    texts = {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in later[r[0]]) for r in good}
+    texts = {i: t for i, t in texts.items() if not later[i] or brute.words(t)}
+    linked = brute.components(list(texts.items()))
+    texts = {i: t for i, t in texts.items() if linked[i][1] == i}
+    items = [r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
+    grams = lambda t: {tuple(brute.words(t)[k : k + 5]) for k in range(len(brute.words(t)) - 4)}
+    known = [(grams(x), x) for x in items]
+    texts = {i: t for i, t in texts.items() if not any(g & grams(t) and brute.tile_coverage(t, x) >= 0.5 for g, x in known)}
+    encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    encode.encode_special_tokens = True
+    want = {i: len(encode.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == want
+    assert sum(r["length"] for r in rows) == sum(want.values())
+
+
 def test_pipeline_stages_pass_documents_on(spark, sf_dir):
-    """Each stage's decisions, recomputed from its operator's rows on the same input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
