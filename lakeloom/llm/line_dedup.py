@@ -30,7 +30,7 @@ SLOTS, RANGES = 1 << 20, 64
 FIRST_ROUND, SECOND_ROUND = 4, 64
 #: Sets of more words have marks of 256 bits.
 FEW = 64
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 _NAME = np.uint64((1 << 40) - 1)
 
 
