@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Units with fewer words always stay: such short ones recur by chance.
-MIN_WORDS = 4
+#: By default, units with fewer words always stay. The registered query asks for EVERY: each unit with a word.
+MIN_WORDS, EVERY = 4, 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,6 +30,7 @@ def later_units(docs: DataFrame, separator: str, min_words: int) -> DataFrame:
 def deduplicate(docs: DataFrame, separator: str = "\n", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_units, n_removed, removed_spans, kept_text), one row per row of docs with an id.
 
+    Units of fewer than `min_words` words stay; with EVERY, only those without a word.
     Units are what the literal `separator` parts, lines by default ("\\n\\n": paragraphs). removed_spans
     are the removed units' places in the original text, "start-end" in characters, joined by commas.
     Null and empty texts have no units. Rows that repeat an id and text are the same document: a unit

@@ -24,6 +24,21 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name])
 
 
+def test_units_of_any_length_go_where_they_stand_earlier(spark, sf_dir):
+    """Also lines of fewer than 4 words and long ones without white space."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    seen, want, short = set(), {}, 0
+    for i, t in sorted((r[0], r[1] or "") for r in texts):
+        want[i] = 0
+        for unit in t.split("\n"):
+            norm = tuple(brute.words(unit))
+            want[i] += bool(norm) and norm in seen
+            short += 0 < len(norm) < 4 and norm in seen
+            seen.add(norm)
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op6_substring_dedup(spark, sf_dir).collect()}
+    assert short and got == want
+
+
 def test_queries_return_their_columns_for_every_row(spark, sf_dir):
     found = queries.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []
