@@ -1,7 +1,8 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line's set are its distinct words, ordered by rarity. If two sets are similar enough, they share a
-word within their prefixes, so only prefixes are dealt, by word. Within a word's lines, pairs must pass
+word within their prefixes, so only prefixes are dealt, by word; sets so small that only equal ones are
+similar deal none. Within a word's lines, pairs must pass
 the length filter, the positional filter and a filter on marks of the sets, 64 or 256 bits by their
 size; what is left is verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
 (doc_id, line number).
@@ -23,7 +24,8 @@ from .language_model import _spread, _squeeze
 from .minhash import overlap
 
 PERCENT = 80
-MIN_WORDS = 4
+#: By default, lines with fewer distinct words always stay. The registered query and the pipeline ask for EVERY: each line with a word.
+MIN_WORDS, EVERY = 4, 1
 #: Slots of the rarity table (4 bytes each are broadcast), and the parts it is summed in.
 SLOTS, RANGES = 1 << 20, 64
 #: Earlier lines by word that a line is verified with in the first and second round; those then open get all.
@@ -107,6 +109,7 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
             # equal sets of this part: the earliest stands for all
             order = np.lexsort((x["number"], ids[x["doc"]], x["set"]))
             k = order[np.flatnonzero(np.diff(x["set"][order], prepend=x["set"][order[:1]] ^ np.uint64(1)))] if len(order) else order
+            k = k[100 * x["n"][k] >= percent * (x["n"][k] + 1)]  # smaller sets are similar to equal ones only, which need no prefix
             size = x["n"][k] - -(-percent * x["n"][k] // 100) + 1
             who = np.repeat(k, size)
             pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -274,7 +277,8 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
 def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the columns n_lines, n_removed, removed_lines (numbers from 0) and kept_text added.
 
-    Lines are parted by \\n; lines of fewer than `least` distinct words always stay. Words have A-Z
+    Lines are parted by \\n; lines of fewer than `least` distinct words always stay, with EVERY only those
+    without a word. Words have A-Z
     lower-cased. Two lines are similar if 100 * |A & B| >= percent * |A | B|. Null and empty texts have
     no lines. Rows that repeat an id and text get the same result; rows with a null id keep their text whole
     and remove nothing. Other columns pass through.

@@ -23,7 +23,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents"))
+    out = line_dedup.deduplicate(_table(spark, sf_dir, "documents"), least=line_dedup.EVERY)
     gone = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
     return out.select("doc_id", "n_lines", "n_removed", gone.alias("removed_lines"), F.md5("kept_text").alias("kept_md5"))
 

@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that are similar to an earlier line; documents that only had such lines go."""
-    out = line_dedup.deduplicate(docs).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    out = line_dedup.deduplicate(docs, least=line_dedup.EVERY).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumns({"text": F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}).select(docs.columns)
 
 

@@ -66,6 +66,15 @@ def test_line_dedup_equals_brute_force(frame, corpus, first, monkeypatch):
         assert r["kept_text"] == "\n".join(left)
 
 
+def test_line_dedup_of_short_lines_equals_brute_force(frame, corpus):
+    long = "https://example.org/" + "x" * 200
+    docs = corpus + [(300 + k, "\n".join(x)) for k, x in enumerate([["a", "b A", "a b c", long], ["A a", "c b a", "a b d", "a b"], [long, "é", "x y z w", "w z y"], ["é", "x y z w v", "Y z w"]])]
+    want = brute.later_lines(docs, least=1)
+    assert sum(map(len, want.values())) > sum(map(len, brute.later_lines(docs).values()))
+    rows = line_dedup.deduplicate(frame(docs), least=line_dedup.EVERY, bucket_bytes=1 << 12).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in rows} == {i: want[i] for i, _ in docs}
+
+
 def test_line_dedup_of_nothing_and_of_repeated_rows(spark, frame):
     assert line_dedup.deduplicate(empty(spark)).count() == 0
     out = line_dedup.deduplicate(frame([(1, "a b c d\na b c d"), (1, "a b c d\na b c d"), (None, "a b c d")]))

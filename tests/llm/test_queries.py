@@ -4,7 +4,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
 import corpus_pipeline
-from lakeloom.llm import queries
+from lakeloom.llm import queries, stages
 from tests.llm import brute
 from tests.compare import assert_same, connect
 
@@ -39,6 +39,21 @@ def test_units_of_any_length_go_where_they_stand_earlier(spark, sf_dir):
     assert short and got == want
 
 
+def test_lines_of_any_length_go_in_the_query_and_the_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen, later = set(), set()
+    for i, t in sorted((r[0], r[1] or "") for r in docs.select("doc_id", "text").collect()):
+        for k, line in enumerate(t.split("\n")):
+            words = frozenset(brute.words(line))
+            later |= {(i, k)} if 0 < len(words) < 4 and words in seen else set()
+            seen.add(words)
+    got = {r["doc_id"]: {int(k) for k in r["removed_lines"].split(",") if k} for r in queries.op2_line_dedup(spark, sf_dir).collect()}
+    assert later and all(k in got[i] for i, k in later)
+    texts = [r["text"] for r in stages.drop_lines(spark, docs, sf_dir).collect()]
+    short = [w for t in texts for line in t.split("\n") if 0 < len(w := frozenset(brute.words(line))) < 4]
+    assert len(short) == len(set(short))
+
+
 def test_queries_return_their_columns_for_every_row(spark, sf_dir):
     found = queries.queries()
     assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []
