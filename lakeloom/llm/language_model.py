@@ -211,10 +211,10 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
         return np.minimum(np.maximum(count // hot_count, 1), shards)
 
     def mids(sizes: np.ndarray, words: np.ndarray, count: np.ndarray, w1: np.ndarray) -> np.ndarray:
-        """spans() of each token's w1; BOS is as frequent as END."""
+        """spans() of each token's w1; BOS is as frequent as END, the last token of every chunk."""
         of = spans(count)
         out = np.concatenate([[1], of[words][:-1]])
-        out[w1 == BOS] = of[-1]
+        out[w1 == BOS] = of[words[-1]]
         return out
 
     def hot_bigrams(batches: Iterator[pa.RecordBatch]):

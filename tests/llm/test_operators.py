@@ -3,10 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.llm import anomaly, contamination, elias_fano, html_main, language_model, line_dedup, minhash, packing, quality, stats, store, suffixes, unit_dedup
+from lakeloom.llm import anomaly, contamination, elias_fano, html_main, language_model, line_dedup, minhash, packing, quality, stats, store, suffixes, textkit, unit_dedup
 from tests.llm import brute
 from tests.llm.conftest import SCHEMA
 
@@ -204,6 +205,21 @@ def test_scores_equal_brute_force(frame, corpus, sizes):
         assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 4e-3 * tokens
 
 
+def test_chunks_agree_where_the_first_words_go(spark):
+    """The word with a chunk's largest hash is frequent in one chunk, rare in the others."""
+    names = [f"v{i}" for i in range(200)]
+    h = textkit.word_hashes(*textkit.flat(pa.array([" ".join(names)])))[0]
+    names = [names[i] for i in np.argsort(h)]
+    rng = np.random.default_rng(5)
+    texts = [[(100 * c + k, " ".join([names[k % 3 + 2 * c], *rng.choice(names[c : c + 20], 8), *(more if k == 0 or c == 0 else [])])) for k in range(40)] for c, more in enumerate([[names[-1]] * 6, [names[-2]], [names[-3]]])]
+    docs = [x for t in texts for x in t]
+    n, want = brute_scores(docs, lambda i: False)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 3), "doc_id long, text string")
+    rows = language_model.score(df, F.lit(False), shard_tokens=100, hot_count=20).collect()
+    assert len(rows) == len(docs)
+    assert max(abs(r["score"] - want[r["doc_id"]][3]) / r["n_tokens"] for r in rows) < 4e-3
+
+
 def test_scores_of_nothing_and_without_training_rows(spark, frame):
     assert language_model.score(empty(spark), F.lit(False)).count() == 0
     assert [(r["n_known"], r["score"]) for r in language_model.score(frame([(1, "a b")]), F.lit(True)).collect()] == [(0, 0.0)]
