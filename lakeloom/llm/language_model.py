@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ BUCKET_BYTES, SHARD_TOKENS, HOT = 12 << 20, 1_500_000, 400_000
 DISCOUNT, ADD = 0.75, 0.1
 BOS, END = 0, 1  # numbers of the marks; words follow
 END_HASH = np.uint64(0x8000000000000001)
+#: What a shard tells of a row, by its chunk and place there; named: doc_id is told and not null.
+ROW = ("chunk", "place", "doc_id", "named", "base", "score", "known", "tokens", "held")
 _CODES = 1_023  # steps that unigram probabilities are quantised to
 
 
@@ -51,10 +54,14 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(chunk, ids, held, sizes, words, vocab): some MB of text each, every word a place in the chunk's own vocabulary, which is sorted."""
+    """(chunk, ids, held, sizes, words, vocab): some MB of text each, every word a place in the chunk's own vocabulary, which is sorted.
+
+    A chunk's number is its own, even if another has the same rows. ids: the numbers, 0 for null, then a byte each that is 0 for null.
+    """
 
     def run(batches):
-        for batch, buf, off in textkit.parts(batches, limit=4 << 20):
+        task = TaskContext.get().partitionId() << 32
+        for name, (batch, buf, off) in enumerate(textkit.parts(batches, limit=4 << 20), task):
             h, d, _, _ = textkit.word_hashes(buf, off)
             vocab, place = np.unique(np.append(np.where(h == END_HASH, h + np.uint64(1), h), END_HASH), return_inverse=True)
             n = len(batch)
@@ -62,8 +69,7 @@ def chunks(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
             tokens = np.full(size.sum(), place[-1])
             tokens[np.arange(len(d)) + d] = place[:-1]
             ids = batch.column(0)
-            name = int(textkit.mix(np.array([hash((ids[0].as_py(), ids[-1].as_py(), n, len(buf))) & (2**64 - 1)], np.uint64) ^ (h.sum() if len(h) else np.uint64(0)))[0] >> np.uint64(1))
-            row = [np.nan_to_num(ids.to_numpy(zero_copy_only=False)).astype("<i8").tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), size.astype("<i8").tobytes(), _squeeze(tokens), vocab.tobytes()]
+            row = [ids.fill_null(0).to_numpy().astype("<i8").tobytes() + ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(), size.astype("<i8").tobytes(), _squeeze(tokens), vocab.tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([name])] + [pa.array([x], pa.binary()) for x in row], ["chunk", "ids", "held", "sizes", "words", "vocab"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk long, ids binary, held binary, sizes binary, words binary, vocab binary")
@@ -107,11 +113,11 @@ def number_words(chunked: DataFrame, buckets: int) -> DataFrame:
 
 
 def _read(row: dict) -> tuple:
-    """A numbered chunk's (ids, held, sizes, word place per token, count per place, number per place)."""
+    """A numbered chunk's (held, sizes, word place per token, count per place, number per place)."""
     parts = sorted({p["bucket"]: p["told"] for p in row["parts"]}.items())
     count, number = (np.concatenate(x) for x in zip(*(_spread(told, 2) for _, told in parts)))
     (words,) = _spread(row["words"], 1)
-    return np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held"], np.uint8), np.frombuffer(row["sizes"], "<i8"), words, count, number
+    return np.frombuffer(row["held"], np.uint8), np.frombuffer(row["sizes"], "<i8"), words, count, number
 
 
 def _grams(sizes: np.ndarray, number: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,14 +182,14 @@ def query(trie: dict[str, np.ndarray], w0: np.ndarray, w1: np.ndarray, w2: np.nd
 
 
 def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard_tokens: int = SHARD_TOKENS, hot_count: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of docs.
 
     The model learns from the rows where `held` is false. Tokens are words of the text with A-Z
-    lower-cased, then one end. A null or empty text has the end alone. Rows that repeat an id are
-    scored each, and rows with a null id count as one row of id 0 each. With no training rows every
+    lower-cased, then one end. A null or empty text has the end alone. Rows that repeat an id or
+    have none are scored each, and come back with that id or null. With no training rows every
     token has probability 1, as N and V are 0.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     chunked = store.cut(chunks(rows, F.col("held"), "doc_id"))
     size = chunked.agg(F.sum(F.length("vocab")), F.sum(F.length("words"))).first()
     buckets = max(1, (size[0] or 0) // bucket_bytes)
@@ -220,7 +226,7 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
     def hot_bigrams(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for row in _rows(batch):
-                _, held_, sizes, words, count, number = _read(row)
+                held_, sizes, words, count, number = _read(row)
                 w0, w1, _ = _grams(sizes, number, words)
                 many = mids(sizes, words, count, w1)
                 at = np.flatnonzero((many > 1) & np.repeat(held_ == 0, sizes))
@@ -252,21 +258,21 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                 k = where == s
                 shard.append(int(s))
                 cell.append(_squeeze(a[k], b[k], n[k], u[k]))
-        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([1] * len(shard), pa.int64()), "ids": pa.array([b""] * len(shard), pa.binary()), "cell": pa.array(cell, pa.binary())})
+        return pa.table({"shard": pa.array(shard, pa.int64()), "kind": pa.array([1] * len(shard), pa.int64()), "chunk": pa.array([-1] * len(shard), pa.int64()), "cell": pa.array(cell, pa.binary())})
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for row in _rows(batch):
-                ids, held_, sizes, words, count, number = _read(row)
+                held_, sizes, words, count, number = _read(row)
                 w0, w1, w2 = _grams(sizes, number, words)
                 many = mids(sizes, words, count, w1)
                 where = (_hash(w1) + np.where(many > 1, _hash(w2) % many, 0)) % shards
-                doc = np.repeat(np.arange(len(ids)), sizes)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
                 order = np.lexsort((doc, w0, w1, where))
                 edge = np.searchsorted(where[order], np.arange(shards + 1))
                 codes, flag = code(count)[words], np.repeat(held_, sizes)
-                base = np.bincount(doc, weights=unigram(count)[words], minlength=len(ids))
-                known = np.bincount(doc, weights=count[words] > 0, minlength=len(ids)).astype("<i8")
+                base = np.bincount(doc, weights=unigram(count)[words], minlength=len(sizes))
+                known = np.bincount(doc, weights=count[words] > 0, minlength=len(sizes)).astype("<i8")
                 rows = []
                 for s in np.flatnonzero(np.diff(edge)):
                     k = order[edge[s] : edge[s + 1]]
@@ -275,19 +281,21 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                     b[1:] = np.where(a[1:] == 0, np.diff(w0[k]), w0[k][1:])
                     new = (a != 0) | (b != 0)
                     new[0] = True
-                    rows.append((int(s), 0, ids.tobytes(), _squeeze(a, b, np.where(new, codes[k], 0), w2[k], doc[k] * 2 + flag[k])))
-                place = row["chunk"] % shards
-                rows.append((place, 2, ids.tobytes(), base.astype("<f8").tobytes() + known.tobytes() + sizes.astype("<i8").tobytes() + held_.astype("<i8").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["shard", "kind", "ids", "cell"])
+                    rows.append((int(s), 0, row["chunk"], _squeeze(a, b, np.where(new, codes[k], 0), w2[k], doc[k] * 2 + flag[k])))
+                place = int(_hash(np.array([row["chunk"]]))[0] % shards)
+                rows.append((place, 2, row["chunk"], base.astype("<f8").tobytes() + known.tobytes() + sizes.astype("<i8").tobytes() + held_.astype("<i8").tobytes() + row["ids"]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "kind", "chunk", "cell"])
 
     def shard_scores(table: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[] for _ in ROW]
         grams, owners, hot = [], [], []
-        for kind, ids, cell in zip(table.column("kind").to_pylist(), table.column("ids"), table.column("cell")):
-            ids, cell = np.frombuffer(ids.as_py(), "<i8"), cell.as_py()
+        names, starts, end = [], [], 0  # of the cells with grams: their chunks, and where their documents begin
+        for kind, chunk, cell in zip(table.column("kind").to_pylist(), table.column("chunk").to_pylist(), table.column("cell")):
+            cell = cell.as_py()
             if kind == 2:
-                v = np.frombuffer(cell, "<i8").reshape(4, -1)
-                for c, x in zip(cols, (ids, v[0].view("<f8"), np.zeros(len(ids)), v[1], v[2], v[3])):
+                n = len(cell) // 41
+                v = np.frombuffer(cell, "<i8", 5 * n).reshape(5, n)
+                for c, x in zip(cols, (np.full(n, chunk), np.arange(n), v[4], np.frombuffer(cell, bool, n, 40 * n), v[0].view("<f8"), np.zeros(n), v[1], v[2], v[3])):
                     c.append(x)
             elif kind == 1:
                 hot.append(_spread(cell, 4))
@@ -302,7 +310,10 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
                 last = np.maximum.accumulate(np.where(fresh | (b != 0), place, 0))
                 g[0], g[1], g[2], g[3] = np.cumsum(a), total - (total - b)[start], g[3], code_[last]
                 grams.append(g)
-                owners.append(ids[g[4] >> 1])
+                owners.append((g[4] >> 1) + end)
+                names.append(chunk)
+                starts.append(end)
+                end = int(owners[-1].max()) + 1
         if grams:
             w1, w0, w2, codes, flag = (np.concatenate(x) for x in zip(*grams))
             owner, train = np.concatenate(owners), (flag & 1) == 0
@@ -327,15 +338,16 @@ def score(docs: DataFrame, held: Column, bucket_bytes: int = BUCKET_BYTES, shard
             logs = query(trie, k0, k1, k2, u)
             who, at = np.unique(owner, return_inverse=True)
             sums = np.bincount(at, weights=logs[kind_of], minlength=len(who))
-            zero = np.zeros(len(who), np.int64)
-            for col, x in zip(cols, (who, zero.astype(float), sums, zero, zero, zero)):
+            zero, cell_of = np.zeros(len(who), np.int64), np.searchsorted(starts, who, "right") - 1
+            for col, x in zip(cols, (np.array(names)[cell_of], who - np.array(starts)[cell_of], zero, zero > 0, zero.astype(float), sums, zero, zero, zero)):
                 col.append(x)
-        got = [np.concatenate(x) if x else np.zeros(0) for x in cols]
-        return pa.table({n: pa.array(x.astype(t)) for n, x, t in zip(("doc_id", "base", "score", "known", "tokens", "held"), got, (np.int64, float, float, np.int64, np.int64, np.int64))})
+        got = {c: np.concatenate(x) if x else np.zeros(0) for c, x in zip(ROW, cols)}
+        named = got.pop("named").astype(bool)
+        return pa.table({c: pa.array(x.astype(float if c in ("base", "score") else np.int64), mask=~named if c == "doc_id" else None) for c, x in got.items()})
 
-    rows = joined.mapInArrow(deal, "shard long, kind long, ids binary, cell binary")
+    rows = joined.mapInArrow(deal, "shard long, kind long, chunk long, cell binary")
     if shards > 1:
-        hot = joined.mapInArrow(hot_bigrams, "part long, cell binary").groupBy("part").applyInArrow(add_up, "shard long, kind long, ids binary, cell binary")
+        hot = joined.mapInArrow(hot_bigrams, "part long, cell binary").groupBy("part").applyInArrow(add_up, "shard long, kind long, chunk long, cell binary")
         rows = rows.union(hot)
-    parts = rows.groupBy("shard").applyInArrow(shard_scores, "doc_id long, base double, score double, known long, tokens long, held long")
-    return parts.groupBy("doc_id").agg((F.max("held") > 0).alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
+    parts = rows.groupBy("shard").applyInArrow(shard_scores, "chunk long, place long, doc_id long, base double, score double, known long, tokens long, held long")
+    return parts.groupBy("chunk", "place").agg(F.max("doc_id").alias("doc_id"), (F.max("held") > 0).alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"), F.sum("base").alias("base_score"), F.sum("score").alias("score")).drop("chunk", "place")

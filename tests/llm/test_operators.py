@@ -220,6 +220,20 @@ def test_chunks_agree_where_the_first_words_go(spark):
     assert max(abs(r["score"] - want[r["doc_id"]][3]) / r["n_tokens"] for r in rows) < 4e-3
 
 
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500, "shard_tokens": 30, "hot_count": 3}])
+def test_scores_of_rows_that_repeat_an_id_or_have_none(spark, sizes):
+    big = 2**60 + 1
+    rows = [(0, "a b c"), (None, "a b d e"), (None, "held b"), (1, "a b"), (1, "a b"), (1, "b c a a"), (None, None), (big, "c d e"), *[(7, "x y z")] * 4]
+    _, want = brute_scores(list(enumerate(t for _, t in rows)), lambda k: (rows[k][1] or "").startswith("held"))
+    copies = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), "doc_id long, text string")  # the last two chunks are the same
+    got = language_model.score(copies, F.col("text").startswith("held"), **sizes).collect()
+    key = lambda i, held, tokens, known, base, score: (str(i), held, tokens, known, round(base, 6), score)
+    got = sorted(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
+    want = sorted(key(i, (t or "").startswith("held"), *want[k]) for k, (i, t) in enumerate(rows))
+    assert [x[:5] for x in got] == [x[:5] for x in want]
+    assert all(abs(x[5] - y[5]) < 4e-3 * x[2] for x, y in zip(got, want))
+
+
 def test_scores_of_nothing_and_without_training_rows(spark, frame):
     assert language_model.score(empty(spark), F.lit(False)).count() == 0
     assert [(r["n_known"], r["score"]) for r in language_model.score(frame([(1, "a b")]), F.lit(True)).collect()] == [(0, 0.0)]
