@@ -11,10 +11,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir`; where it is unset (tests on one machine), a new temporary folder,
-    which the process then keeps."""
+    """`spark.checkpoint.dir`. Where it is unset, a new temporary folder that the process keeps, but only
+    if the master is local: on a cluster no other machine would see it, so it has to be set."""
     if said := spark.conf.get("spark.checkpoint.dir", None):
         return said
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (the master is {master})")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-lakeloom-"))
     return _own[0]
@@ -29,4 +32,14 @@ def cut(df: DataFrame, codec: str = "zstd") -> DataFrame:
     them nor depend on the executors that made them."""
     path = new_path(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lakeloom_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that `cut` wrote. Nothing that is still to be computed may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._lakeloom_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
