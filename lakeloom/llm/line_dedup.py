@@ -237,7 +237,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x["set"][pick].view(np.int64)), textkit.to_binary(x["words"][at], size)], ["id", "items"])
 
     lists = store.cut(wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("ask")))
-    near = store.semi(docs, lists.select("doc_id"), "doc_id", lists.count()).join(lists, "doc_id")
+    near = docs.join(store.side(lists), "doc_id")
     return near.select("doc_id", "text", "ask").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
@@ -268,7 +268,7 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
         gone = gone.union(found)
         open_ = store.cut(pairs.filter("more").select("a").distinct().join(hit, "a", "left_anti"))
         if n := open_.count():
-            only = np.sort(np.fromiter((r[0] for r in open_.toLocalIterator()), np.int64, n)) if n <= store.BROADCAST_ROWS else np.zeros(0, np.int64)
+            only = np.sort(np.fromiter((r[0] for r in open_.toLocalIterator()), np.int64, n)) if 8 * n <= store.BROADCAST_BYTES else np.zeros(0, np.int64)
             all_pairs = candidates(dealt, percent, 1 << 41, only if len(only) else None).filter("b IS NOT NULL")
             gone = gone.union(verify(docs, store.cut(all_pairs.join(open_, "a", "left_semi")), percent, least)[1])
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
@@ -286,7 +286,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = store.cut(later_lines(plain, percent, least, bucket_bytes))
     side = gone.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    out = docs.join(F.broadcast(side) if gone.count() <= store.BROADCAST_ROWS else side, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
+    out = docs.join(store.side(side), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
     text = F.coalesce(F.col(text_col), F.lit(""))
     drop = F.coalesce("_gone", F.array().cast("array<long>"))
     parts = F.split(text, "\n")

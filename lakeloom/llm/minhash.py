@@ -6,12 +6,14 @@ keys stand for m * m tables and only 4 m minhashes are computed. Documents that
 are candidates; candidates are verified on their full shingle sets.
 
 Big buckets never yield all their pairs. All documents of a bucket are compared with one pivot, the
-one with the smallest share of shingles that no other document has; most links show there, and
-copies cost one comparison each. A document x differs from its pivot p by what it lost of p and what it
-has besides. Since |x & y| = |p| - lost(x) - lost(y) + |diff(x) & diff(y)|, a document that the pivot
-rejects is linked with another of its bucket only if their differences share so many items. These are
-found by a prefix filter over the rarest items of the differences, and verified on the full sets.
-So no link is lost within a bucket.
+one with the smallest share of shingles that no other document has, and those that it rejects with a second
+one, the nearest of them; most links show there, and copies cost one comparison each. A document x differs
+from its pivot p by what it lost of p and what it has besides. Since
+|x & y| = |p| - lost(x) - lost(y) + |diff(x) & diff(y)|, two documents that no pivot links are linked only if their
+differences share so many items. How many is bounded below for every two bins of distances from the pivot, and a
+prefix filter over the rarest items of the differences, with a prefix for each bin that the other side may be in,
+finds the candidates, which are verified on the full sets. So no link is lost within a bucket, save
+between documents that a pivot connects already.
 """
 
 from __future__ import annotations
@@ -31,6 +33,10 @@ PERCENT = 75
 BUCKET_BYTES = 24 << 20
 #: Slots of the table of counts, up to 65,535, that orders items by rarity; 2 bytes each are broadcast.
 SLOTS, SHIFT = 1 << 22, np.uint64(42)
+#: Documents compared with one copy of their pivot's set; a larger bucket's pivot gets several copies.
+SALT_ROWS = 256
+#: Bins of the distance from a pivot, in parts of the pivot's size; the last is open. More bins give more rows and shorter prefixes.
+BINS, MOST_BINS = 16, 64
 #: Keys in each of the two collections: at similarity 0.75 a linked pair shares no table with
 #: probability 2 * (1 - 0.75 ** 2) ** 14 = 2e-5, at 0.85 with 2e-8.
 KEYS = 14
@@ -66,14 +72,17 @@ def signatures(docs: DataFrame, k: int = WORDS, keys: int = KEYS, id_col: str =
 
 
 def sets(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, items): each text's distinct shingles as sorted 64-bit hashes in one binary cell."""
+    """(doc_id, set_a, items): each text's distinct shingles as sorted 64-bit hashes in one binary cell, and the hash of the set."""
 
     def run(batches):
         for batch, buf, off in textkit.parts(batches):
             doc, w = textkit.shingle_sets(buf, off, k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), textkit.to_binary(w, np.bincount(doc, minlength=len(batch)))], ["id", "items"])
+            count = np.bincount(doc, minlength=len(batch))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(textkit.mix(w + np.uint64(1)))])
+            at = np.cumsum(count)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array((total[at] - total[at - count]).view(np.int64)), textkit.to_binary(w, count)], ["doc_id", "set_a", "items"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, items binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, set_a long, items binary")
 
 
 def table_keys(signed: DataFrame, keys: int = KEYS) -> DataFrame:
@@ -110,8 +119,9 @@ def alone(items: DataFrame, buckets: int) -> DataFrame:
             doc, where = doc[first], (h % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             size = np.bincount(where, minlength=buckets)
-            cell = [textkit.to_binary(x[order], size) for x in (h, doc, n > 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), *cell], ["bucket", "h", "doc", "several"])
+            full = np.flatnonzero(size)
+            cell = [textkit.to_binary(x[order], size[full]) for x in (h, doc, n > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(full), *cell], ["bucket", "h", "doc", "several"])
 
     def count(table):
         h, doc, several = (np.concatenate([np.frombuffer(c.as_buffer(), t) for c in table.column(k)] or [np.zeros(0, t)]) for k, t in (("h", np.uint64), ("doc", np.int64), ("several", bool)))
@@ -134,12 +144,30 @@ def feasible(members: DataFrame, percent: int) -> DataFrame:
     return members.join(least, "key").filter((F.col("c") > 1) & (F.col("least") <= room + 1e-6)).select("key", "doc", "n", "s")
 
 
-def overlap(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def hot_pivots(pairs: DataFrame) -> DataFrame:
+    """(b, salts) of every b that stands in many pairs: how many copies of its set share the work."""
+    return pairs.groupBy("b").agg(F.count("*").alias("c")).filter(F.col("c") > SALT_ROWS).select("b", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts"))
+
+
+def with_sets(pairs: DataFrame, items: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """Adds `ia` and `ib`, the sets of a and b, to rows (a, b, ...); hot: from hot_pivots."""
+    out = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
+    of_b = items.select(F.col("id").alias("b"), F.col("items").alias("ib"))
+    if hot is None:
+        return out.join(of_b, "b")
+    n = F.coalesce("salts", F.lit(1))
+    out = out.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), n).cast("int")).drop("salts")
+    of_b = of_b.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("salts")
+    return out.join(of_b, ["b", "salt"]).drop("salt")
+
+
+def overlap(pairs: DataFrame, items: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Adds `common`, the number of items that the sets of a and b share, to rows (a, b, ...)."""
+    names = pairs.columns
 
     def run(batches):
         for batch in batches:
-            x, y = batch.column(batch.schema.names.index("ia")), batch.column(batch.schema.names.index("ib"))
+            x, y = batch.column(len(names)), batch.column(len(names) + 1)
             out = np.zeros(len(batch), np.int64)
             for i in range(len(batch)):
                 p, q = (np.frombuffer(z[i].as_buffer(), np.uint64) for z in (x, y))
@@ -147,16 +175,13 @@ def overlap(pairs: DataFrame, items: DataFrame) -> DataFrame:
                     p, q = q, p
                 if len(p):
                     out[i] = np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index(c)) for c in names] + [pa.array(out)], [*names, "common"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(out)], [*names, "common"])
 
-    names = pairs.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", common long"
-    with_a = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a")
-    both = with_a.join(items.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-    return both.select(*names, "ia", "ib").mapInArrow(run, schema)
+    return with_sets(pairs, items, hot).select(*names, "ia", "ib").mapInArrow(run, schema)
 
 
-def differences(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def differences(pairs: DataFrame, items: DataFrame, hot: DataFrame) -> DataFrame:
     """Adds `diff` to rows (a, b, ...): the hashes that just one of the sets has, each named with b, in one binary cell."""
     names = pairs.columns
 
@@ -168,8 +193,7 @@ def differences(pairs: DataFrame, items: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(cells, pa.binary())], [*names, "diff"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema) + ", diff binary"
-    both = pairs.join(items.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(items.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-    return both.select(*names, "ia", "ib").mapInArrow(run, schema)
+    return with_sets(pairs, items, hot).select(*names, "ia", "ib").mapInArrow(run, schema)
 
 
 def slot_counts(table: DataFrame, cell: str) -> np.ndarray:
@@ -193,79 +217,115 @@ def slot_counts(table: DataFrame, cell: str) -> np.ndarray:
 
 
 def rare_differences(rows: DataFrame) -> DataFrame:
-    """(item, doc, n, open) from rows (a, b, na, open, least, diff): what of a's difference from its pivot b can be the
-    rarest of `least` shared ones. One that is alone in its slot is in no other row, and left out."""
+    """(key, doc, n, far, d, nb, side) from rows (a, na, nb, far, d, bin, bins, diff).
+
+    bins: (bin, least far, most d) of all documents around the pivot. For each bin that the other
+    document may be in, the key names an item of a's difference that can be the rarest of those shared,
+    together with the two bins; side tells which of the two is a's: 0 the first, 1 the second, 2 both.
+    An item that is alone in its slot is in no other row, and left out.
+    """
     count = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, "diff"))
 
     def run(batches):
         for batch in batches:
-            for a, n, open_, least, cell in zip(*(c.to_pylist() for c in batch.columns)):
+            for a, n, nb, far, d, own, bins, cell in zip(*(c.to_pylist() for c in batch.columns)):
                 h = np.frombuffer(cell, np.uint64)
-                if len(h) < least:
-                    continue
                 times = count.value[(h >> SHIFT).astype(np.int64)]
-                order = np.lexsort((h, times))[: len(h) - least + 1]
-                h = h[order[times[order] > 1]]
-                k = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(k, a)), pa.array(np.full(k, n)), pa.array(np.full(k, open_))], ["item", "doc", "n", "open"])
-
-    return rows.select("a", "na", "open", "least", "diff").mapInArrow(run, "item long, doc long, n long, open boolean")
-
-
-def bucket_links(members: DataFrame, sizes: DataFrame, items_of: Callable[[DataFrame, int], DataFrame], percent: int = PERCENT) -> DataFrame:
+                order = np.lexsort((h, times))
+                h, first = h[order], int((times <= 1).sum())
+                keys, sides = [], []
+                for b in bins:
+                    if own // MOST_BINS == b["bin"] // MOST_BINS != OPEN:
+                        continue  # connected by a pivot
+                    need = max(1, int(np.ceil(far + b["least"] - nb - 1e-6)))
+                    if need > min(d, b["most"]) or d - need + 1 <= first:
+                        continue
+                    lo, hi = sorted((own, b["bin"]))
+                    keys.append(textkit.mix(h[first : d - need + 1] + np.uint64(lo * 1021 + hi)))
+                    sides.append(np.full(len(keys[-1]), 2 if lo == hi else int(own == hi)))
+                if keys:
+                    key = np.concatenate(keys)
+                    full = (np.full(len(key), x) for x in (a, n, far, d, nb))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *map(pa.array, full), pa.array(np.concatenate(sides))], ["key", "doc", "n", "far", "d", "nb", "side"])
+
+    return rows.select("a", "na", "nb", "far", "d", "bin", "bins", "diff").mapInArrow(run, "key long, doc long, n long, far double, d long, nb long, side long")
+
+
+#: What a document is to the pivots of its bucket: linked with the first, with the second, or with neither.
+FIRST, SECOND, OPEN = 0, 1, 2
+
+
+def bucket_links(members: DataFrame, sizes: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect whatever similar documents share a bucket.
 
-    members: (key, doc); sizes: (doc, n), the set sizes; items_of(ids, n_ids) gives (id, items).
+    members: (key, doc); sizes: (doc, n), the set sizes; items_of(ids) gives (id, items).
     The links need not list every similar pair, but join the same documents to components.
     """
-    ids = members.select(F.col("doc").alias("id")).distinct()
-    items = store.cut(items_of(ids, ids.count()))
+    items = store.cut(items_of(store.cut(members.select(F.col("doc").alias("id")).distinct())))
     total = items.agg(F.sum(F.length("items"))).first()[0] or 0
     shared = sizes.join(alone(items, max(1, total // BUCKET_BYTES)), "doc", "left").select("doc", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s"))
     members = store.cut(feasible(members.join(shared, "doc"), percent))
     pivots = members.groupBy("key").agg(F.min_by(F.struct("doc", "n"), F.struct(-F.col("s") / F.col("n"), "doc")).alias("p"))
-    star = members.join(pivots, "key").filter("doc <> p.doc").select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).distinct()
-    union = F.col("na") + F.col("nb") - F.col("common")
+    star = members.join(pivots, "key").filter("doc <> p.doc").select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb"))
+    star = store.cut(star.distinct())
+    similar = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
+
+    hot = store.side(store.cut(hot_pivots(star)))
     far = F.col("nb") - F.col("common") + percent * F.col("na") / (100 + percent)
-    seen = store.cut(overlap(star, items).withColumns({"linked": 100 * F.col("common") >= percent * union, "far": far}))
-    stars = seen.filter("linked").select("a", "b")
-    # with x, y and their pivot p: |x & y| = |p| - lost(x) - lost(y) + |diff(x) & diff(y)|
-    # what most of a bucket shares against its pivot, the nearest of those linked with the pivot shares as well:
-    # those that the pivot rejects are compared with that one, too, before the join over differences
-    best = seen.filter("linked").groupBy("b").agg(F.min_by(F.struct("a", "na"), F.struct("far", "a")).alias("best"))
-    left = seen.filter(~F.col("linked")).join(best, "b", "left")
-    asked = left.filter("best IS NOT NULL").select("a", F.col("best.a").alias("b"), "na", F.col("best.na").alias("nb"), F.col("b").alias("pivot"))
-    direct = store.cut(overlap(asked, items).filter(100 * F.col("common") >= percent * union).select("a", "b", "pivot"))
-    open_ = store.cut(left.select("a", "b", "far").join(direct.select("a", F.col("pivot").alias("b")), ["a", "b"], "left_anti"))
-    bounds = open_.groupBy("b").agg(F.min("far").alias("least_open")).join(seen.groupBy("b").agg(F.min("far").alias("least_all"), F.count("*").alias("c")), "b").filter("c > 1")
-    rows = seen.join(bounds, "b").join(open_.select("a", "b", F.lit(True).alias("open")), ["a", "b"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    least = F.ceil(F.col("far") + F.when(F.col("open"), F.col("least_all")).otherwise(F.col("least_open")) - F.col("nb") - 1e-6)
-    rows = store.cut(differences(rows.select("a", "b", "na", "open", F.greatest(least, F.lit(1)).cast("long").alias("least")), items))
-    rare = store.cut(rare_differences(rows))
-    x, y = rare.select("item", F.col("doc").alias("b"), F.col("n").alias("nb")), rare.filter("open").select("item", F.col("doc").alias("a"), F.col("n").alias("na"))
-    maybe = y.join(x, "item").filter((F.col("a") != F.col("b")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b", "na", "nb").distinct()
-    across = overlap(maybe, items).filter(100 * F.col("common") >= percent * union).select("a", "b")
-    return store.cut(stars.union(direct.select("a", "b")).union(across))
+    seen = overlap(star, items, hot).withColumns({"linked": similar, "far": far, "d": F.col("na") + F.col("nb") - 2 * F.col("common")})
+    seen = store.cut(seen.drop("common"))
+    rejected = seen.filter(~F.col("linked"))
+    # a second pivot for those that the first rejects: the nearest of them
+    nearest = rejected.groupBy("b").agg(F.min_by(F.struct("a", "na"), F.struct("far", "a")).alias("q"), F.count("*").alias("c")).filter("c > 1")
+    asked = rejected.join(nearest, "b").filter("a <> q.a").select("a", F.col("q.a").alias("b"), "na", F.col("q.na").alias("nb"), F.col("b").alias("pivot"))
+    asked = store.cut(asked)
+    second = store.cut(overlap(asked, items, store.side(store.cut(hot_pivots(asked)))).filter(similar).select("a", "b", "pivot"))
+
+    # what is left: documents that no pivot connects, and their bins of distances
+    reached = second.select("a", F.col("pivot").alias("b")).union(second.select(F.col("b").alias("a"), F.col("pivot").alias("b"))).distinct().withColumn("second", F.lit(True))
+    kind = F.when(F.col("linked"), FIRST).when(F.col("second"), SECOND).otherwise(OPEN)
+    bin_ = F.least(F.floor(BINS * F.col("far") / F.col("nb")), F.lit(MOST_BINS - 1)).cast("int")
+    rows = store.cut(seen.join(reached, ["a", "b"], "left").select("a", "b", "na", "nb", "far", "d", (kind * MOST_BINS + bin_).alias("bin")))
+    bins = rows.groupBy("b", "bin").agg(F.min("far").alias("least"), F.max("d").alias("most"), F.count("*").alias("c"))
+    bins = bins.groupBy("b").agg(F.collect_list(F.struct("bin", "least", "most")).alias("bins"), F.sum("c").alias("c"), F.max("bin").alias("last"))
+    bins = bins.filter((F.col("c") > 1) & (F.col("last") >= SECOND * MOST_BINS)).select("b", "bins")
+    rare = store.cut(rare_differences(store.cut(differences(rows.join(bins, "b"), items, hot))))
+    of = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("doc", "n", "far", "d")]
+    maybe = rare.filter("side <> 1").select("key", "side", "nb", *of(1)).join(rare.filter("side <> 0").select("key", *of(0)), "key")
+    enough = (F.col("far_0") + F.col("far_1") - F.col("nb") <= F.least("d_0", "d_1") + 1e-6) & (100 * F.least("n_0", "n_1") >= percent * F.greatest("n_0", "n_1"))
+    maybe = maybe.filter(enough & (F.col("doc_0") != F.col("doc_1")) & ((F.col("side") != 2) | (F.col("doc_0") > F.col("doc_1"))))
+    maybe = maybe.select(F.col("doc_1").alias("a"), F.col("doc_0").alias("b"), F.col("n_1").alias("na"), F.col("n_0").alias("nb")).distinct()
+    across = overlap(maybe, items).filter(similar).select("a", "b")
+    return store.cut(seen.filter("linked").select("a", "b").union(second.select("a", "b")).union(across))
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, keys: int = KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row with an id.
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| for their sets of k-word shingles;
-    component_id is the smallest id reachable over links, and kept marks the document that has it.
+    component_id is the smallest id reachable over links, and kept marks the rows that have it as their id.
     Null and empty texts have an empty set and are linked with nothing. Rows with a null id are left
-    out, for they can't be named in a link; repeated ids count as one document each time they stand.
-    Equal sets are collapsed first, by two 64-bit hashes and the size, so copies cost no comparison.
+    out, for they can't be named in a link. Rows that repeat an id are each told by their own text, so
+    rows of one id with different texts may be in different components. Very long texts are one set each,
+    and other columns don't matter. Equal sets are collapsed first, by two 64-bit hashes and the size, so
+    copies cost no comparison.
     """
-    docs = docs.filter(F.col(id_col).isNotNull())
-    signed = store.cut(signatures(docs, k, keys, id_col, text_col))
+    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    signed = store.cut(signatures(docs, k, keys))
     same = ["n_shingles", "set_a", "set_b"]
-    classes = store.cut(signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    reps = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    links = bucket_links(table_keys(reps, keys), reps.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).distinct(), lambda ids, n: sets(store.semi(texts, ids, "id", n), k, "id").dropDuplicates(["id"]), percent)
-    found = store.components(links).withColumnRenamed("id", "rep")
-    named = store.cut(classes.join(found, "rep", "left").select(*same, F.coalesce("component", "rep").alias("component_id")))
+    classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("band").alias("band"))
+    classes = store.cut(classes.withColumn("class", F.monotonically_increasing_id()))
+
+    def items_of(ids: DataFrame) -> DataFrame:
+        wanted = store.cut(store.semi(classes.select(F.col("class").alias("id"), F.col("rep").alias("doc_id"), "set_a"), ids, "id"))
+        found = sets(store.semi(docs, wanted.select("doc_id"), "doc_id"), k).dropDuplicates(["doc_id", "set_a"])
+        return found.join(wanted, ["doc_id", "set_a"]).select("id", "items")
+
+    sizes = classes.select(F.col("class").alias("doc"), F.col("n_shingles").alias("n"))
+    links = bucket_links(table_keys(classes.select(F.col("class").alias("doc_id"), "band"), keys), sizes, items_of, percent)
+    named = classes.join(store.components(links).withColumnRenamed("id", "class"), "class", "left").select(*same, "rep", "component")
+    least = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    named = store.cut(named.join(least, "component", "left").select(*same, F.coalesce("least", "rep").alias("component_id")))
     out = signed.select("doc_id", *same).join(named, same, "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
+
+from ..sources.scratch import cut, discard  # noqa: F401
+
+#: A side of a join is broadcast only up to this many bytes, as size_of() counts them.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a row besides what its columns hold, about.
+ROW_BYTES = 40
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that the rows take in a hash table, about, from their number and the lengths of what they hold."""
+
+    def held(field: StructField) -> Column | int:
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0))
+        if isinstance(field.dataType, ArrayType):
+            inner = field.dataType.elementType
+            return F.greatest(F.size(field.name), F.lit(0)) * 8 * (len(inner.fields) if isinstance(inner, StructType) else 1)
+        return F.lit(8)
+
+    each = reduce(lambda a, b: a + b, map(held, df.schema.fields), F.lit(ROW_BYTES))
+    return df.agg(F.sum(each.cast("long"))).first()[0] or 0
 
-from ..sources.scratch import cut
 
-#: A side of a join is broadcast only up to this many rows, which the caller has counted.
-BROADCAST_ROWS = 1_000_000
+def side(df: DataFrame) -> DataFrame:
+    """The side of a join, to be broadcast if its counted size allows it. The rows are read once more for that."""
+    return F.broadcast(df) if size_of(df) <= BROADCAST_BYTES else df
 
 
-def semi(df: DataFrame, ids: DataFrame, on: str, n: int) -> DataFrame:
-    """Rows of `df` whose key is among the `n` rows of `ids`: by broadcast if these are few, else by a shuffled join."""
-    return df.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, on, "left_semi")
+def semi(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
+    """Rows of `df` whose key is among `ids`: by broadcast if these are small, else by a shuffled join."""
+    return df.join(side(ids), on, "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,6 +63,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def without(df: DataFrame, ids: DataFrame, on: str = "doc_id") -> DataFrame:
-    """Rows of `df` whose key is not in `ids`; rows with a null key stay. The ids are counted, and broadcast if few."""
-    ids = cut(ids.select(on).distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, "left_anti")
+    """Rows of `df` whose key is not in `ids`; rows with a null key stay."""
+    return df.join(side(cut(ids.select(on).distinct())), on, "left_anti")

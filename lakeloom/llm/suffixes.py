@@ -245,13 +245,12 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
     buckets = max(1, (seen[2] or 0) // bucket_bytes)
     first = facts.filter(F.col("n_bytes") >= length).groupBy("digest").agg(F.min("id").alias("first"), F.count_distinct("id").alias("c")).filter("c > 1")
     copies = store.cut(facts.join(store.cut(first), "digest").filter("id <> first").select("id").distinct())
-    n_copies = copies.count()
     single = rows.filter(F.octet_length("text") >= length).select("id", "text")
-    single = single.join(F.broadcast(copies) if n_copies <= store.BROADCAST_ROWS else copies, "id", "left_anti")
+    single = single.join(store.side(copies), "id", "left_anti")
     if seen[0] != seen[1]:
         single = single.dropDuplicates(["id"])
     tied = store.cut(tied_samples(single, length, buckets))
-    near = store.semi(single, tied.select("id"), "id", tied.count()).join(tied, "id").select("id", "text", "names")
+    near = store.semi(single, tied.select("id"), "id").join(tied, "id").select("id", "text", "names")
     later = store.cut(later_runs(near, length, buckets).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs")))
 
     def measure(batches):
@@ -269,10 +268,9 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start: long, end: long>>, kept_sha256 string"
-    n_later = later.count()
-    touched = store.semi(rows, later.select("id"), "id", n_later).join(later, "id").select("doc_id", "text", "runs").mapInArrow(measure, schema)
+    touched = store.semi(rows, later.select("id"), "id").join(later, "id").select("doc_id", "text", "runs").mapInArrow(measure, schema)
     known = later.select("id").union(copies)
-    untouched = rows.join(F.broadcast(known) if n_later + n_copies <= store.BROADCAST_ROWS else known, "id", "left_anti")
+    untouched = rows.join(store.side(known), "id", "left_anti")
     n = F.octet_length("text").cast("long")
     none = F.array().cast("array<struct<start: long, end: long>>")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").cast("long").alias("end")))
