@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = str | Column
@@ -48,5 +50,11 @@ def clean_text(c: ColumnLike, case: str = "lower") -> Column:
     return {"lower": F.lower, "upper": F.upper, "keep": lambda x: x}[case](F.trim(col(c)))
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes that a row takes in a hash table, about: its texts' lengths, 8 for each other column, and 40 besides."""
+    of = lambda c, t: F.coalesce(F.octet_length(f"`{c}`"), F.lit(0)) if t in ("string", "binary") else F.lit(8)
+    return reduce(lambda a, b: a + b, (of(c, t) for c, t in df.dtypes), F.lit(40)).cast("long")
+
+
 def count_nulls(c: ColumnLike) -> Column:
     return F.count_if(col(c).isNull())

@@ -12,17 +12,19 @@ from ..sources.scratch import cut
 def add_surrogate_key(df: DataFrame, name: str, order_cols: list[str], start: int = 0) -> DataFrame:
     """Numbers start + 1 .. start + n in the order of `order_cols` (nulls first), as a global row_number would.
 
-    Rows go to ranges of the key; the ranges are written down, so that counting and numbering see
-    the same ones; each range numbers its rows from where the ranges before it end. Only the ranges'
-    counts come together. Rows that tie in all of `order_cols` are numbered in any order.
+    The rows are written first, for ranges are drawn from a sample and what makes the rows would run twice. They go to
+    ranges of the key, are sorted and numbered there, and are written with that; each range then counts on from where
+    the ranges before it end. Only the ranges' counts come together. Rows that tie in all of `order_cols` are
+    numbered in any order. There are as many ranges as shuffle partitions.
     """
-    ranged = cut(df.repartitionByRange(*(F.col(c).asc() for c in order_cols)).withColumn("_range", F.spark_partition_id()))
+    order = [F.col(c).asc() for c in order_cols]
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row's place in it in the lower 33
+    ranged = cut(cut(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_range", F.shiftrightunsigned("_place", 33))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per partition
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols))
-    numbered = ranged.withColumn("_rank", rank).join(F.broadcast(offsets), "_range")
-    return numbered.select((F.lit(start) + F.col("_before") + F.col("_rank")).cast("long").alias(name), *df.columns)
+    rank = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(F.broadcast(offsets), "_range").select((F.lit(start) + F.col("_before") + rank).cast("long").alias(name), *df.columns)
 
 
 def max_key(df: DataFrame, name: str) -> int:

@@ -52,7 +52,9 @@ def cluster(df: DataFrame, cols: list[str], path: str, files: int, bits: int = 4
     df.withColumn("_z", z).repartitionByRange(files, "_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").parquet(path)
 
 
-def skipping_report(spark: SparkSession, path: str, c: str, value) -> DataFrame:
-    """One row: files, and those whose range of the column holds the value, so a lookup opens them."""
-    per = spark.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(c).alias("lo"), F.max(c).alias("hi"))
-    return per.agg(F.count("*").alias("files"), F.count_if(F.lit(value).between(F.col("lo"), F.col("hi"))).alias("opened"))
+def rows_scanned(df: DataFrame) -> int:
+    """Rows that the scan of a table hands on, by Spark's own count, when `df`, a filtered scan, is run: files and row groups
+    whose ranges can't hold what is asked for are passed over."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+    return run.executedPlan().collectLeaves().apply(0).metrics().get("numOutputRows").get().value()

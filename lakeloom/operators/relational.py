@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import ColumnLike, col
+from ..functions import ColumnLike, col, row_bytes
 
-#: A lookup side is broadcast up to so many rows, which are counted first.
-LOOKUP_ROWS = 1_000_000
+#: A lookup side is broadcast up to so many rows and bytes, which are counted first.
+LOOKUP_ROWS, LOOKUP_BYTES = 1_000_000, 64 << 20
 
 
 def select_as(df: DataFrame, names: dict[str, ColumnLike]) -> DataFrame:
@@ -33,8 +33,9 @@ def having(df: DataFrame, keys: list[str], aggs: dict[str, Column], predicate: C
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str] | Column, how: str = "left", rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Joins a dimension, which is broadcast if it has at most `rows` rows and else shuffled."""
-    small = dim.limit(rows + 1).count() <= rows
+    """Joins a dimension, which is broadcast if it has at most `rows` rows of at most LOOKUP_BYTES, and else shuffled."""
+    n, size = dim.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(dim))).first()
+    small = n <= rows and (size or 0) <= LOOKUP_BYTES
     return fact.join(F.broadcast(dim) if small else dim, on, how)
 
 
@@ -59,12 +60,22 @@ def valid_at(ts: Column, start: Column, end: Column) -> Column:
     return (ts >= start) & (end.isNull() | (ts < end))
 
 
-def pit_join(fact: DataFrame, dim: DataFrame, id_col: str, ts: str, how: str = "inner", start: str = "valid_from", end: str = "valid_to") -> DataFrame:
+def pit_join(fact: DataFrame, dim: DataFrame, id_col: str, ts: str, how: str = "inner", start: str = "valid_from", end: str = "valid_to", salt_rows: int | None = None) -> DataFrame:
     """Each fact with the version of its entity that held at the fact's time. The equality on the
-    entity carries the join, the range is its residual; with "inner" facts without a version drop out."""
+    entity carries the join, the range is its residual; with "inner" facts without a version drop out.
+
+    salt_rows: an entity with more facts is dealt over several tasks, each with a copy of its versions. Without it
+    only the runtime's own handling of skewed joins parts such an entity.
+    """
     d = dim.withColumnRenamed(id_col, "_entity")
+    if salt_rows:
+        hot = fact.groupBy(F.col(id_col).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > salt_rows)
+        hot = hot.select("_hot", F.ceil(F.col("_n") / salt_rows).cast("int").alias("_salts"))
+        n = F.coalesce("_salts", F.lit(1))
+        fact = fact.join(hot, F.col(id_col) == F.col("_hot"), "left").withColumn("_fact_salt", F.pmod(F.xxhash64(ts), n).cast("int")).drop("_hot", "_salts")
+        d = d.join(hot, F.col("_entity") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_salts")
     cond = (fact[id_col] == d["_entity"]) & valid_at(fact[ts], d[start], d[end])
-    return fact.join(d, cond, how).drop("_entity")
+    return fact.join(d, cond & (fact["_fact_salt"] == d["_salt"]) if salt_rows else cond, how).drop("_entity", "_salt", "_fact_salt")
 
 
 def update_from(target: DataFrame, source: DataFrame, on: list[str], values: dict[str, str]) -> DataFrame:

@@ -101,12 +101,11 @@ def dim_date(r: Roles) -> DataFrame:
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
   m AS (SELECT user_id, event_type AS mode_event_type FROM c QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1),
   a AS (SELECT user_id, sum(value::DECIMAL(18,6))::DOUBLE / count(value) AS avg_value FROM events GROUP BY 1)
-SELECT row_number() OVER (ORDER BY user_id) AS user_key, user_id, floor(avg_value * 100 + 0.5) / 100 AS avg_value, mode_event_type FROM a JOIN m USING (user_id)""")
+SELECT row_number() OVER (ORDER BY user_id) AS user_key, user_id, floor(avg_value * 10000 + 0.5) / 10000 AS avg_value, mode_event_type FROM a JOIN m USING (user_id)""")
 def dim_mode_avg(r: Roles) -> DataFrame:
     exact = r.events.withColumn("value", F.col("value").cast("decimal(18,6)"))
     out = dimensions.build_mode_avg_dim(exact, "user_id", ["value"], ["event_type"], "user_key")
-    sums = r.events.groupBy("user_id").agg((F.sum(F.col("value").cast("decimal(18,6)")).cast("double") / F.count("value")).alias("v"))
-    return out.drop("avg_value").join(sums, "user_id").select("user_key", "user_id", round_half_up(F.col("v")).alias("avg_value"), "mode_event_type")
+    return out.withColumn("avg_value", round_half_up(F.col("avg_value").cast("double"), 4))
 
 
 @query("""WITH t AS (SELECT DISTINCT p_type, 'English ' || lower(p_type) AS p_type_english FROM part WHERE p_type <> (SELECT max(p_type) FROM part))
@@ -153,7 +152,7 @@ def scd2_stats(r: Roles) -> DataFrame:
 
 @query(f"""WITH {_HIST} SELECT o_orderkey, o.o_custkey, o_orderdate, version_num FROM orders o JOIN dim ON o.o_custkey = dim.o_custkey AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to)""")
 def pit_join(r: Roles) -> DataFrame:
-    return rel.pit_join(r.orders, _history(r).drop("o_orderpriority"), "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey", "o_orderdate", "version_num")
+    return rel.pit_join(r.orders, _history(r).drop("o_orderpriority"), "o_custkey", "o_orderdate", salt_rows=1_000_000).select("o_orderkey", "o_custkey", "o_orderdate", "version_num")
 
 
 @query(f"""WITH {_HIST}, q AS (SELECT o_orderkey, o_custkey, o_orderdate - INTERVAL 30 DAY AS t FROM orders)
@@ -163,11 +162,15 @@ def covering_version(r: Roles) -> DataFrame:
     return rel.pit_join(asked, _history(r), "o_custkey", "at", "left").select("o_orderkey", "o_custkey", "version_num")
 
 
-@query(f"""WITH {_HIST}, n AS (SELECT *, lead(valid_from) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_to NULLS LAST) AS nx FROM dim),
+@query(f"""WITH {_HIST}, bad AS (SELECT * REPLACE (CASE WHEN o_custkey % 11 = 0 AND version_num = 1 THEN valid_from - INTERVAL 1 DAY ELSE valid_to END AS valid_to, is_current AND o_custkey % 7 <> 0 AS is_current) FROM dim),
+ n AS (SELECT *, lead(valid_from) OVER (PARTITION BY o_custkey ORDER BY valid_from, valid_to NULLS LAST) AS nx FROM bad),
  p AS (SELECT o_custkey, count(*) FILTER (WHERE valid_to < valid_from) AS i, count(*) FILTER (WHERE nx IS NOT NULL AND valid_to IS DISTINCT FROM nx) AS u, count(*) FILTER (WHERE is_current) AS c FROM n GROUP BY 1)
 SELECT sum(i)::BIGINT AS inverted, sum(u)::BIGINT AS unlinked, count(*) FILTER (WHERE c <> 1) AS not_one_current FROM p""")
 def scd2_health(r: Roles) -> DataFrame:
-    return scd2.scd2_health(_history(r), "o_custkey")
+    """With faults planted: some first versions end before they begin, some entities have no current version."""
+    early = (F.col("o_custkey") % 11 == 0) & (F.col("version_num") == 1)
+    bad = _history(r).withColumns({"valid_to": F.when(early, F.col("valid_from") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("valid_to")), "is_current": F.col("is_current") & (F.col("o_custkey") % 7 != 0)})
+    return scd2.scd2_health(bad, "o_custkey")
 
 
 @query(f"WITH {_HIST} SELECT * FROM dim WHERE o_custkey = (SELECT min(o_custkey) FROM dim)")
@@ -175,9 +178,11 @@ def history_of_first(r: Roles) -> DataFrame:
     return scd2.history_of(_history(r), "o_custkey", r.orders.agg(F.min("o_custkey")).first()[0])
 
 
-@query(f"WITH {_HIST} SELECT o_custkey, version_num FROM dim WHERE row_hash <> sha256(coalesce(o_orderpriority, ''))")
+@query(f"WITH {_HIST} SELECT o_custkey, version_num FROM dim WHERE o_custkey % 5 = 0 AND o_orderpriority <> '1-URGENT'")
 def hash_mismatches(r: Roles) -> DataFrame:
-    return scd2.hash_mismatches(_history(r), ["o_orderpriority"]).select("o_custkey", "version_num")
+    """With stored values planted that no longer fit their fingerprints."""
+    edited = F.when(F.col("o_custkey") % 5 == 0, "1-URGENT").otherwise(F.col("o_orderpriority"))
+    return scd2.hash_mismatches(_history(r).withColumn("o_orderpriority", edited), ["o_orderpriority"]).select("o_custkey", "version_num")
 
 
 # a batch of changes: every order of 1999 moves its customer to a made-up priority, a month after the last order
@@ -297,9 +302,10 @@ _FACT = f"""WITH {_HIST}, st AS (SELECT o_orderstatus, row_number() OVER (ORDER
   LEFT JOIN part ON l_partkey = p_partkey AND p_partkey % 3 <> 0 LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN st ON o.o_orderstatus = st.o_orderstatus)"""
 
 
-@query(f"{_FACT} SELECT row_number() OVER (ORDER BY {', '.join(_GRAIN)}) AS item_key, * FROM fact")
+@query(f"{_FACT} SELECT row_number() OVER (ORDER BY {', '.join(_GRAIN)}) AS item_key, *, true AS loaded_now FROM fact")
 def fact_order_items(r: Roles) -> DataFrame:
-    return _fact(r).drop("_loaded_at")
+    now = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("_loaded_at")) < 3600
+    return _fact(r).withColumn("loaded_now", now).drop("_loaded_at")
 
 
 @query(f"""{_FACT} SELECT count(*) AS total, count(*) FILTER (WHERE part_key IS NULL) AS missing_part_key, count(*) FILTER (WHERE supplier_key IS NULL) AS missing_supplier_key,
@@ -452,7 +458,7 @@ def typed_projection(r: Roles) -> DataFrame:
 
 # ---- data quality ----------------------------------------------------------------------------
 
-_DQ = {"columns": ["l_orderkey"], "types": {"l_orderkey": "bigint"}, "not_null": ["l_partkey"], "unique_together": [["l_orderkey", "l_linenumber"]], "positive": ["l_quantity"], "non_negative": ["l_discount"], "between": {"l_tax": (0.0, 0.05)}, "in_set": {"l_returnflag": ["A", "N"]}, "a_ge_b": [("l_extendedprice", "l_quantity")]}
+_DQ = {"columns": ["l_orderkey"], "types": {"l_orderkey": "bigint"}, "not_null": ["l_partkey"], "unique": ["l_orderkey"], "unique_together": [["l_orderkey", "l_linenumber"]], "positive": ["l_quantity"], "non_negative": ["l_discount"], "between": {"l_tax": (0.0, 0.05)}, "in_set": {"l_returnflag": ["A", "N"]}, "a_ge_b": [("l_extendedprice", "l_quantity")]}
 
 
 def _line_checks(r: Roles) -> DataFrame:
@@ -466,6 +472,7 @@ def _row(dimension: str, check: str, failing: str) -> str:
 _DQ_SQL = " UNION ALL ".join([
     _row("schema", "l_orderkey exists", "0"), _row("schema", "l_orderkey is bigint", "0"),
     _row("completeness", "l_partkey not null", "SELECT count(*) FROM lineitem WHERE l_partkey IS NULL"),
+    _row("uniqueness", "l_orderkey unique", "SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1)"),
     _row("uniqueness", "l_orderkey, l_linenumber unique", "SELECT count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"),
     _row("validity", "l_quantity > 0", "SELECT count(*) FROM lineitem WHERE l_quantity <= 0"),
     _row("validity", "l_discount >= 0", "SELECT count(*) FROM lineitem WHERE l_discount < 0"),
@@ -500,9 +507,12 @@ def dq_volume(r: Roles) -> DataFrame:
 # ---- profiling -------------------------------------------------------------------------------
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("orders", "lineitem", "customer", "part", "supplier")))
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in _TABLES))
 def row_counts(r: Roles) -> DataFrame:
-    return profiling.row_counts({t: r.table(t) for t in ("orders", "lineitem", "customer", "part", "supplier")})
+    return profiling.row_counts({t: r.table(t) for t in _TABLES})
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING n > 1")
@@ -510,9 +520,12 @@ def duplicate_keys(r: Roles) -> DataFrame:
     return profiling.duplicate_keys(r.lineitem, ["l_orderkey", "l_linenumber"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+_RELATIONS = [("orders", "o_orderkey", "lineitem", "l_orderkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("part", "p_partkey", "lineitem", "l_partkey"), ("customer", "c_custkey", "events", "user_id")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}.{x} in {b}.{y}' AS relation, {x} AS id FROM {a} WHERE {x} NOT IN (SELECT {y} FROM {b})" for a, x, b, y in _RELATIONS))
 def orphans(r: Roles) -> DataFrame:
-    return rel.orphans(r.orders, r.lineitem, {"o_orderkey": "l_orderkey"}).select("o_orderkey", "o_custkey")
+    return rel.union_all([rel.orphans(r.table(a), r.table(b), {x: y}).select(F.lit(f"{a}.{x} in {b}.{y}").alias("relation"), F.col(x).alias("id")) for a, x, b, y in _RELATIONS])
 
 
 @query(f"WITH {_DIRTY} SELECT 'event_type' AS \"column\", count(*) FILTER (WHERE event_type IS NULL) AS nulls, count(*) AS rows FROM dirty UNION ALL SELECT 'value', count(*) FILTER (WHERE value IS NULL), count(*) FROM dirty")
@@ -552,9 +565,12 @@ def null_and_distinct(r: Roles) -> DataFrame:
     return profiling.null_and_distinct(_dirty(r), ["event_type", "user_id"])
 
 
-@query(f"WITH {_DIRTY}, t AS (SELECT DISTINCT event_type, user_id FROM dirty) SELECT md5(coalesce(event_type, '') || '|' || coalesce(user_id::VARCHAR, '')) AS row_hash, count(*) AS tuples FROM t GROUP BY 1 HAVING tuples > 1")
+@query("""WITH t AS (SELECT DISTINCT CASE WHEN event_id % 21 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE event_type END AS event_type, user_id FROM events)
+SELECT md5(coalesce(event_type, '') || '|' || coalesce(user_id::VARCHAR, '')) AS row_hash, count(*) AS tuples FROM t GROUP BY 1 HAVING tuples > 1""")
 def hash_collisions(r: Roles) -> DataFrame:
-    return profiling.hash_collisions(_dirty(r), ["event_type", "user_id"], "md5")
+    """A null and an empty text have the same fingerprint: users that have both collide."""
+    mixed = r.events.select(F.expr("CASE WHEN event_id % 21 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE event_type END").alias("event_type"), "user_id")
+    return profiling.hash_collisions(mixed, ["event_type", "user_id"], "md5")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
@@ -644,10 +660,11 @@ def top_k(r: Roles) -> DataFrame:
     return rel.top_k(r.orders.select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.asc("o_orderkey")], 25)
 
 
-@query("SELECT quantile_disc(o_orderkey, 0.5) BETWEEN 0 AND (SELECT max(o_orderkey) FROM orders) AS inside FROM orders")
+@query("SELECT quantile_disc(o_orderkey, 0.25) AS quarter, quantile_disc(o_orderkey, 0.5) AS half, quantile_disc(o_orderkey, 0.99) AS most FROM orders")
 def quantile_inside(r: Roles) -> DataFrame:
-    top = r.orders.agg(F.max("o_orderkey").alias("top"))
-    return rel.quantile(r.orders, "o_orderkey", 0.5).select(F.col("quantile").between(0, top.first()["top"]).alias("inside"))
+    """As accurate as the oracle's sizes need to be exact; one pass each, over a single row."""
+    of = lambda p, name: rel.quantile(r.orders, "o_orderkey", p, 1_000_000).withColumnRenamed("quantile", name)
+    return of(0.25, "quarter").join(F.broadcast(of(0.5, "half"))).join(F.broadcast(of(0.99, "most")))
 
 
 # ---- sources, sinks and layout ---------------------------------------------------------------
@@ -678,22 +695,23 @@ def publish_over_itself(r: Roles) -> DataFrame:
     return r.spark.read.parquet(path)
 
 
-@query("SELECT true AS fewer_files, (SELECT count(*) FROM lineitem) AS rows")
+@query("SELECT 12 AS before, 1 AS after, count(*) AS rows, sum(l_orderkey)::BIGINT AS keys FROM lineitem")
 def compact_report(r: Roles) -> DataFrame:
+    """Files before and after compaction, and what the compacted table holds."""
     many, few = scratch.new_path(r.spark), scratch.new_path(r.spark)
     layout.rewrite(r.lineitem, many, 12)
-    layout.compact(r.spark, many, few)
-    before = layout.file_report(r.spark, many).first()["files"]
-    rows = r.spark.read.parquet(few).agg(F.count("*").alias("rows"))
-    return layout.file_report(r.spark, few).select((F.col("files") < before).alias("fewer_files"), F.lit(rows.first()["rows"]).alias("rows"))
+    layout.compact(r.spark, many, few, target_bytes=1 << 40)
+    counts = [layout.file_report(r.spark, p).select(F.col("files").alias(n)) for p, n in ((many, "before"), (few, "after"))]
+    held = r.spark.read.parquet(few).agg(F.count("*").alias("rows"), F.sum("l_orderkey").alias("keys"))
+    return counts[0].join(F.broadcast(counts[1])).join(F.broadcast(held))
 
 
-@query("SELECT 8 AS files, true AS skips FROM region LIMIT 1")
+@query("""WITH m AS (SELECT quantile_disc(l_partkey, 0.5) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_suppkey, true AS skips FROM lineitem, m WHERE l_partkey = k""")
 def cluster_skipping(r: Roles) -> DataFrame:
-    """Opened files of a point lookup fall when rows lie in Z-order of two keys."""
-    plain, path = scratch.new_path(r.spark), scratch.new_path(r.spark)
-    layout.rewrite(r.lineitem, plain, 8)
+    """A point lookup in rows that lie in Z-order of two keys: it finds the same rows, and its scan passes over most."""
+    path = scratch.new_path(r.spark)
     layout.cluster(r.lineitem, ["l_partkey", "l_suppkey"], path, 8)
-    middle = rel.quantile(r.lineitem, "l_partkey", 0.5).first()[0]
-    before = layout.skipping_report(r.spark, plain, "l_partkey", middle).first()["opened"]
-    return layout.skipping_report(r.spark, path, "l_partkey", middle).select(F.lit(8).alias("files"), (F.col("opened") < before).alias("skips"))
+    middle = rel.quantile(r.lineitem, "l_partkey", 0.5, 1_000_000).first()[0]
+    found = r.spark.read.parquet(path).filter(F.col("l_partkey") == middle).select("l_orderkey", "l_linenumber", "l_suppkey")
+    return found.withColumn("skips", F.lit(layout.rows_scanned(found) < r.lineitem.count()))
\ No newline at end of file

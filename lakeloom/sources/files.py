@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .scratch import cut
+
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | str | None = None, as_text: bool = False) -> DataFrame:
     """CSV with a header, quoted multi-line fields and doubled quotes; typed by the schema, as text, or inferred."""
@@ -18,7 +20,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: StructType | st
 
 
 def read_table(spark: SparkSession, root: str, layer: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{layer}/{name}")
+    path = f"{root.rstrip('/')}/{layer}/{name}"
+    recover(spark, path)
+    return spark.read.parquet(path)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:
@@ -27,6 +31,11 @@ def register(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def temp_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows, computed once, under a name that lasts as long as the session; they lie in the shared scratch folder."""
+    return register(cut(df), name)
+
+
 def inline_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -72,10 +81,20 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(P(path))
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back what `publish` had moved aside if it was ended between its two renames."""
+    fs, P = _filesystem(spark, path)
+    old = P(path.rstrip("/") + ".previous")
+    if not fs.exists(P(path)) and fs.exists(old) and not fs.rename(old, P(path)):
+        raise OSError(f"can't move {old} back")
+
+
 def publish(df: DataFrame, path: str, same_schema: bool = False) -> None:
     """Replaces the table at `path`. The rows are written beside it and then swapped in, so `df` may
-    read the table that it replaces, and a failed write leaves it untouched."""
+    read the table that it replaces, and a failed write leaves it untouched. If a publish was ended
+    between its two renames, the next one and `read_table` put the older table back first."""
     spark = df.sparkSession
+    recover(spark, path)
     fs, P = _filesystem(spark, path)
     if same_schema and fs.exists(P(path)):
         shape = lambda s: [(f.name, f.dataType.simpleString()) for f in s]
@@ -92,10 +111,11 @@ def publish(df: DataFrame, path: str, same_schema: bool = False) -> None:
     fs.delete(P(old), True)
 
 
-def create_as(df: DataFrame, name: str) -> DataFrame:
-    """Drops and creates a catalog table from the rows."""
+def create_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Drops and creates a catalog table from the rows, in the warehouse or in a folder of its own."""
     df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    df.write.mode("overwrite").saveAsTable(name)
+    writer = df.write.mode("overwrite")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 

@@ -230,3 +230,45 @@ def test_publish_swaps_and_guards_the_schema(spark, tmp_path):
 def test_hash_collisions_are_found(spark):
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c")], "x string, y string")
     assert profiling.hash_collisions(df, ["x", "y"]).count() == 1
+
+
+def test_publish_that_was_ended_between_its_renames_is_recovered(spark, tmp_path):
+    path = f"{tmp_path}/gold/t"
+    files.publish(spark.range(3), path)
+    (tmp_path / "gold" / "t").rename(tmp_path / "gold" / "t.previous")
+    assert files.read_table(spark, str(tmp_path), "gold", "t").count() == 3
+    (tmp_path / "gold" / "t").rename(tmp_path / "gold" / "t.previous")
+    files.publish(spark.range(5), path, same_schema=True)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_point_in_time_join_deals_hot_entities_out(spark):
+    dim = spark.createDataFrame([(1, 0, 5), (1, 5, None), (2, 0, None)], "id int, valid_from int, valid_to int")
+    fact = spark.createDataFrame([(1, t % 10) for t in range(50)] + [(2, 3), (3, 1), (None, 2)], "id int, at int")
+    plain = rel.pit_join(fact, dim, "id", "at", "left")
+    salted = rel.pit_join(fact, dim, "id", "at", "left", salt_rows=7)
+    assert salted.columns == plain.columns
+    key = lambda r: tuple(map(str, r))
+    assert sorted(salted.collect(), key=key) == sorted(plain.collect(), key=key) and salted.count() == 53
+
+
+def test_lookup_of_a_wide_dimension_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(rel, "LOOKUP_BYTES", 1000)
+    wide = spark.range(5).withColumn("text", F.repeat(F.lit("x"), 1000))
+    plan = rel.lookup(spark.range(9), wide, ["id"])._jdf.queryExecution().analyzed().toString()
+    narrow = rel.lookup(spark.range(9), spark.range(5), ["id"])._jdf.queryExecution().analyzed().toString()
+    assert "strategy=broadcast" not in plan and "strategy=broadcast" in narrow
+
+
+def test_scratch_is_refused_on_a_cluster_and_can_be_discarded(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from lakeloom.sources import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(cluster)
+    df = scratch.cut(spark.range(4))
+    assert df.count() == 4
+    scratch.discard(df)
+    assert not files.exists(spark, df._lakeloom_path)

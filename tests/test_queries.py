@@ -1,5 +1,6 @@
 import pytest
 
+import lakeloom.plans.retail  # noqa: F401
 from lakeloom.plans.queries import ORACLE, QUERIES
 from tests.compare import assert_same, connect
 
