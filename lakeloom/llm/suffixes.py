@@ -1,14 +1,18 @@
-"""Exact removal of long repeated strings, by blockwise suffix sorting with a difference cover.
-
-Asked is which suffixes share their first `length` bytes with one that starts earlier. A difference
-cover D modulo V makes this affordable: of any two starts i, j some shift d < V takes both into the
-cover, so two equal strings of `length` bytes hold two equal cover samples of length - V + 1 bytes at the
-same place. First the samples are ranked: names of their bytes are dealt, and those that stand alone
-are dropped. Only suffixes with a tied sample within their first V bytes can be tied themselves; the
-others are never sorted. These suffixes go to buckets by their string's least 8-byte name,
-which neighbours mostly share, so that a run of suffixes travels as one piece of text. Each bucket is
-sorted on its own by the suffixes' first bytes, then by document and start. Only equality to the
-depth `length` is asked, so the order between different strings is that of their 64-bit names.
+"""Exact removal of long repeated strings, by blockwise suffix sorting with difference covers.
+
+Asked is which suffixes share their first `length` bytes with one that starts earlier. Of any two starts i, j
+some shift d < V takes both into a difference cover modulo V. This is used twice.
+
+First, two equal strings of `length` bytes hold two equal cover samples of length - V + 1 bytes at the same place.
+The samples' names are dealt, and suffixes without a tied sample within their first V bytes are never sorted.
+The others go to tasks by their string's least 8-byte name, which neighbours mostly share, so that a
+run of suffixes travels as one piece of text.
+
+Then each task sorts its suffixes. The ranks of its cover samples are computed beforehand, by their bytes, to a depth of
+`length` or more. One bucket of suffixes with common first bytes is sorted at a time, by W bytes; what is tied
+there is ordered by the ranks of the samples at the shift that the two starts share. So no comparison looks at more
+than W bytes and two ranks, and besides the text and the samples' ranks only one bucket is held. Suffixes that are
+equal to the depth stand in a row, which is confirmed on their bytes; the earliest of them stays.
 """
 
 from __future__ import annotations
@@ -26,9 +30,12 @@ from .language_model import _spread, _squeeze
 LENGTH = 100
 #: A perfect difference set; every residue modulo 57 is a difference of two of them.
 COVER, V = np.array([0, 1, 3, 13, 32, 36, 43, 52]), 57
+SORT_COVER, W = np.array([3, 6, 7, 12, 14]), 21
 SEED_BYTES = 8
 #: Text bytes whose samples, or sorted suffixes, one task holds at once, about.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
+#: Suffixes of a bucket that is sorted at once, about.
+BLOCK = 1 << 18
 _NAME = np.uint64((1 << 40) - 1)
 
 
@@ -73,8 +80,9 @@ def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 short = np.sort(((name[k] >> np.uint64(20) & _NAME) << np.uint64(22)) | np.arange(len(k), dtype=np.uint64))
                 k = k[(short & np.uint64((1 << 22) - 1)).astype(np.int64)]
                 short = (short >> np.uint64(22)).astype(np.int64)
-                rows.append((int(b), ids.tobytes() + _squeeze(np.diff(short, prepend=0), doc[k] * 2 + tied[k])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([len(ids).to_bytes(8, "little") + r[1] for r in rows], pa.binary())], ["bucket", "id", "cell"])
+                own, at = textkit.own_ids(ids, doc[k])
+                rows.append((int(b), (len(own) // 8).to_bytes(8, "little") + own + _squeeze(np.diff(short, prepend=0), at * 2 + tied[k])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "id", "cell"])
 
     def rank(table):
         known = table.filter(table.column("id").is_valid())
@@ -127,6 +135,102 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[:n], np.minimum.accumulate(pad, 1).ravel()[w - 1 : w - 1 + n])
 
 
+def _word(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place as one number, in the order of the bytes. 8 bytes must follow every place."""
+    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))[at]).view(">u8").ravel().astype(np.uint64)
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1]
+
+
+def sample_ranks(buf: np.ndarray, place: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, by place in `buf`, of the cover samples: by their first `depth` bytes or more, 1 at least, and 0 elsewhere.
+
+    place: the samples' places, each piece's in its own cover; end: the ends of their pieces, after which 2 W zeros follow.
+    A sample's rank to the depth 2 h comes from its own and from the one h bytes on, both to the depth h. h is a
+    multiple of W, so that the other is a sample as well; after a piece's end there is nothing, which is the least.
+    """
+    rank = _dense(_word(buf, place))
+    for k in (8, W - 8):
+        rank = _dense(rank.astype(np.uint64) << np.uint64(32) | _dense(_word(buf, place + k)).astype(np.uint64))
+    ranks = np.zeros(len(buf), np.int32)
+    ranks[place] = rank + 1
+    h = W
+    while h < depth:
+        other = np.where(place + h < end, ranks[np.minimum(place + h, len(buf) - 1)], 0)
+        ranks[place] = _dense(ranks[place].astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)) + 1
+        h *= 2
+    return ranks
+
+
+def order_tied(at: np.ndarray, group: np.ndarray, residue: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The places `at` with those of each group ordered by their samples' ranks; group: rising numbers.
+
+    Quicksort of all groups at once: each is parted by a pivot, compared at the shift that takes both into the cover.
+    """
+    at = at.copy()
+    shift = np.full((W, W), -1)
+    for d in range(W - 1, -1, -1):
+        own = np.isin((np.arange(W) + d) % W, SORT_COVER)
+        shift[np.ix_(own, own)] = d
+    todo, own = np.arange(len(at)), group
+    while True:
+        size = np.bincount(own)
+        several = size[own] > 1
+        todo, own = todo[several], own[several]
+        if not len(todo):
+            return at
+        first = np.flatnonzero(np.diff(own, prepend=-1))
+        pivot = at[todo[first + np.diff(np.append(first, len(own))) // 2]]
+        mine, other = at[todo], np.repeat(pivot, np.diff(np.append(first, len(own))))
+        d = shift[residue[mine], residue[other]]
+        side = np.sign(ranks[mine + d] - ranks[other + d]) + 1
+        key = _dense(own) * 3 + side
+        order = np.argsort(key, kind="stable")
+        at[todo], key = mine[order], key[order]
+        left = key % 3 != 1  # what equals the pivot is in its place
+        todo, own = todo[left], _dense(key[left])
+
+
+def later_places(buf: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to): runs of places whose suffix has the same first `length` bytes as one at an earlier place.
+
+    buf: pieces of `size` bytes, 2 W zeros after each; the first n places of a piece are suffixes, and start is its place in its text.
+    """
+    first = np.cumsum(size + 2 * W) - size - 2 * W
+    residue, is_sample, is_suffix = (np.zeros(len(buf), t) for t in (np.int8, bool, bool))
+    piece = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(size) - size, size)
+    where = first[piece] + inside
+    residue[where] = (start[piece] + inside) % W
+    is_sample[where] = np.isin(np.arange(W), SORT_COVER)[residue[where]]
+    is_suffix[where[inside < n[piece]]] = True
+    ends = np.repeat(first + size, size)[is_sample[where]]
+    del piece, inside, where
+    ranks = sample_ranks(buf, np.flatnonzero(is_sample), ends, length)
+    places = np.flatnonzero(is_suffix)
+    head = buf[places].astype(np.int64) << 8 | buf[places + 1]
+    total = np.cumsum(np.bincount(head, minlength=1 << 16))
+    block = (np.maximum(total, 1) - 1)[head] // BLOCK
+    later = np.zeros(len(buf), bool)
+    for b in np.unique(block):
+        at = places[block == b]
+        words = [_word(buf, at + k) for k in (0, 8, W - 8)]
+        order = np.lexsort(words[::-1])
+        at, words = at[order], [w[order] for w in words]
+        new = np.ones(len(at), bool)
+        new[1:] = np.any([w[1:] != w[:-1] for w in words], axis=0)
+        at = order_tied(at, np.cumsum(new) - 1, residue, ranks)
+        for k in [*range(W - 8, length - 8, 8), length - 8]:  # equal to the depth?
+            w = _word(buf, at + k)
+            new[1:] |= w[1:] != w[:-1]
+        kind = np.flatnonzero(new)
+        later[at] = True
+        later[np.minimum.reduceat(at, kind)] = False
+    return textkit.runs(later, np.append(first, len(buf)))
+
+
 def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """(id, start, n) from (id, text, names): n suffixes in a row whose first `length` bytes start earlier elsewhere."""
     width = length - V + 1
@@ -163,15 +267,16 @@ def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
             n = np.bincount(group[pick], minlength=len(first))
             end = first + n + length - 1
             # equal pieces: the earliest goes on, the others are known to be later
-            key = textkit.hash_spans(h, first, end)
+            key, raw = textkit.hash_spans(h, first, end), buf.tobytes()
             order = np.lexsort((first, ids[owner[first]], key))
+            same = key[order][1:] == key[order][:-1]
             again = np.zeros(len(first), bool)
-            again[order[1:]] = key[order][1:] == key[order][:-1]
+            again[order[1:][same]] = [raw[first[i] : end[i]] == raw[first[j] : end[j]] for i, j in zip(order[1:][same].tolist(), order[:-1][same].tolist())]
             at_, n_ = first - off[owner[first]], n
             where = np.where(again, ids[owner[first]] % buckets, (least[first] % np.uint64(buckets)).astype(np.int64))
             order = np.lexsort((again, where))
             edge = np.searchsorted(where[order], np.arange(buckets + 1))
-            raw, rows = buf.tobytes(), []
+            rows = []
             for b in np.flatnonzero(np.diff(edge)):
                 k = order[edge[b] : edge[b + 1]]
                 go = k[~again[k]]
@@ -190,17 +295,17 @@ def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         out = [np.flatnonzero(again)], [start[again]], [n[again]]
         go = np.flatnonzero(~again)
         if len(go):
-            buf = np.frombuffer(b"".join(texts_), np.uint8)
             size = n[go] + length - 1
-            piece = np.repeat(np.arange(len(go)), n[go])
-            inner = np.arange(len(piece)) - np.repeat(np.cumsum(n[go]) - n[go], n[go])
-            at = (np.cumsum(size) - size)[piece] + inner
-            h = textkit.hash_spans(textkit.prefix_hash(buf), at, at + length)
-            order = np.lexsort((start[go][piece] + inner, owner[go][piece], h))
-            later = np.zeros(len(h), bool)
-            later[order[1:]] = h[order][1:] == h[order][:-1]
-            s, e = textkit.runs(later, np.append(np.cumsum(n[go]) - n[go], len(later)))
-            out[0].append(go[piece[s]]), out[1].append(start[go][piece[s]] + inner[s]), out[2].append(e - s)
+            from_ = np.cumsum(size) - size
+            order = np.lexsort((start[go], owner[go]))  # earlier pieces first, so that a place in the text tells what is earlier
+            go, size, from_ = go[order], size[order], from_[order]
+            raw, gap = b"".join(texts_), b"\0" * (2 * W)
+            del texts_
+            buf = np.frombuffer(gap.join([raw[i : i + k] for i, k in zip(from_.tolist(), size.tolist())]) + gap, np.uint8)
+            s, e = later_places(buf, size, start[go], n[go], length)
+            piece = np.searchsorted(np.cumsum(size + 2 * W), s, "right")
+            inner = s - (np.cumsum(size + 2 * W) - size - 2 * W)[piece]
+            out[0].append(go[piece]), out[1].append(start[go][piece] + inner), out[2].append(e - s)
         who, at, n = (np.concatenate(x) for x in out)
         return pa.table({"id": owner[who], "start": at.astype(np.int64), "n": n.astype(np.int64)})
 

@@ -152,6 +152,12 @@ def to_binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return big.cast(pa.binary())
 
 
+def own_ids(ids: np.ndarray, doc: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The ids of the documents that occur in `doc`, and `doc` as places among these; so a cell holds no ids but its own."""
+    own, at = np.unique(doc, return_inverse=True)
+    return ids[own].astype("<i8").tobytes(), at
+
+
 def repeated(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Flags of the entries whose key occurs again in their document."""
     if not len(key):
