@@ -37,15 +37,17 @@ _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 KINDS = [["p"], ["h1", "h2", "h3", "h4", "h5", "h6"], ["li", "dd", "dt"], ["td", "th"], ["blockquote", "pre", "figcaption"], ["ul", "ol", "dl", "table"], ["div", "section"], SHELL_TAGS, MAIN_TAGS, ["html", "body"]]
 _KIND = {t: k for k, tags in enumerate(KINDS) for t in tags}
 FEATURES = len(KINDS) + 13
+#: Elements nested deeper lie beside each other, as in browsers; their text stays.
+DEPTH = 500
 
 
 class Page:
     """Block elements in document order, and the text blocks with the element that holds each."""
 
-    __slots__ = ("parent", "tag", "names", "hidden", "blocks")
+    __slots__ = ("parent", "tag", "names", "hidden", "depth", "blocks")
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.names, self.hidden = [-1], ["html"], [""], [False]
+        self.parent, self.tag, self.names, self.hidden, self.depth = [-1], ["html"], [""], [False], [0]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, words in links
         self._read(source)
 
@@ -62,10 +64,19 @@ class Page:
                 pieces.clear()
             linked = 0
 
-        size = len(source)
+        size, last = len(source), source.rfind(">") + 1  # no tag ends after `last`, so none is looked for there
+        opened: dict[str, int] = {}  # how many elements of a name are on the stack
+
+        def close(k: int) -> None:
+            for e in stack[k:]:
+                opened[self.tag[e]] -= 1
+            del stack[k:]
+
         while at < size:
-            m = _TOKEN.search(source, at)
+            m = _TOKEN.search(source, at, last) if at < last else None
             end = m.start() if m else size
+            if not m and (comment := source.find("<!--", at)) >= 0:
+                end = comment
             if end > at:
                 piece = source[at:end]
                 pieces.append(piece)
@@ -76,6 +87,8 @@ class Page:
             at = m.end()
             name = m[2] or m[5]
             if not name:
+                if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                    at = size
                 continue
             name, closing, attrs = name.lower(), (m[1] or m[4]) == "/", m[3] if m[2] else m[6]
             if name in _RAW and not closing:
@@ -95,23 +108,27 @@ class Page:
             if name in _VOID:
                 continue
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
                     if self.tag[stack[k]] == name:
-                        del stack[k:]
+                        close(k)
                         break
                 anchors = 0
                 continue
             if self.tag[stack[-1]] == "p":
-                stack.pop()
-            if name in _CLOSES:
+                close(len(stack) - 1)
+            if any(opened.get(x) for x in _CLOSES.get(name, ())):
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] in _CLOSES[name]:
-                        del stack[k:]
+                        close(k)
                         break
                     if self.tag[stack[k]] in _SCOPES[name]:
                         break
+            if len(stack) >= DEPTH:
+                close(len(stack) - 1)
             self.parent.append(stack[-1])
+            self.depth.append(len(stack))
             self.tag.append(name)
+            opened[name] = opened.get(name, 0) + 1
             self.names.append(" ".join(filter(None, (a or b or c for a, b, c in _NAMES.findall(attrs)))) if attrs else "")
             self.hidden.append(bool(attrs and _HIDDEN.search(attrs)))
             stack.append(len(self.tag) - 1)
@@ -129,11 +146,7 @@ def forest(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     first = np.cumsum([0] + [len(p.tag) for p in pages])
     n = int(first[-1])
     parent = np.array([q + f if q >= 0 else -1 for p, f in zip(pages, first) for q in p.parent], np.int64)
-    depth = np.zeros(n, np.int64)
-    up = parent.copy()
-    while (up >= 0).any():
-        depth += up >= 0
-        up = np.where(up >= 0, parent[np.maximum(up, 0)], -1)
+    depth = np.array([d for p in pages for d in p.depth], np.int64)
     x = np.zeros((n, FEATURES))
     k = len(KINDS)
     x[np.arange(n), [_KIND.get(t, 6) for p in pages for t in p.tag]] = 1
@@ -147,8 +160,7 @@ def forest(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             links[e] += linked
             copy[e] += text[0] == "©" or "copyright" in text[:40].lower()
     words[:] = own
-    for d in range(int(depth.max(initial=0)), 0, -1):  # sums over subtrees
-        at = np.flatnonzero(depth == d)
+    for at in _levels(depth)[:0:-1]:  # sums over subtrees
         np.add.at(words, parent[at], words[at])
         np.add.at(links, parent[at], links[at])
     share = links / np.maximum(words, 1)
@@ -184,7 +196,8 @@ class Model:
 
 
 def _levels(depth: np.ndarray) -> list[np.ndarray]:
-    return [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
+    """The nodes of every depth, in page order."""
+    return np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth, minlength=1))[:-1])
 
 
 def fit(sources: list[str], content: list[set[str]], steps: int = 150) -> Model:
@@ -196,8 +209,7 @@ def fit(sources: list[str], content: list[set[str]], steps: int = 150) -> Model:
         for e, text, _ in p.blocks:
             if text in blocks:
                 y[e + f] = 1
-    for d in range(int(depth.max()), 0, -1):
-        at = np.flatnonzero(depth == d)
+    for at in _levels(depth)[:0:-1]:
         np.maximum.at(y, parent[at], y[at])
     # conditional likelihood: its gradient is what is seen less what the marginals expect
     levels, inner = _levels(depth), np.flatnonzero(parent >= 0)
@@ -312,6 +324,8 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
 
     Character references are decoded, white space within a block is one space, blocks are joined by two
     line ends in page order. A null or empty page, or one without content, has an empty text.
+    Very long, deeply nested and broken pages are read whole, in time that grows with their length. Rows with a null or
+    repeated id, and equal pages, are told each; other columns don't matter. An empty table gives no rows.
     """
     model = model or fit(*labelled_pages())
 
