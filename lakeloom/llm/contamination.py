@@ -22,6 +22,18 @@ LEAST = 5
 COVERAGE = 0.5
 #: Passages are sent to all tasks up to so many bytes, which are counted first; else seeds are joined.
 BROADCAST_BYTES = 32 << 20
+#: Equal seeds of two texts that are listed at once, about.
+HITS = 1 << 20
+
+
+def _joined(side: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Runs (diagonal, start, end), those that meet on a diagonal joined."""
+    order = np.lexsort((start, side))
+    side, start, end = side[order], start[order], end[order]
+    new = np.ones(len(side), bool)
+    new[1:] = (side[1:] != side[:-1]) | (start[1:] != end[:-1])
+    first = np.flatnonzero(new)
+    return np.stack([side[first], start[first], end[np.append(first[1:], len(end)) - 1]]) if len(first) else np.zeros((3, 0), np.int64)
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -33,18 +45,21 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]
         return []
     order = np.argsort(hb, kind="stable")
     lo, hi = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    i = np.repeat(np.arange(len(ha)), hi - lo)
-    if not len(i):
+    # hits in a row on one diagonal are one run; texts that repeat themselves have many hits, so they are listed in blocks
+    total = np.cumsum(hi - lo)
+    if not len(total) or not total[-1]:
         return []
-    j = order[np.repeat(lo, hi - lo) + np.arange(len(i)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
-    # hits in a row on one diagonal are one maximal run
-    order = np.lexsort((i, i - j))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] - j[1:] != i[:-1] - j[:-1]) | (i[1:] != i[:-1] + 1)
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(i))) + least - 1
-    heap = [(-int(n), int(x), int(y)) for n, x, y in zip(size, i[first], j[first])]
+    block = (total - 1) // HITS
+    runs = [np.zeros((3, 0), np.int64)]
+    for part in np.split(np.arange(len(ha)), np.flatnonzero(np.diff(block)) + 1):
+        n = (hi - lo)[part]
+        i = np.repeat(part, n)
+        j = order[np.repeat(lo[part], n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        runs.append(_joined(i - j, i, i + 1))
+    side, x, end = _joined(*np.concatenate(runs, axis=1))
+    size = end - x + least - 1
+    y = x - side
+    heap = list(zip((-size).tolist(), x.tolist(), y.tolist()))
     heapq.heapify(heap)
     free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
     while heap:
@@ -118,9 +133,10 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     A-Z is lower-cased; words are runs without ASCII white space. coverage: the largest share of a
     passage's words that tiles cover, by item_id (the smallest on ties; null if no seed is shared);
     n_items: passages covered to at least `coverage`. A passage of fewer than `least` words is found
-    only whole; one without words never. Null and empty texts share nothing. Up to `broadcast_bytes`
-    of passages, each document is tiled where it is read; beyond, seeds are joined and only
-    documents with a seed move.
+    only whole; one without words never. Null and empty texts share nothing; rows with a null or repeated id
+    are judged each by their own text; very long texts are tiled whole. Passages with a null id or text are left out.
+    Up to `broadcast_bytes` of passages, each document is tiled where it is read; beyond, seeds are joined
+    and only texts with a seed move. Both ways give the same rows.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("passage")).filter("item_id is not null and passage is not null")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -139,32 +155,54 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
 
         return rows.mapInArrow(here, SCHEMA)
 
-    def seeds(name: str, widths: list[int]):
-        def run(batches):
-            for batch, buf, off in textkit.parts(batches, text=batch_text):
-                h, d, _, _ = textkit.word_hashes(buf, off)
-                n = np.bincount(d, minlength=len(batch))
-                for k in widths:
-                    w, at = textkit.windows(h, d, k)
-                    if name == "item_id":  # a passage's seeds are as wide as it allows
-                        keep = np.minimum(n[d[at]], least) == k
-                        w, at = w[keep], at[keep]
-                    pair = np.unique(np.stack([d[at], w.view(np.int64)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[0])), pa.array(pair[1])], [name, "seed"])
-
-        batch_text = "passage" if name == "item_id" else "text"
-        return run
-
-    widths = list(range(1, least + 1))
-    item_seeds = store.cut(items.mapInArrow(seeds("item_id", widths), "item_id long, seed long"))
-    doc_seeds = rows.filter("doc_id is not null").mapInArrow(seeds("doc_id", widths), "doc_id long, seed long")
-    pairs = doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id").distinct().join(items, "item_id")
-    lists = store.cut(pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "passage"))).alias("own")))
-
-    def there(batches):
-        for batch, buf, off in textkit.parts(batches):
-            h, d, _, _ = textkit.word_hashes(buf, off)
-            own = [[(r["item_id"], textkit.word_hashes(*textkit.flat(pa.array([r["passage"]], pa.string())))[0]) for r in cell or []] for cell in batch.column(2).to_pylist()]
-            yield _judged(batch.column(0).to_pylist(), h, d, own.__getitem__, least, coverage)
+    return _by_seeds(rows, items, least, coverage)
+
 
-    return rows.join(lists, "doc_id", "left").select("doc_id", "text", "own").mapInArrow(there, SCHEMA)
+def _seeds(df: DataFrame, key: str, text: str, least: int, widths: list[int] | None = None) -> DataFrame:
+    """(key, seed): windows of words. widths: all of these; None: as wide as a passage allows, and (width) tells."""
+
+    def run(batches):
+        for batch, buf, off in textkit.parts(batches, text=text):
+            h, d, _, _ = textkit.word_hashes(buf, off)
+            n = np.bincount(d, minlength=len(batch))
+            for k in widths or range(1, least + 1):
+                w, at = textkit.windows(h, d, k)
+                if widths is None:
+                    own = np.minimum(n[d[at]], least) == k
+                    w, at = w[own], at[own]
+                pair = np.unique(np.stack([d[at], w.view(np.int64)]), axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[0])), pa.array(pair[1]), pa.array(np.full(pair.shape[1], k))], [key, "seed", "width"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} long, seed long, width long")
+
+
+def _by_seeds(rows: DataFrame, items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """check() for passages too large to be broadcast. Texts are named by a hash, so copies are tiled once, whatever their ids;
+    a text and a passage that share a seed are one row, so no task gets all the passages of a text."""
+    item_seeds = store.cut(_seeds(items, "item_id", "passage", least))
+    widths = sorted(r[0] for r in item_seeds.select("width").distinct().collect())  # `least` at most
+    named = rows.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = named.groupBy("key").agg(F.first("text").alias("text"))
+    if not widths:
+        widths = [least]
+    pairs = _seeds(texts, "key", "text", least, widths).join(item_seeds.drop("width"), "seed").select("key", "item_id").distinct()
+    both = store.cut(pairs).join(items, "item_id").join(named.select("key", "text").dropDuplicates(["key"]), "key").select("key", "item_id", "passage", "text")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for key, item, passage, text in zip(*(c.to_pylist() for c in batch.columns)):
+                a, b = (textkit.word_hashes(*textkit.flat(pa.array([x], pa.string())))[0] for x in (text, passage))
+                found = tiles(a, b, least)
+                out.append((key, item, sum(n for _, _, n in found) / len(b), len(found)))
+            cols = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["key", "item_id", "share", "n_tiles"])
+
+    tiled = both.mapInArrow(run, "key long, item_id long, share double, n_tiles long").filter("share > 0")
+    best = F.max_by(F.struct("item_id", "share", "n_tiles"), F.struct("share", -F.col("item_id")))
+    judged = tiled.groupBy("key").agg(F.count_if(F.col("share") >= coverage).alias("n"), best.alias("best"))
+    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    n = F.coalesce("n", F.lit(0)).cast("long")
+    out = named.select("doc_id", "key", n_words.alias("n_words")).join(judged, "key", "left")
+    share, count = F.coalesce("best.share", F.lit(0.0)), F.coalesce("best.n_tiles", F.lit(0)).cast("long")
+    return out.select("doc_id", "n_words", n.alias("n_items"), F.col("best.item_id").alias("item_id"), share.alias("coverage"), count.alias("n_tiles"), (n > 0).alias("contaminated"))
