@@ -120,11 +120,14 @@ class WordTokens:
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): whole sequences' worth of a document's ids, then what is left."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, serial): whole sequences' worth of a document's ids, then what is left.
+
+    serial numbers a task's pieces, so that rows which are alike need not lie together.
+    """
 
     def run(batches):
-        encode = WordTokens(path)
-        for batch, buf, off in textkit.parts(batches, limit=4 << 20):
+        encode, serial = WordTokens(path), 0
+        for batch, buf, off in textkit.parts(batches):
             ids, count = encode(buf, off)
             name, rows, lo = batch.column(0).to_pylist(), [], 0
             for x, n in zip(name, count.tolist()):
@@ -132,24 +135,27 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
                 lo += n
                 for start in range(0, n + 1, length):
                     rows.append((x, start, min(length, n + 1 - start), zlib.crc32(own[start : start + length]), n + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            numbers = np.arange(serial, serial := serial + len(rows))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(numbers)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "serial"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, serial long")
 
 
 def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID, group_docs: int = GROUP_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null or empty text is one piece with the end id alone. A document is cut after every `length`
-    ids; what is left stays whole. Repeated ids are packed as often as they stand; a null id keeps its
-    row. sequence_id is the group's number times 2^32 plus the bin's; offsets are gapless from 0.
+    ids; what is left stays whole. Repeated ids are packed as often as they stand, in groups of
+    their own each; a null id keeps its row. Very long texts are cut like others, and their pieces may lie in any groups. Other
+    columns don't matter; an empty table gives no rows. sequence_id is the group's number times 2^32 plus the bin's; offsets are gapless from 0.
     """
     groups = max(1, docs.count() // group_docs)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "serial"], kind="stable")
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=pdf["grp"].to_numpy() * 2**32 + bins, offset=offsets).drop(columns="grp")
+        return pdf.assign(sequence_id=pdf["grp"].to_numpy() * 2**32 + bins, offset=offsets).drop(columns=["grp", "serial"])
 
-    cut = pieces(docs, path, length, end_id, id_col, text_col).withColumn("grp", F.pmod(F.xxhash64(F.lit("pack"), "doc_id", F.when(F.col("doc_id").isNull(), F.col("ids_crc32"))), F.lit(groups)))
+    group = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "start", "ids_crc32", "serial"), F.lit(groups))
+    cut = pieces(docs, path, length, end_id, id_col, text_col).withColumn("grp", group)
     return cut.groupBy("grp").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
