@@ -39,16 +39,51 @@ def components(docs, percent=75):
 
 
 def later_lines(docs, percent=80, least=4):
-    """{id: numbers of the lines with a similar earlier line}"""
-    seen, out = [], defaultdict(list)
+    """{id: numbers of the lines with a similar earlier line}. Lines are compared with those that share a word, by counting shared words."""
+    sets, by_word, equal, out = [], defaultdict(list), set(), defaultdict(list)
     for i, t in sorted(docs):
         for k, line in enumerate((t or "").split("\n")):
-            s = set(words(line))
+            s = frozenset(words(line))
             if len(s) < least:
                 continue
-            if any(100 * len(s & o) >= percent * len(s | o) for o in seen):
+            if s in equal:
                 out[i].append(k)
-            seen.append(s)
+                continue
+            common = Counter(n for w in s for n in by_word[w])
+            if any(100 * c >= percent * (len(s) + len(sets[n]) - c) for n, c in common.items()):
+                out[i].append(k)
+            for w in s:
+                by_word[w].append(len(sets))
+            sets.append(s)
+            equal.add(s)
+    return out
+
+
+def later_units(docs, unit, run_words):
+    """{id: (units with a word, removed units, their spans, text that is left)}"""
+    parted = {"line": r"(?<=\n)", "paragraph": r"(?<=\n\n)", "sentence": r"(?<=\n)|(?<=[.!?][ \t])"}[unit]
+    seen, out = set(), {}
+    for i, t in sorted(docs):
+        at, run, runs, gone, left, n = 0, [], [], [], [], 0
+        for piece in re.split(parted, t or ""):
+            key = tuple(words(piece))
+            if key:
+                n += 1
+                if key in seen:
+                    run.append((at, at + len(piece), len(key)))
+                else:
+                    runs.append(run)
+                    run = []
+                seen.add(key)
+            at += len(piece)
+        for r in [*runs, run]:
+            if sum(w for *_, w in r) >= run_words:
+                gone += [(a, b) for a, b, _ in r]
+        at = 0
+        for a, b in gone:
+            left.append((t or "")[at:a])
+            at = b
+        out[i] = n, len(gone), ",".join(f"{a}-{b}" for a, b in gone), "".join(left) + (t or "")[at:]
     return out
 
 
@@ -79,22 +114,29 @@ def statistics(text):
 
 
 def tile_coverage(doc, item, least=5):
-    """Greedy string tiling by trying every pair of starts."""
+    """Greedy string tiling: the longest common free run, by a table of common suffix lengths, is marked until none is long enough; ties by the earliest start in doc, then in item."""
     a, b = words(doc), words(item)
-    least = min(least, len(b))
+    least = max(1, min(least, len(b)))
     free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
-    while True:
-        best = (0, 0, 0)
-        for i in range(len(a)):
-            for j in range(len(b)):
-                n = 0
-                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
-                    n += 1
-                if n > best[0]:
-                    best = (n, i, j)
-        n, i, j = best
-        if n < max(least, 1):
-            return covered / len(b) if b else 0.0
+    where = defaultdict(list)
+    for j, w in enumerate(b):
+        where[w].append(j)
+    while b:
+        best, above = (0, 0, 0), {}
+        for i, w in enumerate(a):
+            row = {j: above.get(j - 1, 0) + 1 for j in where.get(w, ()) if free_a[i] and free_b[j]}
+            for j, n in row.items():
+                best = min(best, (-n, i - n + 1, j - n + 1))
+            above = row
+        n, i, j = -best[0], best[1], best[2]
+        if n < least:
+            break
         covered += n
-        for d in range(n):
-            free_a[i + d] = free_b[j + d] = False
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+    return covered / len(b) if b else 0.0
+
+
+def covered(doc, item, share=0.5, least=5):
+    """Does tiling cover the share? First whether enough words of the item are in the document at all, which is cheap."""
+    a, b = set(words(doc)), words(item)
+    return bool(b) and sum(w in a for w in b) >= share * len(b) and tile_coverage(doc, item, least) >= share

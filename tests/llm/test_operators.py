@@ -1,4 +1,8 @@
+import html
 import math
+import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -39,12 +43,38 @@ def test_near_duplicates_link_documents_that_the_pivot_rejects(frame):
     assert as_components(minhash.near_duplicates(frame(chain + far))) == brute.components(chain + far)
 
 
+def test_near_duplicates_around_a_pivot_that_rejects_many(frame):
+    """Copies of one text with few to many edits, and a second crowd that is far from the first pivot."""
+    rng = random.Random(3)
+    base, other = [f"w{i}" for i in range(90)], [f"w{i}" for i in range(60)] + [f"v{i}" for i in range(60)]
+
+    def copy(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(40)}"
+        return " ".join(words)
+
+    docs = [(k, copy(base, k % 12)) for k in range(150)] + [(200 + k, copy(other, k % 4)) for k in range(40)]
+    want = brute.components(docs)
+    assert 20 < len({c for _, c in want.values()}) < 150
+    assert as_components(minhash.near_duplicates(frame(docs))) == want
+
+
 def test_near_duplicates_of_nothing_and_of_repeated_rows(spark, frame):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     out = minhash.near_duplicates(frame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "x"), (2, "a b c d e f")]))
     assert sorted(tuple(r) for r in out.collect()) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
 
 
+def test_near_duplicates_tell_rows_of_one_id_by_their_texts(frame):
+    """Id 5 stands with a text that is like id 1's and with one that is like id 3's."""
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    docs = [(5, one), (5, two), (1, one + " more"), (3, two + " more"), (7, "alone here")]
+    for parts in (1, 4):
+        got = sorted(tuple(r) for r in minhash.near_duplicates(frame(docs, parts)).collect())
+        assert got == [(1, 57, 1, True), (3, 57, 3, True), (5, 56, 1, False), (5, 56, 3, False), (7, 1, 7, True)]
+
+
 def test_components_are_the_smallest_ids_reachable(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in store.components(edges).collect()}
@@ -83,12 +113,27 @@ def test_line_dedup_of_nothing_and_of_repeated_rows(spark, frame):
 
 
 def test_units_keep_the_earliest_and_their_offsets(spark, frame):
-    docs = [(2, "a b c d\nfresh line of words\nA  b c D"), (1, "x\na b c d"), (3, None), (4, ""), (5, "x\nx")]
+    docs = [(2, "a b c d\nfresh line of words\nA  b c D"), (1, "x\na b c d"), (3, None), (4, ""), (5, "x\nx"), (None, "x")]
     got = {r["doc_id"]: (r["n_units"], r["removed_spans"], r["kept_text"]) for r in unit_dedup.deduplicate(frame(docs)).collect()}
-    assert got == {1: (2, "", "x\na b c d"), 2: (3, "0-7,28-36", "fresh line of words"), 3: (0, "", ""), 4: (0, "", ""), 5: (2, "", "x\nx")}
+    assert got == {1: (2, "", "x\na b c d"), 2: (3, "0-8,28-36", "fresh line of words\n"), 3: (0, "", ""), 4: (0, "", ""), 5: (2, "0-2,2-3", "")}
     assert unit_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_units_of_every_kind_and_rows_that_repeat(frame):
+    docs = [(1, "p q r\n\ns t\nu\n\nv"), (2, "new\n\nS t\nu\n\nv w"), (2, "new\n\nS t\nu\n\nv w"), (3, "new\n\nother")]
+    got = [tuple(r) for r in unit_dedup.deduplicate(frame(docs), "paragraph").collect()]
+    twice = (2, 3, 1, "5-12", "new\n\nv w")
+    assert sorted(got) == [(1, 3, 0, "", docs[0][1]), twice, twice, (3, 2, 1, "0-5", "other")]
+
+
+@pytest.mark.parametrize("unit,run_words", [("line", 1), ("line", 8), ("sentence", 1), ("sentence", 25), ("paragraph", 3)])
+def test_units_equal_brute_force(frame, corpus, unit, run_words):
+    long = "Word by word it goes. " * 4000
+    docs = corpus + [(400, "one a. two b! three c? four.\n\n\nfive d"), (401, "zero. Two  b! three c? six\tfour.\nfive d"), (402, long), (403, "so. " + long)]
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in unit_dedup.deduplicate(frame(docs), unit, run_words).collect()}
+    assert got == brute.later_units(docs, unit, run_words)
+
+
 def as_repeats(df):
     return {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()}
 
@@ -104,8 +149,42 @@ def test_suffix_dedup_of_nothing_repeats_and_nulls(spark, frame):
     assert sorted((str(r["doc_id"]), r["n_removed"]) for r in rows) == [("1", 150), ("1", 150), ("2", 0), ("3", 299), ("None", 127)]
 
 
-def test_difference_cover_covers():
-    assert {int(a - b) % suffixes.V for a in suffixes.COVER for b in suffixes.COVER} == set(range(suffixes.V))
+def test_difference_covers_cover():
+    for cover, v in ((suffixes.COVER, suffixes.V), (suffixes.SORT_COVER, suffixes.W)):
+        assert {int(a - b) % v for a in cover for b in cover} == set(range(v))
+
+
+@pytest.mark.parametrize("block", [1 << 18, 50])
+def test_suffixes_are_ordered_as_by_a_plain_sort(block, monkeypatch):
+    """Ranks of the samples, the order of tied suffixes, and the places that are later, with many long ties and zeros in the texts."""
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    shared = [rng.integers(0, 3, 300).astype(np.uint8).tobytes() for _ in range(3)] + [b"\0" * 200, b"ab" * 150]
+    texts = [b"".join(shared[int(i)][int(j) :] for i, j in zip(rng.integers(0, 5, 3), rng.integers(0, 90, 3))) for _ in range(12)]
+    length, gap, W = 100, 2 * suffixes.W, suffixes.W
+    size, start = np.array([len(t) for t in texts]), rng.integers(0, 500, len(texts))
+    buf = np.frombuffer(b"".join(t + b"\0" * gap for t in texts), np.uint8)
+    raw, first = buf.tobytes(), np.cumsum(size + gap) - size - gap
+    of = lambda i, depth: raw[i : i + depth]
+    places = [(f + k, (s + k) % W, f + n) for f, s, n in zip(first.tolist(), start.tolist(), size.tolist()) for k in range(n)]
+    samples = [(i, end) for i, r, end in places if r in suffixes.SORT_COVER]
+    ranks = suffixes.sample_ranks(suffixes._words(buf), *np.array(samples).T, length)
+    inner = sorted((of(i, length), ranks[i]) for i, end in samples if i + length <= end)
+    assert all((x[0] < y[0]) <= (x[1] < y[1]) for x, y in zip(inner, inner[1:]))
+    suffix = [i for i, _, end in places if i + length <= end]
+    residue = np.zeros(len(buf), np.int64)
+    residue[[p[0] for p in places]] = [p[1] for p in places]
+    at = np.array(sorted(suffix, key=lambda i: of(i, W)))
+    group = np.cumsum([i > 0 and of(at[i], W) != of(at[i - 1], W) for i in range(len(at))])
+    got = [of(i, length) for i in suffixes.order_tied(at, group, residue, ranks)]
+    assert got == sorted(got)
+    seen, want = set(), []
+    for i in suffix:
+        if of(i, length) in seen:
+            want.append(i)
+        seen.add(of(i, length))
+    s, e = suffixes.later_places(buf, size, start, size - length + 1, length)
+    assert [i for a, b in zip(s, e) for i in range(a, b)] == want
 
 
 # ---- statistics and models
@@ -154,6 +233,65 @@ def test_anomalies_without_labels_follow_the_base_rules(spark, frame, corpus):
     assert anomaly.verdicts(empty(spark), labels).count() == 0
 
 
+def test_forest_and_bound_equal_plain_versions():
+    """Path lengths by walking every tree, and the calibrated bound by trying every score."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    x[:12] += 6
+    forest = anomaly.Forest(x, trees=20, sample=64)
+
+    def path(tree, row):
+        split, bound, child, depth = tree
+        at = 0
+        while split[at] >= 0:
+            at = child[at] + (row[split[at]] > bound[at])
+        return depth[at]
+
+    def usual(n):
+        return 2 * (sum(1 / k for k in range(1, n)) - (n - 1) / n)
+
+    want = [2 ** (-np.mean([path(t, row) for t in forest.trees]) / usual(64)) for row in x]
+    got = forest.score(x)
+    assert np.allclose(got, want, atol=2e-3) and got[:12].min() > np.median(got[12:])
+    y = np.array([0] * 12 + [1] * 288)
+    bound = anomaly.calibrate(got, y, 0.01)
+    allowed = [b for b in np.unique(got) if np.mean(got[y == 1] > b) <= 0.01]
+    assert np.mean(got[y == 1] > bound) <= 0.011 and (got[y == 0] > bound).sum() == max((got[y == 0] > b).sum() for b in allowed)
+
+
+def test_rules_are_paths_and_the_lasso_is_at_its_optimum():
+    """Every kept rule is a conjunction that holds for some rows; at the optimum no weight's gradient beats the penalty."""
+    rng = np.random.default_rng(10)
+    x = rng.random((800, 5))
+    y = ((x[:, 0] > 0.6) | ((x[:, 1] < 0.3) & (x[:, 2] > 0.5))).astype(int)
+    model = quality.fit(x, y, list("abcde"), trees=10, penalty=0.004)
+    holds = np.array([[all((row[j] > b) == above for j, above, b in rule) for rule in model.rules] for row in x], float)
+    score = 1 / (1 + np.exp(-(model.intercept + holds @ model.weights)))
+    assert np.allclose(score, model.score(x)) and np.mean((score > 0.5) == y) > 0.97
+    gradient = (holds - holds.mean(0)).T @ (score - y) / len(y)
+    assert np.allclose(gradient, -0.004 * np.sign(model.weights), atol=1.5e-3) and abs((score - y).mean()) < 1e-3
+
+
+def test_models_judge_rows_with_null_and_repeated_ids_and_long_texts(spark, judged):
+    _, labels = judged
+    long = "plain words stand here in a row. " * 30_000
+    rows = [(None, "a b"), (None, None), (3, long), (3, "other text"), (3, "other text"), (4, "")]
+    df = spark.createDataFrame([(i, t, 0.5, True) for i, t in rows], "doc_id long, text string, score double, kept boolean")
+    scored = quality.scored(df, labels).collect()
+    assert sorted(str(r["doc_id"]) for r in scored) == sorted(str(i) for i, _ in rows) and all(0 <= r["score"] <= 1 for r in scored)
+    verdicts = anomaly.verdicts(df, labels).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"]) for r in verdicts) == sorted((str(i), len(brute.words(t))) for i, t in rows)
+
+
+def test_the_labelled_sample_is_bounded_before_it_is_sorted(spark):
+    table = spark.range(5000).select(F.col("id").alias("doc_id"), *(F.col("id").cast("double").alias(c) for c in stats.RATIOS))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    x, y = stats.labelled(table, labels, 400)
+    again, _ = stats.labelled(table.repartition(7), labels, 400)
+    assert len(x) == len(y) == 400 and np.array_equal(x, again) and set(y) == {0, 1}
+    assert len(stats.labelled(table, labels, 9000)[0]) == 5000
+
+
 # ---- language model
 
 
@@ -193,7 +331,7 @@ def brute_scores(docs, held):
     return n, {i: (len(w), sum(c1[x] > 0 for x in w), sum(math.log10((c1[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), sum(math.log10(p(*g)) for g in zip([b" ", b" ", *w], [b" ", *w], w))) for i, w in texts.items()}
 
 
-@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500, "shard_tokens": 300, "hot_count": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500, "shard_tokens": 300, "hot_count": 20}, {"shard_tokens": 50, "hot_count": 5, "batch_tokens": 1}])
 def test_scores_equal_brute_force(frame, corpus, sizes):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     n, want = brute_scores(corpus, held)
@@ -202,7 +340,7 @@ def test_scores_equal_brute_force(frame, corpus, sizes):
     for r in rows:
         tokens, known, base, score = want[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (tokens, known, n, held(r["doc_id"]))
-        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 4e-3 * tokens
+        assert r["base_score"] == pytest.approx(base) and abs(r["score"] - score) < 5e-4 * tokens
 
 
 def test_chunks_agree_where_the_first_words_go(spark):
@@ -217,7 +355,7 @@ def test_chunks_agree_where_the_first_words_go(spark):
     df = spark.createDataFrame(spark.sparkContext.parallelize(docs, 3), "doc_id long, text string")
     rows = language_model.score(df, F.lit(False), shard_tokens=100, hot_count=20).collect()
     assert len(rows) == len(docs)
-    assert max(abs(r["score"] - want[r["doc_id"]][3]) / r["n_tokens"] for r in rows) < 4e-3
+    assert max(abs(r["score"] - want[r["doc_id"]][3]) / r["n_tokens"] for r in rows) < 5e-4
 
 
 @pytest.mark.parametrize("sizes", [{}, {"bucket_bytes": 500, "shard_tokens": 30, "hot_count": 3}])
@@ -231,7 +369,7 @@ def test_scores_of_rows_that_repeat_an_id_or_have_none(spark, sizes):
     got = sorted(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in got)
     want = sorted(key(i, (t or "").startswith("held"), *want[k]) for k, (i, t) in enumerate(rows))
     assert [x[:5] for x in got] == [x[:5] for x in want]
-    assert all(abs(x[5] - y[5]) < 4e-3 * x[2] for x, y in zip(got, want))
+    assert all(abs(x[5] - y[5]) < 5e-4 * x[2] for x, y in zip(got, want))
 
 
 def test_scores_of_nothing_and_without_training_rows(spark, frame):
@@ -248,14 +386,29 @@ def test_tiling_equals_brute_force_and_finds_reordered_passages(frame, corpus, s
     docs = corpus + [(200, moved), (201, "y " + item.upper() + " z"), (202, "alpha beta gamma delta q epsilon")]
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one two three"), (5, corpus[20][1][:200])], "item_id long, text string")
     texts = {1: item, 4: "one two three", 5: corpus[20][1][:200]}
+    docs += [(None, "y " + item), (None, "z"), (201, "no passage here"), (203, "alpha beta gamma delta epsilon " * 700)]
+    per_text = {t: [(i, brute.tile_coverage(t, x)) for i, x in texts.items()] for _, t in docs}
+    want = sorted(((i, len(brute.words(t)), sum(c >= 0.5 for _, c in per_text[t]), max(c for _, c in per_text[t])) for i, t in docs), key=str)
     for limit in (1 << 20, 0):
-        rows = {r["doc_id"]: r for r in contamination.check(frame(docs), bench, broadcast_bytes=limit).collect()}
-        for i, t in docs:
-            best = max(brute.tile_coverage(t, x) for x in texts.values()) if len(brute.words(t)) < 400 else rows[i]["coverage"]
-            assert rows[i]["coverage"] == pytest.approx(best)
-        assert rows[200]["contaminated"] and rows[200]["n_tiles"] == 2 and rows[201]["contaminated"] and not rows[202]["contaminated"]
-    assert contamination.check(empty(spark), bench).count() == 0
-    assert not any(r["contaminated"] for r in contamination.check(frame(docs), bench.limit(0)).collect())
+        rows = contamination.check(frame(docs), bench, broadcast_bytes=limit).collect()
+        got = sorted(((r["doc_id"], r["n_words"], r["n_items"], r["coverage"]) for r in rows), key=str)
+        assert [x[:3] for x in got] == [x[:3] for x in want] and [x[3] for x in got] == pytest.approx([x[3] for x in want])
+        by = {(r["doc_id"], r["n_words"]): r for r in rows}
+        assert by[200, 15]["contaminated"] and by[200, 15]["n_tiles"] == 2 and by[None, 13]["contaminated"] and not by[202, 6]["contaminated"]
+        assert all(r["item_id"] == min((i for i, c in per_text[dict(docs)[r["doc_id"]]] if c == r["coverage"]), default=None) for r in rows if r["coverage"] and r["doc_id"] not in (None, 201))
+        assert contamination.check(empty(spark), bench, broadcast_bytes=limit).count() == 0
+        assert not any(r["contaminated"] for r in contamination.check(frame(docs), bench.limit(0), broadcast_bytes=limit).collect())
+
+
+def test_tiling_of_texts_that_repeat_themselves_in_blocks(monkeypatch):
+    monkeypatch.setattr(contamination, "HITS", 7)
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        a, b = ([f"w{x}" for x in rng.integers(0, 3, n)] for n in (rng.integers(1, 60), rng.integers(1, 30)))
+        h = [textkit.word_hashes(*textkit.flat(pa.array([" ".join(x)])))[0] for x in (a, b)]
+        found = contamination.tiles(*h, 3)
+        assert sum(n for *_, n in found) / len(b) == pytest.approx(brute.tile_coverage(" ".join(a), " ".join(b), 3))
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in found)
 
 
 def test_first_fit_decreasing_equals_a_linear_search():
@@ -312,6 +465,41 @@ def test_pages_main_text(spark):
     assert html_main.extract(rows.limit(0), model).count() == 0
 
 
+def test_given_pages_give_their_articles(spark):
+    """The article's blocks by a plain reading of the one <article> that the given pages have, and where the model looks for them."""
+    blocks = re.compile(r"<(?:p|h[1-6]|li|blockquote|td|pre|div)\b[^>]*>|</(?:p|h[1-6]|li|blockquote|td|pre|div|ul|ol|table|tr)>|<(?:ul|ol|table|tr)\b[^>]*>")
+
+    def plain(source):
+        inner = re.search(r"<article[^>]*>(.*?)</article>", source, re.S)[1]
+        inner = re.sub(r"<(script|style|aside|form|nav|figure)\b.*?</\1>|<!--.*?-->", "", inner, flags=re.S)
+        inner = re.sub(r"<div[^>]*class=\"[^\"]*(?:comment|ad|notice|share|promo)[^\"]*\".*?</div>", "", inner, flags=re.S)
+        parts = [" ".join(html.unescape(re.sub(r"<br\s*/?>", " ", x)).split()) for x in blocks.split(inner)]
+        return "\n\n".join(" ".join(html.unescape(re.sub(r"<[^>]+>", "", p)).split()) for p in parts if re.sub(r"<[^>]+>", "", p).strip())
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    sources = {r["page_id"]: r["html"] for r in pages.collect() if r["html"] and "<article" in r["html"]}
+    got = {r["page_id"]: r["text"] for r in html_main.extract(pages).collect()}
+    same = [got[i] == plain(s) for i, s in sources.items()]
+    assert len(same) > 10 and np.mean(same) > 0.9
+
+
+@pytest.mark.parametrize("source,text", [("<div>" * 100_000 + "<p>" + "word " * 50, None), ("<a x" * 100_000, None), ("<p>" + "word " * 30 + "</p>" + "</x>" * 100_000, None), ("<ul>" + "<li>x<div>" * 50_000, None), ("text " * 200_000, " ".join(["text"] * 200_000)), ("<!-- x " * 50_000, "")])
+def test_long_nested_and_broken_pages_take_little_time(source, text):
+    model = html_main.fit(*html_main.labelled_pages(60), steps=30)
+    began = time.process_time()
+    (got,) = html_main.main_texts([source], model)
+    assert time.process_time() - began < 10 and (text is None or got in (text, ""))
+
+
+def test_pages_with_repeated_ids_nulls_and_other_columns(spark):
+    page = "<article><p>" + "some words of text " * 20 + "</p></article>"
+    rows = spark.createDataFrame([(1, page, "a", 5), (1, page, "b", 6), (None, page, None, None), (2, "", "c", 7), (2, None, "c", 7)], "page_id long, html string, text string, n_chars int")
+    model = html_main.fit(*html_main.labelled_pages(100), steps=60)
+    got = sorted(tuple(map(str, r)) for r in html_main.extract(rows, model).collect())
+    text = ("some words of text " * 20).strip()
+    assert got == sorted([("1", "None", text, str(len(text)))] * 2 + [("None", "None", text, str(len(text)))] + [("2", "None", "", "0")] * 2)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(4)
     model = html_main.Model(rng.normal(size=3), rng.normal(size=(2, 2)))

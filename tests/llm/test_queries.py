@@ -24,19 +24,21 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(queries.queries()[name](spark, sf_dir), connect(sf_dir), queries.oracle_sql()[name])
 
 
-def test_units_of_any_length_go_where_they_stand_earlier(spark, sf_dir):
-    """Also lines of fewer than 4 words and long ones without white space."""
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    seen, want, short = set(), {}, 0
-    for i, t in sorted((r[0], r[1] or "") for r in texts):
-        want[i] = 0
-        for unit in t.split("\n"):
-            norm = tuple(brute.words(unit))
-            want[i] += bool(norm) and norm in seen
-            short += 0 < len(norm) < 4 and norm in seen
-            seen.add(norm)
-    got = {r["doc_id"]: r["n_removed"] for r in queries.op6_substring_dedup(spark, sf_dir).collect()}
-    assert short and got == want
+def test_repeated_passages_go_and_other_texts_stay(spark):
+    """Documents with 51 words in a row of an earlier one lose some text; those that share no such run with any other keep theirs."""
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r[0]: brute.words(r[1]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    first, later, shared = {}, set(), set()
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - 50):
+            o = first.setdefault(tuple(texts[i][k : k + 51]), i)
+            if o != i:
+                later.add(i)
+                shared |= {i, o}
+    clean = {i for i, w in texts.items() if w} - shared
+    got = {r["doc_id"]: r["n_removed"] > 0 for r in queries.op6_substring_dedup(spark, sf_dir).collect()}
+    assert sum(got[i] for i in later) >= 0.9 * len(later) > 50
+    assert sum(not got[i] for i in clean) >= 0.9 * len(clean) > 500
 
 
 def test_lines_of_any_length_go_in_the_query_and_the_pipeline(spark, sf_dir):
@@ -66,19 +68,17 @@ def test_queries_return_their_columns_for_every_row(spark, sf_dir):
             assert df.select(key).distinct().count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
 
 
-def test_pipeline_equals_brute_force(spark, sf_dir):
+def test_corpus_run_equals_brute_force(spark, sf_dir):
     """All stages by plain code, but for the fitted scores, which are the classifier's own."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).select("doc_id", "text").collect()
-    later = brute.later_lines([(r[0], r[1]) for r in good])
+    later = brute.later_lines([(r[0], r[1]) for r in good], least=1)
     texts = {r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in later[r[0]]) for r in good}
     texts = {i: t for i, t in texts.items() if not later[i] or brute.words(t)}
     linked = brute.components(list(texts.items()))
     texts = {i: t for i, t in texts.items() if linked[i][1] == i}
     items = [r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
-    grams = lambda t: {tuple(brute.words(t)[k : k + 5]) for k in range(len(brute.words(t)) - 4)}
-    known = [(grams(x), x) for x in items]
-    texts = {i: t for i, t in texts.items() if not any(g & grams(t) and brute.tile_coverage(t, x) >= 0.5 for g, x in known)}
+    texts = {i: t for i, t in texts.items() if not any(brute.covered(t, x) for x in items)}
     encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     encode.encode_special_tokens = True
     want = {i: len(encode.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
@@ -87,7 +87,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
     assert sum(r["length"] for r in rows) == sum(want.values())
 
 
-def test_pipeline_stages_pass_documents_on(spark, sf_dir):
+def test_corpus_stages_pass_documents_on(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -96,3 +96,28 @@ def test_pipeline_stages_pass_documents_on(spark, sf_dir):
         before = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert {r[0] for r in packed.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
+
+
+def test_corpus_stages_take_nulls_repeats_long_texts_and_clashing_columns(spark, sf_dir):
+    """Every stage over rows of every special case: a defined result, the same columns, nothing lost that it should keep."""
+    line = "these are plain words of an ordinary line that says a little about something."
+    prose = " ".join(f"word{k % 97} and{k % 89} then{k % 83}." for k in range(120))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, f"{line}\n{prose}"), (5, f"{line}\n{prose} tail"), (6, prose), (6, prose), (None, prose), (None, None), (7, "x " * 60_000), (8, f"{line}\nsomething of its own that no other text has in it")]
+    extra = "n_removed int, kept boolean, row string, gone int, id long, kept_text string, class int"
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, True, "r", 2, 3, "k", 4) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    for given in (df, df.limit(0)):
+        before = given.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, given, sf_dir)
+            assert out.columns == df.columns and out.schema.simpleString() == df.schema.simpleString(), name
+            got = out.collect()
+            assert len(got) <= before and all(r["kept_text"] == "k" and r["n_removed"] == 1 for r in got), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, given, sf_dir)
+        assert packed.agg({"length": "sum"}).first()[0] == (packed.filter("start = 0").agg({"doc_tokens": "sum"}).first()[0])
+    ids = lambda out: sorted((r["doc_id"] for r in out.collect()), key=str)
+    _, lines, near, clean, _ = (stage for _, stage in corpus_pipeline.STAGES)
+    kept = {(r["doc_id"], r["text"]) for r in lines(spark, df, sf_dir).collect()}
+    assert (5, f"{prose} tail") in kept or (5, prose) not in kept
+    assert {(1, None), (2, ""), (None, prose), (None, None)} <= kept and (8, "something of its own that no other text has in it") in kept
+    assert ids(near(spark, df, sf_dir)) == sorted([1, 2, 3, 4, 7, 8, None, None], key=str)
+    assert ids(clean(spark, df, sf_dir)) == sorted((i for i, _ in rows), key=str)
