@@ -68,7 +68,7 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
     breaks = np.flatnonzero(buf == 10)
     line = np.searchsorted(breaks, s) + d  # rises with every line end and every document
     number = np.searchsorted(breaks, s) - np.searchsorted(breaks, off[:-1])[d]
-    _, line = np.unique(line, return_inverse=True)
+    line = np.cumsum(np.diff(line, prepend=line[:1]) != 0)
     freq = count[(h >> np.uint64(44)).astype(np.int64)]
     key = (line.astype(np.uint64) << np.uint64(44)) | (freq.astype(np.uint64) << np.uint64(24)) | (h >> np.uint64(40))
     order = np.argsort(key, kind="stable")
@@ -94,38 +94,80 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
     return {k: x[keep] for k, x in zip(names, got)} | {"words": g}
 
 
-def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, buckets: int) -> DataFrame:
+def _prefix(x: dict[str, np.ndarray], k: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, word hash) of every word in the prefixes of the lines k."""
+    size = x["n"][k] - -(-percent * x["n"][k] // 100) + 1
+    who = np.repeat(k, size)
+    pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return who, pos, x["words"][x["first"][who] + pos]
+
+
+def _name(word: np.ndarray) -> np.ndarray:
+    return word >> np.uint64(20) & _NAME
+
+
+def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, buckets: int, only: np.ndarray | None = None) -> DataFrame:
     """(bucket, ids, cell, big): lines' prefixes by the bucket of their words, big for the longer marks; where big is null,
-    cell has all lines of some documents (document, number, set)."""
-    known = docs.sparkSession.sparkContext.broadcast(count)
+    cell has all lines of some documents (document, number, set). only: sorted names of the words that are asked about; lines are not told then."""
+    known = docs.sparkSession.sparkContext.broadcast((count, only))
+    small = np.uint16 if buckets < 1 << 16 else np.int64
 
     def run(batches):
+        count, only = known.value
         for batch, buf, off in textkit.parts(batches):
-            x = line_sets(buf, off, known.value, least)
+            x = line_sets(buf, off, count, least)
             ids = batch.column(0).to_numpy().astype("<i8")
             low = np.uint64((1 << 32) - 1)
             folded = np.bitwise_or.reduce(x["marks"], axis=1) if len(x["n"]) else np.zeros(0, np.uint64)
-            rows = [(int(len(buf) + off[len(off) // 2]) % buckets, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None)]
+            rows = []
+            if only is None:
+                rows.append((int(len(buf) + off[len(off) // 2]) % buckets, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None))
             # equal sets of this part: the earliest stands for all
             order = np.lexsort((x["number"], ids[x["doc"]], x["set"]))
             k = order[np.flatnonzero(np.diff(x["set"][order], prepend=x["set"][order[:1]] ^ np.uint64(1)))] if len(order) else order
             k = k[100 * x["n"][k] >= percent * (x["n"][k] + 1)]  # smaller sets are similar to equal ones only, which need no prefix
-            size = x["n"][k] - -(-percent * x["n"][k] // 100) + 1
-            who = np.repeat(k, size)
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            word = x["words"][x["first"][who] + pos]
-            where = (word % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((who, where))
+            who, pos, word = _prefix(x, k, percent)
+            if only is not None:
+                asked = np.isin(_name(word), only)
+                who, pos, word = who[asked], pos[asked], word[asked]
+            where = (word % np.uint64(buckets)).astype(small)
+            order = np.argsort(where, kind="stable")
             edge = np.searchsorted(where[order], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edge)):
                 i = order[edge[b] : edge[b + 1]]
                 w = who[i]
-                rows.append((int(b), ids.tobytes(), _squeeze(x["doc"][w], x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, word[i] >> np.uint64(20) & _NAME, pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
+                own, doc = textkit.own_ids(ids, x["doc"][w])
+                rows.append((int(b), own, _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, big binary")
 
 
+def prefix_names(docs: DataFrame, wanted: DataFrame, count: np.ndarray, percent: int, least: int) -> DataFrame:
+    """(name): names of the words in the prefixes of the wanted lines (doc_id, pos)."""
+    known = docs.sparkSession.sparkContext.broadcast(count)
+
+    def run(batches):
+        for batch, buf, off in textkit.parts(batches):
+            x = line_sets(buf, off, known.value, least)
+            _, _, word = _prefix(x, _picked(x, batch.column(2).to_pylist()), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_name(word)).astype(np.int64))], ["name"])
+
+    return _asked(docs, wanted).mapInArrow(run, "name long").distinct()
+
+
+def _asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text, ask): documents with the numbers of their wanted lines (doc_id, pos)."""
+    lists = store.cut(wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("ask")))
+    return docs.join(store.side(lists), "doc_id").select("doc_id", "text", "ask")
+
+
+def _picked(x: dict[str, np.ndarray], ask: list[list[int]]) -> np.ndarray:
+    """Places of the lines that are asked about, document by document."""
+    want = {(k, p) for k, ps in enumerate(ask) for p in ps}
+    return np.flatnonzero([pair in want for pair in zip(x["doc"].tolist(), x["number"].tolist())])
+
+
 def _sets(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return ((high.astype(np.uint64) << np.uint64(32)) | low.astype(np.uint64)).view(np.int64)
 
@@ -229,16 +271,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
         none = np.zeros(SLOTS, np.uint32)
         for batch, buf, off in textkit.parts(batches):
             x = line_sets(buf, off, none, least)
-            ask = {(k, p) for k, ps in enumerate(batch.column(2).to_pylist()) for p in ps}
-            pick = np.array([(a, b) in ask for a, b in zip(x["doc"].tolist(), x["number"].tolist())], bool)
+            pick = _picked(x, batch.column(2).to_pylist())
             size = x["n"][pick]
             at = np.repeat(x["first"][pick] - (np.cumsum(size) - size), size) + np.arange(size.sum())
             # with no rarities known the words stand in the order of their hashes
             yield pa.RecordBatch.from_arrays([pa.array(x["set"][pick].view(np.int64)), textkit.to_binary(x["words"][at], size)], ["id", "items"])
 
-    lists = store.cut(wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("ask")))
-    near = docs.join(store.side(lists), "doc_id")
-    return near.select("doc_id", "text", "ask").mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
+    return _asked(docs, wanted).mapInArrow(run, "id long, items binary").dropDuplicates(["id"])
 
 
 def verify(docs: DataFrame, asking: DataFrame, percent: int, least: int) -> tuple[DataFrame, DataFrame]:
@@ -254,42 +293,54 @@ def verify(docs: DataFrame, asking: DataFrame, percent: int, least: int) -> tupl
 def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, gone): numbers of the lines that have a similar earlier line; docs: (doc_id, text)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = prefixes(docs, rarity(docs), percent, least, max(1, size // bucket_bytes))
-    pairs = store.cut(candidates(dealt, percent, SECOND_ROUND, None))
+    buckets, count = max(1, size // bucket_bytes), rarity(docs)
+    pairs = store.cut(candidates(prefixes(docs, count, percent, least, buckets), percent, SECOND_ROUND, None))
     lines = pairs.filter("b IS NULL").select(F.col("a_doc").alias("doc_id"), F.col("a_pos").alias("pos"), F.col("a").alias("line"))
     pairs = pairs.filter("b IS NOT NULL")
     firsts = store.cut(lines.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("line", "first"))
-    gone = lines.join(firsts, "line").filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
+    gone = lines.join(store.side(firsts), "line").filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
     hit, found = verify(docs, pairs.filter(F.col("turn") <= FIRST_ROUND), percent, least)
     gone = gone.union(found)
     pairs = store.cut(pairs.join(hit, "a", "left_anti"))  # of the lines that are open still
     if not (asking := pairs.filter(F.col("turn") > FIRST_ROUND)).isEmpty():
         hit, found = verify(docs, asking, percent, least)
         gone = gone.union(found)
-        open_ = store.cut(pairs.filter("more").select("a").distinct().join(hit, "a", "left_anti"))
-        if n := open_.count():
-            only = np.sort(np.fromiter((r[0] for r in open_.toLocalIterator()), np.int64, n)) if 8 * n <= store.BROADCAST_BYTES else np.zeros(0, np.int64)
-            all_pairs = candidates(dealt, percent, 1 << 41, only if len(only) else None).filter("b IS NOT NULL")
-            gone = gone.union(verify(docs, store.cut(all_pairs.join(open_, "a", "left_semi")), percent, least)[1])
+        open_ = store.cut(pairs.filter("more").join(hit, "a", "left_anti").groupBy("a").agg(F.min(F.struct("a_doc", "a_pos")).alias("at")))
+        if not open_.isEmpty():  # few lines as a rule: all that share a prefix word with them are dealt again
+            where = open_.select(F.col("at.a_doc").alias("doc_id"), F.col("at.a_pos").alias("pos"))
+            names = store.cut(prefix_names(docs, where, count, percent, least))
+            again = prefixes(docs, count, percent, least, buckets, _sent(names))
+            all_pairs = candidates(again, percent, 1 << 41, _sent(open_.select("a"))).filter("b IS NOT NULL")
+            gone = gone.union(verify(docs, store.cut(all_pairs.join(open_.select("a"), "a", "left_semi")), percent, least)[1])
     return gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
+def _sent(ids: DataFrame) -> np.ndarray | None:
+    """The one column's values, sorted, if they are small enough to be sent to all tasks; else None, which asks about everything."""
+    return np.sort(ids.toPandas().to_numpy().ravel()) if store.size_of(ids) <= store.BROADCAST_BYTES else None
+
+
+ADDED = ["n_lines", "n_removed", "removed_lines", "kept_text"]
+
+
 def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the columns n_lines, n_removed, removed_lines (numbers from 0) and kept_text added.
 
     Lines are parted by \\n; lines of fewer than `least` distinct words always stay, with EVERY only those
-    without a word. Words have A-Z
-    lower-cased. Two lines are similar if 100 * |A & B| >= percent * |A | B|. Null and empty texts have
-    no lines. Rows that repeat an id and text get the same result; rows with a null id keep their text whole
-    and remove nothing. Other columns pass through.
+    without a word. Words have A-Z lower-cased. Two lines are similar if 100 * |A & B| >= percent * |A | B|.
+    Null and empty texts have no lines. Rows that repeat an id and text get the same result; of rows with one id and
+    different texts, lines count as earlier by their number alone, and a number that goes in one goes in all. Rows with a null id
+    keep their text whole and remove nothing. Very long texts and lines are looked at whole. Other columns pass
+    through whatever their names are, but for those named like an added one, which it replaces.
     """
     plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = store.cut(later_lines(plain, percent, least, bucket_bytes))
-    side = gone.select(F.col("doc_id").alias("_id"), F.col("gone").alias("_gone"))
-    out = docs.join(store.side(side), F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    drop = F.coalesce("_gone", F.array().cast("array<long>"))
-    parts = F.split(text, "\n")
-    kept = F.when(F.size(drop) > 0, F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i.cast("long"))), "\n")).otherwise(text)
-    n = F.when(text == "", 0).otherwise(F.size(parts)).cast("long")
-    return out.withColumns({"n_lines": n, "n_removed": F.size(drop).cast("long"), "removed_lines": F.sort_array(drop), "kept_text": kept}).drop("_gone")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    out = rows.join(store.side(gone), "doc_id", "left")
+    drop = F.coalesce("gone", F.array().cast("array<long>"))
+    parts = F.split("text", "\n")
+    kept = F.when(F.size(drop) > 0, F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(drop, i.cast("long"))), "\n")).otherwise(F.col("text"))
+    n = F.when(F.col("text") == "", 0).otherwise(F.size(parts)).cast("long")
+    added = [n.alias("n_lines"), F.size(drop).cast("long").alias("n_removed"), F.sort_array(drop).alias("removed_lines"), kept.alias("kept_text")]
+    out = out.select("row", F.struct(*added).alias("added"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED), "added.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import contamination, line_dedup, minhash, packing, quality, store
@@ -16,14 +16,31 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that are similar to an earlier line; documents that only had such lines go."""
-    out = line_dedup.deduplicate(docs, least=line_dedup.EVERY).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
-    return out.withColumns({"text": F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}).select(docs.columns)
+    """Texts without the lines that are similar to an earlier line; documents that only had such lines go.
+
+    Rows with a null id or text stay as they are. Columns pass through, whatever their names are.
+    """
+    own = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    out = line_dedup.deduplicate(own, least=line_dedup.EVERY).filter((F.col("n_removed") == 0) | F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
+    changed = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    old = lambda c: F.col("row").getField(c)
+    return out.select(*(F.when(F.col("n_removed") == 0, old(c)).otherwise(changed[c]).alias(c) if c in changed else old(c).alias(c) for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    return store.without(docs, minhash.near_duplicates(docs).filter(~F.col("kept")))
+    """The document with the smallest id of each group of near-duplicates.
+
+    Rows with a null id and texts without words stay. Rows that repeat an id are taken for one document:
+    it stays if one of its texts does, as the row with the least text.
+    """
+    verdict = store.cut(minhash.near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    again = store.cut(verdict.filter("kept AND n > 1").select("doc_id"))
+    once = store.without(docs, verdict.filter("NOT kept OR n > 1"))
+    if again.isEmpty():
+        return once
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", *sorted(set(docs.columns) - {"doc_id", "text"})))
+    rows = store.semi(docs, again, "doc_id").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), order.alias("place"))
+    return once.union(rows.filter("place = 1").select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
