@@ -41,7 +41,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unit_dedup.digest(unit_dedup.deduplicate(_table(spark, sf_dir, "documents"), min_words=unit_dedup.EVERY))
+    return unit_dedup.digest(unit_dedup.deduplicate(_table(spark, sf_dir, "documents"), unit_dedup.UNIT, unit_dedup.RUN_WORDS))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
