@@ -79,8 +79,10 @@ def _cleaned(r: Roles, raw: Raw, name: str) -> DataFrame:
     return both.withColumns({c: F.col(c).cast("string") for c, t in both.dtypes if t == "timestamp"})
 
 
-def _clean_sql(raw: Raw, key: str | None, replace: str, reason: str) -> str:
-    one = f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY _ingested_at DESC) = 1" if key else ""
+def _clean_sql(raw: Raw, key: str | None, replace: str, reason: str, ties: str = "") -> str:
+    """Typed and rewritten rows, the latest of each key, and the first reason that rejects them; ties: columns whose largest values decide."""
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ["_ingested_at", *ties.split()])
+    one = f"QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1" if key else ""
     typed = f"SELECT * REPLACE ({replace}) FROM raw" if replace else "SELECT * FROM raw"
     return f"WITH raw AS ({raw.sql()}), typed AS ({typed}), once AS (SELECT * FROM typed {one}) SELECT *, CASE {reason} END AS _reject_reason FROM once"
 
@@ -89,6 +91,10 @@ def _null(*cols: str) -> str:
     return " ".join(f"WHEN {c} IS NULL THEN '{c} is null'" for c in cols)
 
 
+_TIMES = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"]
+_STATUSES = "('approved', 'canceled', 'created', 'delivered', 'invoiced', 'processing', 'shipped', 'unavailable')"
+
+
 def _moment(*cols: str) -> str:
     return ", ".join(f"CAST(TRY_CAST({c} AS TIMESTAMP) AS VARCHAR) AS {c}" for c in cols)
 
@@ -97,30 +103,40 @@ def _double(*cols: str) -> str:
     return ", ".join(f"TRY_CAST({c} AS DOUBLE) AS {c}" for c in cols)
 
 
-@query(_clean_sql(CUSTOMERS, "customer_id", "lower(trim(customer_city)) AS customer_city, upper(trim(customer_state)) AS customer_state", _null("customer_id", "customer_unique_id")).replace("_ingested_at DESC)", "_ingested_at DESC, customer_unique_id DESC NULLS LAST, customer_city DESC, customer_state DESC)"))
+@query(_clean_sql(
+  CUSTOMERS, "customer_id", "lower(trim(customer_city)) AS customer_city, upper(trim(customer_state)) AS customer_state",
+  _null("customer_id", "customer_unique_id"), "customer_unique_id customer_city customer_state"))
 def clean_customers(r: Roles) -> DataFrame:
     return _cleaned(r, CUSTOMERS, "customers")
 
 
-@query(_clean_sql(ORDERS, "order_id", _moment("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"),
-  _null("order_id", "customer_id", "order_purchase_timestamp") + " WHEN order_status IS NULL OR order_status NOT IN ('delivered', 'shipped', 'canceled', 'unavailable', 'invoiced', 'processing', 'created', 'approved') THEN 'order_status is unknown'").replace("_ingested_at DESC)", "_ingested_at DESC, customer_id DESC NULLS LAST, order_status DESC NULLS LAST, order_purchase_timestamp DESC NULLS LAST, order_approved_at DESC NULLS LAST, order_delivered_carrier_date DESC NULLS LAST, order_delivered_customer_date DESC NULLS LAST, order_estimated_delivery_date DESC NULLS LAST)"))
+@query(_clean_sql(
+  ORDERS, "order_id", _moment(*_TIMES),
+  _null("order_id", "customer_id", "order_purchase_timestamp") + f" WHEN order_status IS NULL OR order_status NOT IN {_STATUSES} THEN 'order_status is unknown'",
+  "customer_id order_status " + " ".join(_TIMES)))
 def clean_orders(r: Roles) -> DataFrame:
     return _cleaned(r, ORDERS, "orders")
 
 
-@query(_clean_sql(ITEMS, "order_id, order_item_id", f"TRY_CAST(order_item_id AS INTEGER) AS order_item_id, {_moment('shipping_limit_date')}, {_double('price', 'freight_value')}",
-  _null("order_id", "product_id", "seller_id") + " WHEN NOT coalesce(price > 0, false) THEN 'price is not positive' WHEN NOT coalesce(freight_value >= 0, false) THEN 'freight_value is negative'").replace("_ingested_at DESC)", "_ingested_at DESC, product_id DESC NULLS LAST, seller_id DESC NULLS LAST, shipping_limit_date DESC NULLS LAST, price DESC NULLS LAST, freight_value DESC NULLS LAST)"))
+@query(_clean_sql(
+  ITEMS, "order_id, order_item_id", f"TRY_CAST(order_item_id AS INTEGER) AS order_item_id, {_moment('shipping_limit_date')}, {_double('price', 'freight_value')}",
+  _null("order_id", "product_id", "seller_id") + " WHEN NOT coalesce(price > 0, false) THEN 'price is not positive'"
+  " WHEN NOT coalesce(freight_value >= 0, false) THEN 'freight_value is negative'", "product_id seller_id shipping_limit_date price freight_value"))
 def clean_order_items(r: Roles) -> DataFrame:
     return _cleaned(r, ITEMS, "order_items")
 
 
-@query(_clean_sql(PAYMENTS, "order_id, payment_sequential", _double("payment_value"), _null("order_id") + " WHEN NOT coalesce(payment_value >= 0, false) THEN 'payment_value is negative'").replace("_ingested_at DESC)", "_ingested_at DESC, payment_type DESC, payment_installments DESC, payment_value DESC NULLS LAST)"))
+@query(_clean_sql(
+  PAYMENTS, "order_id, payment_sequential", _double("payment_value"),
+  _null("order_id") + " WHEN NOT coalesce(payment_value >= 0, false) THEN 'payment_value is negative'", "payment_type payment_installments payment_value"))
 def clean_order_payments(r: Roles) -> DataFrame:
     return _cleaned(r, PAYMENTS, "order_payments")
 
 
-@query(_clean_sql(REVIEWS, "review_id, order_id", f"TRY_CAST(review_score AS INTEGER) AS review_score, {_moment('review_creation_date', 'review_answer_timestamp')}",
-  _null("review_id", "order_id") + " WHEN NOT coalesce(review_score BETWEEN 1 AND 5, false) THEN 'review_score is out of range'").replace("_ingested_at DESC)", "_ingested_at DESC, review_score DESC NULLS LAST, review_creation_date DESC NULLS LAST, review_answer_timestamp DESC NULLS LAST)"))
+@query(_clean_sql(
+  REVIEWS, "review_id, order_id", f"TRY_CAST(review_score AS INTEGER) AS review_score, {_moment('review_creation_date', 'review_answer_timestamp')}",
+  _null("review_id", "order_id") + " WHEN NOT coalesce(review_score BETWEEN 1 AND 5, false) THEN 'review_score is out of range'",
+  "review_score review_creation_date review_answer_timestamp"))
 def clean_order_reviews(r: Roles) -> DataFrame:
     return _cleaned(r, REVIEWS, "order_reviews")
 
@@ -137,7 +153,8 @@ def clean_products(r: Roles) -> DataFrame:
     return ok.withColumn("_reject_reason", F.lit(None).cast("string")).unionByName(bad)
 
 
-@query(_clean_sql(SELLERS, "seller_id", "lower(trim(seller_city)) AS seller_city, upper(trim(seller_state)) AS seller_state", _null("seller_id")).replace("_ingested_at DESC)", "_ingested_at DESC, lower(trim(seller_city)) DESC, seller_state DESC)"))
+@query(_clean_sql(
+  SELLERS, "seller_id", "lower(trim(seller_city)) AS seller_city, upper(trim(seller_state)) AS seller_state", _null("seller_id"), "seller_city seller_state"))
 def clean_sellers(r: Roles) -> DataFrame:
     return _cleaned(r, SELLERS, "sellers")
 
@@ -147,7 +164,8 @@ def clean_geolocation(r: Roles) -> DataFrame:
     return _cleaned(r, GEOLOCATION, "geolocation")
 
 
-@query(_clean_sql(TRANSLATION, "product_category_name", "", _null("product_category_name")).replace("_ingested_at DESC)", "_ingested_at DESC, product_category_name_english DESC)"))
+@query(_clean_sql(
+  TRANSLATION, "product_category_name", "", _null("product_category_name"), "product_category_name_english"))
 def clean_category_translation(r: Roles) -> DataFrame:
     return _cleaned(r, TRANSLATION, "category_translation")
 
