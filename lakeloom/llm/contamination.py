@@ -144,6 +144,7 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     if size <= broadcast_bytes:
         known = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in items.toLocalIterator()])
 
+        @textkit.released
         def here(batches):
             passages = Passages(known.value, least)
             for batch, buf, off in textkit.parts(batches):
@@ -161,6 +162,7 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
 def _seeds(df: DataFrame, key: str, text: str, least: int, widths: list[int] | None = None) -> DataFrame:
     """(key, seed): windows of words. widths: all of these; None: as wide as a passage allows, and (width) tells."""
 
+    @textkit.released
     def run(batches):
         for batch, buf, off in textkit.parts(batches, text=text):
             h, d, _, _ = textkit.word_hashes(buf, off)
@@ -188,6 +190,7 @@ def _by_seeds(rows: DataFrame, items: DataFrame, least: int, coverage: float) ->
     pairs = _seeds(texts, "key", "text", least, widths).join(item_seeds.drop("width"), "seed").select("key", "item_id").distinct()
     both = store.cut(pairs).join(items, "item_id").join(named.select("key", "text").dropDuplicates(["key"]), "key").select("key", "item_id", "passage", "text")
 
+    @textkit.released
     def run(batches):
         for batch in batches:
             out = []

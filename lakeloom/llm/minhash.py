@@ -50,6 +50,7 @@ def signatures(docs: DataFrame, k: int = WORDS, keys: int = KEYS, id_col: str =
     the second's; it is empty for a document without words.
     """
 
+    @textkit.released
     def run(batches):
         for batch, buf, off in textkit.parts(batches):
             n = len(batch)
@@ -74,6 +75,7 @@ def signatures(docs: DataFrame, k: int = WORDS, keys: int = KEYS, id_col: str =
 def sets(docs: DataFrame, k: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, set_a, items): each text's distinct shingles as sorted 64-bit hashes in one binary cell, and the hash of the set."""
 
+    @textkit.released
     def run(batches):
         for batch, buf, off in textkit.parts(batches):
             doc, w = textkit.shingle_sets(buf, off, k)
@@ -109,6 +111,7 @@ def alone(items: DataFrame, buckets: int) -> DataFrame:
     knows no other, so a shingle that very many documents share takes a row per task at most.
     """
 
+    @textkit.released
     def deal(batches):
         for batch in batches:
             cells = batch.column(1)
@@ -123,6 +126,7 @@ def alone(items: DataFrame, buckets: int) -> DataFrame:
             cell = [textkit.to_binary(x[order], size[full]) for x in (h, doc, n > 1)]
             yield pa.RecordBatch.from_arrays([pa.array(full), *cell], ["bucket", "h", "doc", "several"])
 
+    @textkit.released
     def count(table):
         h, doc, several = (np.concatenate([np.frombuffer(c.as_buffer(), t) for c in table.column(k)] or [np.zeros(0, t)]) for k, t in (("h", np.uint64), ("doc", np.int64), ("several", bool)))
         _, back, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -165,6 +169,7 @@ def overlap(pairs: DataFrame, items: DataFrame, hot: DataFrame | None = None) ->
     """Adds `common`, the number of items that the sets of a and b share, to rows (a, b, ...)."""
     names = pairs.columns
 
+    @textkit.released
     def run(batches):
         for batch in batches:
             x, y = batch.column(len(names)), batch.column(len(names) + 1)
@@ -185,6 +190,7 @@ def differences(pairs: DataFrame, items: DataFrame, hot: DataFrame) -> DataFrame
     """Adds `diff` to rows (a, b, ...): the hashes that just one of the sets has, each named with b, in one binary cell."""
     names = pairs.columns
 
+    @textkit.released
     def run(batches):
         for batch in batches:
             pivots = textkit.mix(batch.column(names.index("b")).to_numpy().astype(np.uint64))
@@ -199,6 +205,7 @@ def differences(pairs: DataFrame, items: DataFrame, hot: DataFrame) -> DataFrame
 def slot_counts(table: DataFrame, cell: str) -> np.ndarray:
     """How often the hashes in a binary column fall into each of SLOTS slots; of a fixed size at the driver."""
 
+    @textkit.released
     def tally(batches):
         total = np.zeros(SLOTS, np.uint32)
         for batch in batches:
@@ -226,6 +233,7 @@ def rare_differences(rows: DataFrame) -> DataFrame:
     """
     count = rows.sparkSession.sparkContext.broadcast(slot_counts(rows, "diff"))
 
+    @textkit.released
     def run(batches):
         for batch in batches:
             for a, n, nb, far, d, own, bins, cell in zip(*(c.to_pylist() for c in batch.columns)):

@@ -125,6 +125,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     serial numbers a task's pieces, so that rows which are alike need not lie together.
     """
 
+    @textkit.released
     def run(batches):
         encode, serial = WordTokens(path), 0
         for batch, buf, off in textkit.parts(batches):

@@ -7,6 +7,8 @@ no Python loop runs per word. Hashes are 64 bits over randomised byte values.
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -36,6 +38,31 @@ def _power(n: int, inverse: bool = False) -> np.ndarray:
     return _powers[k][:n]
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system, for Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def released(f):
+    """A function for mapInArrow or applyInArrow that releases memory after its task's or group's work."""
+    if inspect.isgeneratorfunction(f):
+
+        def run(batches):
+            yield from f(batches)
+            release()
+
+    else:
+
+        def run(table):
+            out = f(table)
+            release()
+            return out
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser: spreads every bit of a 64-bit value over all others."""
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
