@@ -4,7 +4,8 @@ A line's set are its distinct words, ordered by rarity. If two sets are similar
 word within their prefixes, so only prefixes are dealt, by word; sets so small that only equal ones are
 similar deal none. Within a word's lines, pairs must pass
 the length filter, the positional filter and a filter on marks of the sets, 64 or 256 bits by their
-size; what is left is verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
+size: every word turns one bit over, so marks differ in at most as many bits as sets in words. What is left is
+verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
 (doc_id, line number).
 
 Rarity is the count in a table of fixed size that words are hashed to. Any order that is the same
@@ -29,7 +30,7 @@ MIN_WORDS, EVERY = 4, 1
 #: Slots of the rarity table (4 bytes each are broadcast), and the parts it is summed in.
 SLOTS, RANGES = 1 << 20, 64
 #: Earlier lines by word that a line is verified with in the first and second round; those then open get all.
-FIRST_ROUND, SECOND_ROUND = 4, 64
+FIRST_ROUND, SECOND_ROUND = 4, 256
 #: Sets of more words have marks of 256 bits.
 FEW = 64
 BUCKET_BYTES = 8 << 20
@@ -39,6 +40,7 @@ _NAME = np.uint64((1 << 40) - 1)
 def rarity(docs: DataFrame) -> np.ndarray:
     """Counts of the words by slot, capped at 2^20 - 1."""
 
+    @textkit.released
     def tally(batches):
         total = np.zeros(SLOTS, np.int64)
         for batch, buf, off in textkit.parts(batches):
@@ -84,10 +86,10 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
     n = np.diff(np.append(first, len(g)))
     names = ["doc", "number", "set", "n", "first", "marks"]
     if not len(first):
-        return {k: np.zeros(0, np.int64) for k in names} | {"words": g}
+        return {k: np.zeros(0, np.int64) for k in names} | {"set": np.zeros(0, np.uint64), "marks": np.zeros((0, 4), np.uint64), "words": g}
     bit = textkit.mix(g) >> np.uint64(56)
     one = np.uint64(1) << (bit & np.uint64(63))
-    marks = np.stack([np.bitwise_or.reduceat(np.where(bit >> np.uint64(6) == np.uint64(k), one, np.uint64(0)), first) for k in range(4)], axis=1)
+    marks = np.stack([np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == np.uint64(k), one, np.uint64(0)), first) for k in range(4)], axis=1)
     sets = np.add.reduceat(textkit.mix(g + np.uint64(5)), first) + n.astype(np.uint64)
     keep = n >= least
     got = d[order[first]], number[order[first]], sets, n, first, marks
@@ -112,13 +114,14 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
     known = docs.sparkSession.sparkContext.broadcast((count, only))
     small = np.uint16 if buckets < 1 << 16 else np.int64
 
+    @textkit.released
     def run(batches):
         count, only = known.value
         for batch, buf, off in textkit.parts(batches):
             x = line_sets(buf, off, count, least)
             ids = batch.column(0).to_numpy().astype("<i8")
             low = np.uint64((1 << 32) - 1)
-            folded = np.bitwise_or.reduce(x["marks"], axis=1) if len(x["n"]) else np.zeros(0, np.uint64)
+            folded = np.bitwise_xor.reduce(x["marks"], axis=1)
             rows = []
             if only is None:
                 rows.append((int(len(buf) + off[len(off) // 2]) % buckets, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None))
@@ -147,6 +150,7 @@ def prefix_names(docs: DataFrame, wanted: DataFrame, count: np.ndarray, percent:
     """(name): names of the words in the prefixes of the wanted lines (doc_id, pos)."""
     known = docs.sparkSession.sparkContext.broadcast(count)
 
+    @textkit.released
     def run(batches):
         for batch, buf, off in textkit.parts(batches):
             x = line_sets(buf, off, known.value, least)
@@ -183,6 +187,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
     A set a gets its `most` earliest candidates of every word, numbered by turn; more: it had others. only: the sets that are asked about, all if None.
     """
 
+    @textkit.released
     def run(table):
         cols, owners, wide = [], [], []
         lines: list[list[np.ndarray]] = [[], [], []]
@@ -267,6 +272,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
 def full_sets(docs: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
     """(id, items) of the wanted lines (doc_id, pos): the set's hash and its words' hashes, sorted."""
 
+    @textkit.released
     def run(batches):
         none = np.zeros(SLOTS, np.uint32)
         for batch, buf, off in textkit.parts(batches):
@@ -344,3 +350,38 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     added = [n.alias("n_lines"), F.size(drop).cast("long").alias("n_removed"), F.sort_array(drop).alias("removed_lines"), kept.alias("kept_text")]
     out = out.select("row", F.struct(*added).alias("added"))
     return out.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED), "added.*")
+
+
+#: DuckDB SQL for the registered query: each set of words joined by the words in its prefix, the rarest ones, and compared in full.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d WHERE text <> ''
+), w AS (
+  SELECT doc_id, pos, list_sort(list_distinct(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS words FROM l
+), s AS (
+  SELECT words, min((doc_id, pos)) AS first, len(words) AS n, row_number() OVER () AS id FROM w WHERE len(words) > 0 GROUP BY words
+), u AS (
+  SELECT id, n, first, unnest(words) AS word FROM s
+), f AS (
+  SELECT word, count(*) AS c FROM u GROUP BY word
+), p AS (
+  SELECT id, n, first, word FROM u JOIN f USING (word)
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY c, word) <= n - ((80 * n + 99) // 100) + 1
+), c AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.word = b.word AND b.first < a.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), j AS (
+  SELECT x.id, x.n AS nx, y.n AS ny, len(list_intersect(x.words, y.words)) AS shared FROM c JOIN s x ON c.a = x.id JOIN s y ON c.b = y.id
+), g AS (
+  SELECT DISTINCT id FROM j WHERE 100 * shared >= 80 * (nx + ny - shared)
+), r AS (
+  SELECT doc_id, pos FROM w JOIN s USING (words) WHERE (doc_id, pos) > first OR id IN (SELECT id FROM g)
+), k AS (
+  SELECT l.*, r.pos IS NOT NULL AS gone FROM l LEFT JOIN r USING (doc_id, pos)
+)
+SELECT d.doc_id, count(k.pos)::BIGINT AS n_lines, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+  coalesce(string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (WHERE gone), '') AS removed_lines,
+  md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_md5
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id GROUP BY d.doc_id
+"""
