@@ -53,6 +53,7 @@ def _sample_names(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.nda
 def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """(id, names): of every text the cover samples whose name another sample has, too."""
 
+    @textkit.released
     def deal(batches):
         for batch, buf, off in textkit.parts(batches):
             ids = batch.column(0).to_numpy().astype("<i8")
@@ -84,6 +85,7 @@ def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 rows.append((int(b), (len(own) // 8).to_bytes(8, "little") + own + _squeeze(np.diff(short, prepend=0), at * 2 + tied[k])))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "id", "cell"])
 
+    @textkit.released
     def rank(table):
         known = table.filter(table.column("id").is_valid())
         names = [np.frombuffer(c.as_buffer(), np.uint64) for c in known.column("cell")]
@@ -115,6 +117,7 @@ def tied_samples(texts: DataFrame, length: int, buckets: int) -> DataFrame:
         full = np.flatnonzero(size)
         return pa.table({"grp": full, "ids": textkit.to_binary(ids[order], size[full]), "names": textkit.to_binary(names[order], size[full])})
 
+    @textkit.released
     def by_text(table):
         ids, names = (np.concatenate([np.frombuffer(c.as_buffer(), t) for c in table.column(k)]) for k, t in (("ids", np.int64), ("names", np.uint64)))
         order = np.argsort(ids, kind="stable")
@@ -135,30 +138,39 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(ahead[:n], np.minimum.accumulate(pad, 1).ravel()[w - 1 : w - 1 + n])
 
 
-def _word(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The 8 bytes from each place as one number, in the order of the bytes. 8 bytes must follow every place."""
-    return np.ascontiguousarray(np.lib.stride_tricks.as_strided(buf, (len(buf) - 7, 8), (1, 1))[at]).view(">u8").ravel().astype(np.uint64)
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The 8 bytes from every place as one number, in the order of the bytes."""
+    out = np.zeros(len(buf) - 7, np.uint64)
+    for k in range(8):
+        out <<= np.uint64(8)
+        out |= buf[k : k + len(out)]
+    return out
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
     return np.unique(x, return_inverse=True)[1]
 
 
-def sample_ranks(buf: np.ndarray, place: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks, by place in `buf`, of the cover samples: by their first `depth` bytes or more, 1 at least, and 0 elsewhere.
+def _steps(x: np.ndarray) -> np.ndarray:
+    """_dense() of values that rise."""
+    return np.cumsum(np.diff(x, prepend=x[:1]) != 0)
+
+
+def sample_ranks(word: np.ndarray, place: np.ndarray, end: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, by place in the text, of the cover samples: by their first `depth` bytes or more, 1 at least, and 0 elsewhere.
 
-    place: the samples' places, each piece's in its own cover; end: the ends of their pieces, after which 2 W zeros follow.
+    word: from _words; place: the samples' places, each piece's in its own cover; end: the ends of their pieces, after which 2 W zeros follow.
     A sample's rank to the depth 2 h comes from its own and from the one h bytes on, both to the depth h. h is a
     multiple of W, so that the other is a sample as well; after a piece's end there is nothing, which is the least.
     """
-    rank = _dense(_word(buf, place))
+    rank = _dense(word[place])
     for k in (8, W - 8):
-        rank = _dense(rank.astype(np.uint64) << np.uint64(32) | _dense(_word(buf, place + k)).astype(np.uint64))
-    ranks = np.zeros(len(buf), np.int32)
+        rank = _dense(rank.astype(np.uint64) << np.uint64(32) | _dense(word[place + k]).astype(np.uint64))
+    ranks = np.zeros(len(word) + 7, np.int32)
     ranks[place] = rank + 1
     h = W
     while h < depth:
-        other = np.where(place + h < end, ranks[np.minimum(place + h, len(buf) - 1)], 0)
+        other = np.where(place + h < end, ranks[np.minimum(place + h, len(ranks) - 1)], 0)
         ranks[place] = _dense(ranks[place].astype(np.uint64) << np.uint64(32) | other.astype(np.uint64)) + 1
         h *= 2
     return ranks
@@ -186,11 +198,11 @@ def order_tied(at: np.ndarray, group: np.ndarray, residue: np.ndarray, ranks: np
         mine, other = at[todo], np.repeat(pivot, np.diff(np.append(first, len(own))))
         d = shift[residue[mine], residue[other]]
         side = np.sign(ranks[mine + d] - ranks[other + d]) + 1
-        key = _dense(own) * 3 + side
+        key = _steps(own) * 3 + side
         order = np.argsort(key, kind="stable")
         at[todo], key = mine[order], key[order]
         left = key % 3 != 1  # what equals the pivot is in its place
-        todo, own = todo[left], _dense(key[left])
+        todo, own = todo[left], _steps(key[left])
 
 
 def later_places(buf: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +220,8 @@ def later_places(buf: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.nda
     is_suffix[where[inside < n[piece]]] = True
     ends = np.repeat(first + size, size)[is_sample[where]]
     del piece, inside, where
-    ranks = sample_ranks(buf, np.flatnonzero(is_sample), ends, length)
+    word = _words(buf)
+    ranks = sample_ranks(word, np.flatnonzero(is_sample), ends, length)
     places = np.flatnonzero(is_suffix)
     head = buf[places].astype(np.int64) << 8 | buf[places + 1]
     total = np.cumsum(np.bincount(head, minlength=1 << 16))
@@ -216,14 +229,14 @@ def later_places(buf: np.ndarray, size: np.ndarray, start: np.ndarray, n: np.nda
     later = np.zeros(len(buf), bool)
     for b in np.unique(block):
         at = places[block == b]
-        words = [_word(buf, at + k) for k in (0, 8, W - 8)]
+        words = [word[at + k] for k in (0, 8, W - 8)]
         order = np.lexsort(words[::-1])
         at, words = at[order], [w[order] for w in words]
         new = np.ones(len(at), bool)
         new[1:] = np.any([w[1:] != w[:-1] for w in words], axis=0)
         at = order_tied(at, np.cumsum(new) - 1, residue, ranks)
         for k in [*range(W - 8, length - 8, 8), length - 8]:  # equal to the depth?
-            w = _word(buf, at + k)
+            w = word[at + k]
             new[1:] |= w[1:] != w[:-1]
         kind = np.flatnonzero(new)
         later[at] = True
@@ -235,6 +248,7 @@ def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
     """(id, start, n) from (id, text, names): n suffixes in a row whose first `length` bytes start earlier elsewhere."""
     width = length - V + 1
 
+    @textkit.released
     def deal(batches):
         for batch, buf, off in textkit.parts(batches):
             if len(buf) < length:
@@ -284,6 +298,7 @@ def later_runs(texts: DataFrame, length: int, buckets: int) -> DataFrame:
                 rows.append((int(b), _squeeze(at_[k], n_[k], again[k]), ids[owner[first[k]]].tobytes(), len(text).to_bytes(8, "little") + pa.compress(text or b"\0", codec="zstd", asbytes=True)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "cell", "ids", "pieces"])
 
+    @textkit.released
     def sort(table):
         starts, counts, owners, texts_, done = [], [], [], [], []
         for cell, ids, pieces in zip(*(table.column(c).to_pylist() for c in ("cell", "ids", "pieces"))):
@@ -384,3 +399,34 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
         touched.unionByName(untouched.select("doc_id", n.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), none.alias("spans"), F.sha2("text", 256).alias("kept_sha256")))
         .unionByName(facts.join(copies, "id", "left_semi").select("doc_id", F.col("n_bytes").cast("long").alias("n_bytes"), F.col("n_bytes").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), whole.alias("spans"), F.lit(hashlib.sha256().hexdigest()).alias("kept_sha256")))
     )
+
+
+#: DuckDB SQL for the registered query: every string of 100 bytes in hexadecimal, by its MD5.
+ORACLE_SQL = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT doc_id, h, len(h) // 2 - 99 AS n, unnest(range(0, len(h) // 2 - 99, 256)) AS j FROM t
+), q AS (
+  SELECT doc_id, n, j, substr(h, 2 * j + 1, 710) AS part FROM p
+), s AS (
+  SELECT doc_id, j, part, unnest(range(least(256, n - j))) AS o FROM q
+), v AS (
+  SELECT doc_id, j + o AS i, md5(substr(part, 2 * o + 1, 200)) AS digest FROM s
+), m AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY digest ORDER BY doc_id, i) > 1 AS later FROM v
+), e AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM m WHERE later
+), g AS (
+  SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM e
+), r AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY ALL
+), k AS (
+  SELECT r.doc_id, run, a, b, substr(h, 2 * coalesce(lag(b) OVER w, 0) + 1, 2 * (a - coalesce(lag(b) OVER w, 0))) AS kept, lead(a) OVER w IS NULL AS last, h
+  FROM r JOIN t ON r.doc_id = t.doc_id WINDOW w AS (PARTITION BY r.doc_id ORDER BY a)
+), x AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(kept || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM k GROUP BY doc_id
+)
+SELECT t.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM t LEFT JOIN x ON t.doc_id = x.doc_id
+"""
