@@ -120,7 +120,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 30, depth:
 
 
 def scored(docs: DataFrame, labels: DataFrame, train=None, train_rows: int = TRAIN_ROWS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): score rises with the likelihood of label 1; every row gets one, empty texts too.
+    """(doc_id, score): score rises with the likelihood of label 1; every row gets one, empty texts and rows with
+    a null or repeated id too. An empty table gives none.
 
     train is a condition on doc_id that training rows meet. Only the text's statistics are inputs.
     """

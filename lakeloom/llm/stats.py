@@ -76,8 +76,9 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, COUNTS as long, RATIOS as double), one row per row of docs; a null text has no words."""
+    """(doc_id, COUNTS as long, RATIOS as double), one row per row of docs, null and repeated ids kept; a null text has no words, a very long one is looked at whole."""
 
+    @textkit.released
     def run(batches):
         for batch, buf, off in textkit.parts(batches):
             x = text_stats(buf, off)
@@ -88,14 +89,18 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def labelled(stats: DataFrame, labels: DataFrame, rows: int, label: str = "quality", keep=None) -> tuple[np.ndarray, np.ndarray]:
-    """(ratios, labels) of at most `rows` labelled documents, drawn by a hash of the id.
+    """(ratios, labels) of at most `rows` labelled documents, those with the least hashes of their ids.
 
-    The bound holds what reaches the driver. A document with several labels counts with the least;
-    null labels and ids are left out.
+    They are counted first, and only hashes below a bound for a tenth more than `rows` go on, so what is sorted
+    and reaches the driver is bounded, too. A document with several labels counts with the least; null labels and
+    ids are left out. Rows that repeat an id are drawn together.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
     both = stats.join(marks, "doc_id")
     if keep is not None:
         both = both.filter(keep)
-    got = both.orderBy(F.xxhash64("doc_id"), "doc_id").select(*RATIOS, "y").limit(rows).toPandas()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    if (n := both.count()) > rows:
+        both = both.filter(draw < F.lit(int(2**63 * min(1.0, (1.1 * rows + 100) / n)) - 1))
+    got = both.orderBy(draw, "doc_id").select(*RATIOS, "y").limit(rows).toPandas()
     return got[RATIOS].to_numpy(np.float64), got["y"].to_numpy(np.int64)
