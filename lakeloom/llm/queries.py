@@ -69,4 +69,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_minhash_dedup": minhash.ORACLE_SQL, "op6_substring_dedup": unit_dedup.ORACLE_SQL}
+    return {
+        "op2_line_dedup": line_dedup.ORACLE_SQL,
+        "op4_minhash_dedup": minhash.ORACLE_SQL,
+        "op5_suffix_dedup": suffixes.ORACLE_SQL,
+        "op6_substring_dedup": unit_dedup.ORACLE_SQL,
+    }
