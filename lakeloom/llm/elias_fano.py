@@ -80,22 +80,22 @@ class Level:
     def __init__(self, parts: dict[str, np.ndarray]):
         self.first = EliasFano({k[2:]: v for k, v in parts.items() if k.startswith("f_")})
         self.child = EliasFano({k[2:]: v for k, v in parts.items() if k.startswith("c_")})
-        self.codes, self.book = parts["codes"], parts["book"]
+        self.codes, (self.low, self.step) = parts["codes"], parts["range"]
 
     @staticmethod
-    def encode(node: np.ndarray, nodes: int, child: np.ndarray, logs: np.ndarray, bits: int = 12) -> dict[str, np.ndarray]:
-        """node (rising) and child ids per entry; logs are quantised to 2^bits even steps."""
+    def encode(node: np.ndarray, nodes: int, child: np.ndarray, logs: np.ndarray, bits: int = 16) -> dict[str, np.ndarray]:
+        """node (rising) and child ids per entry; logs are quantised to 2^bits even steps, bits at most 16."""
         first = np.searchsorted(node, np.arange(nodes + 1))
         last = np.zeros(nodes, np.int64)
         full = first[1:] > first[:-1]
         last[full] = child[first[1:][full] - 1] + 1
         base = np.concatenate([[0], np.cumsum(last)])[:-1]
         lo, hi = (float(logs.min()), float(logs.max())) if len(logs) else (0.0, 0.0)
-        book = np.linspace(lo, hi, 1 << bits) if hi > lo else np.array([lo])
-        codes = np.rint((logs - lo) / (hi - lo) * (len(book) - 1)).astype(np.uint16) if hi > lo else np.zeros(len(logs), np.uint16)
+        step = (hi - lo) / ((1 << bits) - 1) if hi > lo else 1.0
+        codes = np.rint((logs - lo) / step).astype(np.uint16)
         out = {f"f_{k}": v for k, v in EliasFano.encode(first).items()}
         out |= {f"c_{k}": v for k, v in EliasFano.encode(base[node] + child if len(node) else child).items()}
-        return out | {"codes": codes, "book": book}
+        return out | {"codes": codes, "range": np.array([lo, step])}
 
     def find(self, node: np.ndarray, child: np.ndarray) -> np.ndarray:
         """Entry of each (node, child), -1 where the node is -1 or has no such child."""
@@ -116,7 +116,7 @@ class Level:
 
     def log(self, entry: np.ndarray) -> np.ndarray:
         """Quantised value of each entry; 0 where there is none."""
-        return np.where(entry >= 0, self.book[self.codes[np.maximum(entry, 0)]] if len(self.codes) else 0.0, 0.0)
+        return np.where(entry >= 0, self.low + self.step * self.codes[np.maximum(entry, 0)] if len(self.codes) else 0.0, 0.0)
 
 
 def pack(parts: dict[str, np.ndarray]) -> bytes:
@@ -135,7 +135,7 @@ def pack(parts: dict[str, np.ndarray]) -> bytes:
 
 
 def unpack(buffer) -> dict[str, np.ndarray]:
-    """Views of the arrays in a buffer, or in a file's numpy.memmap; nothing is copied."""
+    """Views of the arrays in a buffer, or in a file mapped into memory; nothing is copied."""
     import json
 
     size = int.from_bytes(bytes(buffer[:8]), "little")
