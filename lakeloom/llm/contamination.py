@@ -138,6 +138,7 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     Up to `broadcast_bytes` of passages, each document is tiled where it is read; beyond, seeds are joined
     and only texts with a seed move. Both ways give the same rows.
     """
+    store.small_batches(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("passage")).filter("item_id is not null and passage is not null")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("passage"))).first()[0] or 0

@@ -339,7 +339,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     keep their text whole and remove nothing. Very long texts and lines are looked at whole. Other columns pass
     through whatever their names are, but for those named like an added one, which it replaces.
     """
-    plain = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = store.small_batches(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     gone = store.cut(later_lines(plain, percent, least, bucket_bytes))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = rows.join(store.side(gone), "doc_id", "left")

@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     and other columns don't matter. Equal sets are collapsed first, by two 64-bit hashes and the size, so
     copies cost no comparison.
     """
-    docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = store.small_batches(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = store.cut(signatures(docs, k, keys))
     same = ["n_shingles", "set_a", "set_b"]
     classes = signed.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("band").alias("band"))

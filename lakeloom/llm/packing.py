@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import textkit
+from . import store, textkit
 
 LENGTH = 4096
 END_ID = 2
@@ -150,7 +150,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID,
     their own each; a null id keeps its row. Very long texts are cut like others, and their pieces may lie in any groups. Other
     columns don't matter; an empty table gives no rows. sequence_id is the group's number times 2^32 plus the bin's; offsets are gapless from 0.
     """
-    groups = max(1, docs.count() // group_docs)
+    groups = max(1, store.small_batches(docs).count() // group_docs)
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "serial"], kind="stable")

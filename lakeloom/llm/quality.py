@@ -125,6 +125,6 @@ def scored(docs: DataFrame, labels: DataFrame, train=None, train_rows: int = TRA
 
     train is a condition on doc_id that training rows meet. Only the text's statistics are inputs.
     """
-    table = store.cut(stats.with_stats(docs, id_col, text_col))
+    table = store.cut(stats.with_stats(store.small_batches(docs), id_col, text_col))
     x, y = stats.labelled(table, labels, train_rows, label, train)
     return table.select("doc_id", fit(x, y, stats.RATIOS).column().alias("score"))

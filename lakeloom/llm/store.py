@@ -16,6 +16,18 @@ BROADCAST_BYTES = 32 << 20
 ROW_BYTES = 40
 
 
+#: Rows of an Arrow batch, at most: Spark's own bound of 10,000 whole texts takes some 100 MB on either side.
+BATCH_ROWS = 2_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from here on the session hands Python workers at most BATCH_ROWS of them at a time."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes that the rows take in a hash table, about, from their number and the lengths of what they hold."""
 

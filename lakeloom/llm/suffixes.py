@@ -351,7 +351,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
     if length < V + SEED_BYTES:
         raise ValueError(f"length must be at least {V + SEED_BYTES}")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"))
+    rows = store.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("digest"))
     facts = store.cut(rows.select("doc_id", "digest", F.octet_length("text").alias("n_bytes")))
     seen = facts.agg(F.count("*"), F.count_distinct("doc_id"), F.sum("n_bytes")).first()
     if seen[0] != seen[1]:
