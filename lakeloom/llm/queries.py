@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, contamination, html_main, language_model, line_dedup, minhash, packing, quality, suffixes, unit_dedup
+from . import anomaly, contamination, html_main, language_model, line_dedup, minhash, packing, quality, sharding, suffixes, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -74,4 +79,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_minhash_dedup": minhash.ORACLE_SQL,
         "op5_suffix_dedup": suffixes.ORACLE_SQL,
         "op6_substring_dedup": unit_dedup.ORACLE_SQL,
+        "op11_sharding": sharding.ORACLE_SQL,
     }
