@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, contamination, html_main, language_model, line_dedup, minhash, packing, quality, sharding, suffixes, unit_dedup
+from . import anomaly, contamination, html_main, language_model, line_dedup, manifest, minhash, packing, quality, sharding, store, suffixes, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,14 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in manifest.FIELDS]
+    leaves, nodes, trees = manifest.build(_table(spark, sf_dir, "documents"), also={"claim": F.when(_id_mod(7) == 0, manifest.leaf_digest(more))})
+    proofs = manifest.prove(leaves, nodes, trees).join(store.side(trees.select("tree", "subroot", "root")), "tree")
+    verified = F.col("folded_root") == F.col("root")
+    return proofs.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", verified.alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -80,4 +88,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_dedup": suffixes.ORACLE_SQL,
         "op6_substring_dedup": unit_dedup.ORACLE_SQL,
         "op11_sharding": sharding.ORACLE_SQL,
+        "op13_merkle_manifest": manifest.ORACLE_SQL,
     }
