@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anomaly, contamination, html_main, language_model, line_dedup, manifest, minhash, packing, quality, sharding, store, suffixes, unit_dedup
+from . import anomaly, contamination, html_main, language_model, lexical, line_dedup, manifest, minhash, packing, quality, sharding, store, suffixes, unit_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in manifest.FIELDS]
     leaves, nodes, trees = manifest.build(_table(spark, sf_dir, "documents"), also={"claim": F.when(_id_mod(7) == 0, manifest.leaf_digest(more))})
@@ -88,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_suffix_dedup": suffixes.ORACLE_SQL,
         "op6_substring_dedup": unit_dedup.ORACLE_SQL,
         "op11_sharding": sharding.ORACLE_SQL,
+        "op12_ranked_search": lexical.ORACLE_SQL,
         "op13_merkle_manifest": manifest.ORACLE_SQL,
     }
