@@ -5,18 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import latest_per_key
+from .relational import latest_per_key, require_unique
 
 KINDS = ["insert", "delete", "update_preimage", "update_postimage"]
 
 
-def require_unique(df: DataFrame, keys: list[str]) -> None:
-    """Raises if a key without nulls occurs twice."""
-    whole = df.dropna(subset=keys)
-    if not whole.groupBy(*keys).count().filter("count > 1").limit(1).isEmpty():
-        raise ValueError(f"the source has several rows for one {', '.join(keys)}")
-
-
 def upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Source rows replace the target's with their key or join it; a null key never matches. Several source
     rows for one key are an error, raised before anything is built."""

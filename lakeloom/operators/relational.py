@@ -60,26 +60,25 @@ def valid_at(ts: Column, start: Column, end: Column) -> Column:
     return (ts >= start) & (end.isNull() | (ts < end))
 
 
-def pit_join(fact: DataFrame, dim: DataFrame, id_col: str, ts: str, how: str = "inner", start: str = "valid_from", end: str = "valid_to", salt_rows: int | None = None) -> DataFrame:
+def pit_join(fact: DataFrame, dim: DataFrame, id_col: str, ts: str, how: str = "inner", start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Each fact with the version of its entity that held at the fact's time. The equality on the
     entity carries the join, the range is its residual; with "inner" facts without a version drop out.
-
-    salt_rows: an entity with more facts is dealt over several tasks, each with a copy of its versions. Without it
-    only the runtime's own handling of skewed joins parts such an entity.
+    Every fact meets all versions of its entity: for long histories and hot entities there is `asof.asof_join`.
     """
     d = dim.withColumnRenamed(id_col, "_entity")
-    if salt_rows:
-        hot = fact.groupBy(F.col(id_col).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > salt_rows)
-        hot = hot.select("_hot", F.ceil(F.col("_n") / salt_rows).cast("int").alias("_salts"))
-        n = F.coalesce("_salts", F.lit(1))
-        fact = fact.join(hot, F.col(id_col) == F.col("_hot"), "left").withColumn("_fact_salt", F.pmod(F.xxhash64(ts), n).cast("int")).drop("_hot", "_salts")
-        d = d.join(hot, F.col("_entity") == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_hot", "_salts")
-    cond = (fact[id_col] == d["_entity"]) & valid_at(fact[ts], d[start], d[end])
-    return fact.join(d, cond & (fact["_fact_salt"] == d["_salt"]) if salt_rows else cond, how).drop("_entity", "_salt", "_fact_salt")
+    return fact.join(d, (fact[id_col] == d["_entity"]) & valid_at(fact[ts], d[start], d[end]), how).drop("_entity")
+
+
+def require_unique(df: DataFrame, keys: list[str]) -> None:
+    """Raises if a key without nulls occurs twice."""
+    whole = df.dropna(subset=keys)
+    if not whole.groupBy(*keys).count().filter("count > 1").limit(1).isEmpty():
+        raise ValueError(f"the source has several rows for one {', '.join(keys)}")
 
 
 def update_from(target: DataFrame, source: DataFrame, on: list[str], values: dict[str, str]) -> DataFrame:
-    """Sets target columns from the source row with the same key; values: target column to source column. Keys of source must be unique."""
+    """Sets target columns from the source row with the same key; values: target column to source column. Several source rows for one key are an error."""
+    require_unique(source, on)
     s = source.select(*on, *(F.col(c).alias(f"_new_{t}") for t, c in values.items()), F.lit(True).alias("_hit"))
     joined = target.join(s, on, "left")
     new = {t: F.when(F.col("_hit"), F.col(f"_new_{t}")).otherwise(F.col(t)) for t in values}

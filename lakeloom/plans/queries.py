@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import count_nulls, exact_sum, money, ratio, round_half_up, row_hash
-from ..operators import analytics, cleaning, data_quality, dimensions, facts, incremental, keys, layout, profiling, scd2
+from ..operators import analytics, asof, cleaning, data_quality, dimensions, facts, incremental, keys, layout, profiling, scd2
 from ..operators import relational as rel
 from ..sources import files, scratch
 from .roles import Roles
@@ -152,7 +152,38 @@ def scd2_stats(r: Roles) -> DataFrame:
 
 @query(f"""WITH {_HIST} SELECT o_orderkey, o.o_custkey, o_orderdate, version_num FROM orders o JOIN dim ON o.o_custkey = dim.o_custkey AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to)""")
 def pit_join(r: Roles) -> DataFrame:
-    return rel.pit_join(r.orders, _history(r).drop("o_orderpriority"), "o_custkey", "o_orderdate", salt_rows=1_000_000).select("o_orderkey", "o_custkey", "o_orderdate", "version_num")
+    return rel.pit_join(r.orders, _history(r).drop("o_orderpriority"), "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey", "o_orderdate", "version_num")
+
+
+#: Half of the orders belong to entity 0, which changes every day for 1,000 days and then holds its last version.
+_HOT = f"""WITH {_HIST}, f AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END AS entity, o_orderdate FROM orders),
+ d AS (SELECT min(o_orderdate) AS first FROM orders),
+ v AS (SELECT 0 AS entity, k AS version_num, first + to_days(k::INTEGER) AS valid_from, CASE WHEN k < 999 THEN first + to_days((k + 1)::INTEGER) END AS valid_to FROM d, range(1000) t(k)
+   UNION ALL SELECT o_custkey, version_num, valid_from, valid_to FROM dim WHERE o_custkey <> 0)"""
+
+
+def _hot(r: Roles) -> tuple[DataFrame, DataFrame]:
+    facts = r.orders.select("o_orderkey", F.expr("CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey END").alias("entity"), "o_orderdate")
+    days = r.orders.agg(F.min("o_orderdate").alias("first")).select("first", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("k"))
+    day = lambda n: F.expr(f"first + make_dt_interval(k + {n})")
+    daily = days.select(F.lit(0).cast("long").alias("entity"), F.col("k").cast("long").alias("version_num"), day(0).alias("valid_from"), F.when(F.col("k") < 999, day(1)).alias("valid_to"))
+    others = _history(r).filter("o_custkey <> 0").select(F.col("o_custkey").alias("entity"), "version_num", "valid_from", "valid_to")
+    return facts, daily.unionByName(others)
+
+
+@query(f"{_HOT} SELECT o_orderkey, f.entity, o_orderdate, version_num, valid_from, valid_to FROM f LEFT JOIN v ON f.entity = v.entity AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to)")
+def pit_join_hot(r: Roles) -> DataFrame:
+    """The merge of facts and versions, with slices small enough for the hot entity to be dealt over many tasks."""
+    facts, versions = _hot(r)
+    return asof.asof_join(facts, versions, "entity", "o_orderdate", "left", slice_rows=400)
+
+
+@query(f"{_HOT} SELECT version_num, count(*) AS facts, count(DISTINCT f.entity) AS entities FROM f JOIN v ON f.entity = v.entity AND o_orderdate >= valid_from AND (valid_to IS NULL OR o_orderdate < valid_to) GROUP BY 1")
+def pit_join_facts_by_version(r: Roles) -> DataFrame:
+    """The same at the size of slices that production has: one sort, no slice."""
+    facts, versions = _hot(r)
+    found = asof.asof_join(facts, versions, "entity", "o_orderdate")
+    return found.groupBy("version_num").agg(F.count("*").alias("facts"), F.countDistinct("entity").alias("entities"))
 
 
 @query(f"""WITH {_HIST}, q AS (SELECT o_orderkey, o_custkey, o_orderdate - INTERVAL 30 DAY AS t FROM orders)

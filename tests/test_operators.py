@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakeloom.functions import row_hash
-from lakeloom.operators import cleaning, data_quality, dimensions, facts, incremental, keys, layout, profiling, scd2
+from lakeloom.operators import asof, cleaning, data_quality, dimensions, facts, incremental, keys, layout, profiling, scd2
 from lakeloom.operators import relational as rel
 from lakeloom.sources import files
 
@@ -242,14 +242,40 @@ def test_publish_that_was_ended_between_its_renames_is_recovered(spark, tmp_path
     assert spark.read.parquet(path).count() == 5
 
 
-def test_point_in_time_join_deals_hot_entities_out(spark):
-    dim = spark.createDataFrame([(1, 0, 5), (1, 5, None), (2, 0, None)], "id int, valid_from int, valid_to int")
-    fact = spark.createDataFrame([(1, t % 10) for t in range(50)] + [(2, 3), (3, 1), (None, 2)], "id int, at int")
-    plain = rel.pit_join(fact, dim, "id", "at", "left")
-    salted = rel.pit_join(fact, dim, "id", "at", "left", salt_rows=7)
-    assert salted.columns == plain.columns
+@pytest.mark.parametrize("slice_rows", [1_000_000, 40, 8])
+def test_merge_join_equals_range_join(spark, slice_rows):
+    """Hot entities in slices of time and instants that hold many facts, long histories, gaps, versions of no length, nulls."""
+    dim = [(1, 0, 5, "a"), (1, 5, 5, "none"), (1, 5, None, "b"), (2, 0, 3, "c"), (2, 6, 8, "d"), (None, 0, None, "n"), (4, 2, None, "e"), (5, None, None, "f")]
+    dim += [(9, t, t + 1 if t < 299 else None, f"v{t}") for t in range(300)]
+    fact = [(1, t % 10, k) for k, t in enumerate(range(200))] + [(1, 5, k) for k in range(150)] + [(2, t, 0) for t in range(10)] + [(3, 1, 0), (None, 2, 0), (4, 1, 0), (4, 2, 0), (5, 1, 0), (9, None, 0)]
+    fact += [(9, t % 320, k) for k, t in enumerate(range(-5, 700))]
+    d = spark.createDataFrame(dim, "id int, valid_from int, valid_to int, v string")
+    f = spark.createDataFrame(fact, "id int, at int, k int").repartition(3)
     key = lambda r: tuple(map(str, r))
-    assert sorted(salted.collect(), key=key) == sorted(plain.collect(), key=key) and salted.count() == 53
+    for how in ("inner", "left"):
+        plain, merged = rel.pit_join(f, d, "id", "at", how), asof.asof_join(f, d, "id", "at", how, slice_rows=slice_rows)
+        assert merged.columns == plain.columns
+        assert sorted(merged.collect(), key=key) == sorted(plain.collect(), key=key)
+    assert merged.count() == len(fact)
+
+
+def test_slices_of_a_hot_entity_are_even_and_dealt(spark):
+    keys = spark.range(20_000).selectExpr("IF(id % 10 < 8, 1, id) AS _entity", "CAST(pow(id / 20000.0, 6) * 1e9 AS LONG) AS _at")
+    edges = asof._edges(keys, 1_000)
+    assert [r["_entity"] for r in edges.collect()] == [1]
+    sizes = [r["count"] for r in keys.filter("_entity = 1").join(edges, "_entity").withColumn("s", asof._slice("_at")).groupBy("s").count().collect()]
+    assert sum(sizes) == 16_000 and len(sizes) > 10 and max(sizes) < 3_000
+    one = asof._edges(spark.range(5_000).selectExpr("1 AS _entity", "7 AS _at"), 500).first()["_edges"]
+    assert len(one) == 1 and one[0]["times"] > 5
+
+
+def test_merge_join_makes_no_row_that_it_does_not_return(spark):
+    d = spark.range(1_000).selectExpr("1 AS id", "id AS valid_from", "id + 1 AS valid_to")
+    f = spark.range(3_000).selectExpr("1 AS id", "id % 1000 AS at")
+    out = asof.asof_join(f, d, "id", "at")
+    assert out.count() == 3_000 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        asof.asof_join(f.withColumn("valid_to", F.lit(1)), d, "id", "at")
 
 
 def test_lookup_of_a_wide_dimension_is_not_broadcast(spark, monkeypatch):
