@@ -54,14 +54,14 @@ class WordTokens:
 
     Words are cut before their closing ASCII punctuation, each distinct piece is tokenised once for a
     task, and the texts' ids are put together from the pieces' ids. The pieces known are kept up to a
-    number, so memory is bounded.
+    number, so memory is bounded. Control marks, such as <|endoftext|>, get their own ids, as the tokenizer
+    gives them; it looks for them before it lowers letters, so words that may hold one keep theirs.
     """
 
     def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep = keep
         # a piece of ASCII letters is one unit of the model, as checked here, and can go to it directly
         self.direct = all(self.encode(x) == self.units(x) for x in ("a", "them", "ofthstthor", "xqzvwk"))
@@ -87,10 +87,15 @@ class WordTokens:
     def __call__(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
         n = len(off) - 1
-        buf = textkit.LOWER[buf]
         s, e, d = textkit.words(buf, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        marks = np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|")))
+        held = np.zeros(len(buf) + 1, np.int8)
+        marked = np.unique(np.searchsorted(s, marks, "right") - 1)
+        held[s[marked]] += 1
+        held[e[marked]] -= 1
+        buf = np.where(np.cumsum(held[:-1]) > 0, buf, textkit.LOWER[buf]) if len(marks) else textkit.LOWER[buf]
         # the closing run of punctuation, if a letter or digit stands before it
         plain = ~CLOSING[buf]
         last = np.maximum.accumulate(np.where(plain, np.arange(len(buf)), -1))[e - 1]

@@ -430,8 +430,8 @@ def test_packing_holds_every_id_once(spark, frame, corpus):
 
     path = tokenizers.path("word_bpe_49k.json")
     docs = corpus + [(300, "it's,ok. don't... <|endoftext|> É. 1,5.  a. b U.S.A.!! ﬁ İx."), (301, "word " * 9000)]
+    docs += [(302, "<|ENDOFTEXT|> <|EndOfText|> a<|endoftext|>B. x<|startoftext|>,<|endoftext|>! <|endoftext|"), (303, "end <|endoftext|>"), (304, "<|endoftext|>\n<|startoftext|>START<|A|> É<|endoftext|>É"), (305, "<| |> <|"), (306, "|>")]
     encode = Tokenizer.from_file(path)
-    encode.encode_special_tokens = True
     ids = {i: np.array([*encode.encode(t or "", add_special_tokens=False).ids, packing.END_ID], "<u4") for i, t in docs}
     rows = packing.pack(frame(docs), path, group_docs=20).collect()
     spans, bins = {}, {}
@@ -446,6 +446,7 @@ def test_packing_holds_every_id_once(spark, frame, corpus):
             assert start == at and n > 0
             at += n
         assert at == ends if ends is not None else at <= packing.LENGTH
+    assert 49407 in ids[300] and 49407 in ids[303] and 49406 in ids[304]
     assert set(spans) == set(ids) and packing.pack(empty(spark), path).count() == 0
 
 

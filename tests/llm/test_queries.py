@@ -80,7 +80,6 @@ def test_corpus_run_equals_brute_force(spark, sf_dir):
     items = [r[0] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text").collect()]
     texts = {i: t for i, t in texts.items() if not any(brute.covered(t, x) for x in items)}
     encode = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    encode.encode_special_tokens = True
     want = {i: len(encode.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r["doc_id"]: r["doc_tokens"] for r in rows} == want
