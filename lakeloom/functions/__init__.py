@@ -14,8 +14,18 @@ def col(c: ColumnLike) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def row_fingerprint(cols: list[ColumnLike]) -> Column:
+    """SHA-256 over the values in order, each as its length in bytes, a colon and itself, a null as a dash: different
+    rows have different texts, also where values hold separators or one is null and the other empty."""
+    values = [col(c).cast("string") for c in cols]
+    return F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values)), 256)
+
+
 def row_hash(cols: list[ColumnLike], algo: str = "sha256", null_token: str = "", sep: str = "|") -> Column:
-    """Fingerprint of the values in order. A null is `null_token` in its own place, so (a, null, b) and (a, b, null) differ."""
+    """Fingerprint of the values in order. A null is `null_token` in its own place, so (a, null, b) and (a, b, null) differ;
+    but a null and an empty value, or values that hold the separator, can be alike. With algo "exact" they never are."""
+    if algo == "exact":
+        return row_fingerprint(cols)
     text = F.concat_ws(sep, *(F.coalesce(col(c).cast("string"), F.lit(null_token)) for c in cols))
     return {"sha256": lambda: F.sha2(text, 256), "md5": lambda: F.md5(text)}[algo]()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,3 +31,23 @@ def add_surrogate_key(df: DataFrame, name: str, order_cols: list[str], start: in
 
 def max_key(df: DataFrame, name: str) -> int:
     return df.agg(F.max(name)).first()[0] or 0
+
+
+def register_keys(registry: DataFrame, rows: DataFrame, natural: list[str], name: str) -> DataFrame:
+    """The registry (name, natural keys) with a new key for every natural key of `rows` that it doesn't have.
+
+    Keys that were given stay for good, also those of natural keys that no row has any more, so facts keep pointing at
+    the same rows when a dimension is built anew. New ones count on from the largest, in the order of the natural keys. A null is a
+    value like others.
+    """
+    known = registry.select(*(F.col(c).alias(f"_{c}") for c in natural))
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in natural))
+    unseen = rows.select(*natural).distinct().join(known, match, "left_anti")
+    return registry.select(name, *natural).unionByName(add_surrogate_key(unseen, name, natural, max_key(registry, name)))
+
+
+def with_registered_key(rows: DataFrame, registry: DataFrame, natural: list[str], name: str) -> DataFrame:
+    """The rows with their natural key's registered one."""
+    keys = registry.select(name, *(F.col(c).alias(f"_{c}") for c in natural))
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in natural))
+    return rows.join(keys, match, "left").select(name, *rows.columns)

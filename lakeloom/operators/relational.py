@@ -115,6 +115,23 @@ def quantile(df: DataFrame, c: str, p: float, accuracy: int = 10_000) -> DataFra
     return df.agg(F.percentile_approx(c, F.lit(p), F.lit(accuracy)).alias("quantile"))
 
 
+def quantile_sketches(df: DataFrame, by: list[str], c: str, k: int = 200, name: str = "sketch") -> DataFrame:
+    """A mergeable KLL sketch of c's values for each group, a few KB however many rows it stands for; nulls don't count.
+    Its ranks are off by about 1.65 / k^0.9 of the rows at most (1.3 % at k = 200, 0.3 % at 1,000)."""
+    return df.groupBy(*by).agg(F.kll_sketch_agg_double(F.col(c).cast("double"), F.lit(k)).alias(name))
+
+
+def merge_sketches(sketches: DataFrame, by: list[str], k: int = 200, name: str = "sketch") -> DataFrame:
+    """The sketches of coarser groups, from stored ones and without the rows."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_double(F.col(name), F.lit(k)).alias(name))
+
+
+def sketch_quantiles(sketches: DataFrame, p: list[float], name: str = "sketch", out: str = "quantiles") -> DataFrame:
+    """The values at the given ranks of every sketch, as an array."""
+    at = F.array(*(F.kll_sketch_get_quantile_double(F.col(name), F.lit(float(x))) for x in p))
+    return sketches.withColumn(out, at).drop(name)
+
+
 def version_counts(df: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
     """Number of distinct value tuples per entity; a tuple with nulls counts as one."""
     return df.select(id_col, *cols).distinct().groupBy(id_col).agg(F.count("*").alias("versions"))

@@ -36,25 +36,25 @@ def scd2_stats(dim: DataFrame, id_col: str) -> DataFrame:
     return per.agg(F.sum("n").alias("total"), F.sum("c").alias("current"), (F.sum("n") - F.sum("c")).alias("historical"), F.count("*").alias("entities"), F.count_if(F.col("n") > 1).alias("changed"))
 
 
-def classify_batch(dim: DataFrame, batch: DataFrame, id_col: str, tracked: list[str]) -> DataFrame:
+def classify_batch(dim: DataFrame, batch: DataFrame, id_col: str, tracked: list[str], algo: str = "sha256") -> DataFrame:
     """The batch with `action`: new, moved or unchanged against the current versions."""
     now = dim.filter("is_current").select(F.col(id_col).alias("_id"), F.col("row_hash").alias("_hash"))
-    b = batch.withColumn("row_hash", row_hash(tracked))
+    b = batch.withColumn("row_hash", row_hash(tracked, algo))
     action = F.when(F.col("_hash").isNull(), "new").when(F.col("_hash") != F.col("row_hash"), "moved").otherwise("unchanged")
-    return b.join(now, b[id_col] == F.col("_id"), "left").withColumn("action", action).drop("_id", "_hash")
+    return b.join(now, b[id_col].eqNullSafe(F.col("_id")), "left").withColumn("action", action).drop("_id", "_hash")
 
 
 def _numbered(rows: DataFrame, dim: DataFrame, key: str | None, order: list[str]) -> DataFrame:
     return add_surrogate_key(rows, key, order, max_key(dim, key)).select(*dim.columns) if key else rows.select(*dim.columns)
 
 
-def scd2_merge(dim: DataFrame, batch: DataFrame, id_col: str, tracked: list[str], ts: str, key: str | None = None) -> DataFrame:
+def scd2_merge(dim: DataFrame, batch: DataFrame, id_col: str, tracked: list[str], ts: str, key: str | None = None, algo: str = "sha256") -> DataFrame:
     """Merges the latest change per entity: moved ones close the current version and open a new one, new ones
-    open one, unchanged ones do nothing; so the same batch again changes nothing. ts is a column of the batch."""
+    open one, unchanged ones do nothing; so the same batch again changes nothing. A null id is an entity like others. ts is a column of the batch."""
     last = latest_per_key(batch, [id_col], ts, tracked)
-    act = classify_batch(dim, last, id_col, tracked).filter("action <> 'unchanged'")
+    act = classify_batch(dim, last, id_col, tracked, algo).filter("action <> 'unchanged'")
     ends = act.filter("action = 'moved'").select(F.col(id_col).alias("_id"), F.col(ts).alias("_end"))
-    joined = dim.join(ends, (dim[id_col] == F.col("_id")) & dim["is_current"], "left")
+    joined = dim.join(ends, dim[id_col].eqNullSafe(F.col("_id")) & dim["is_current"], "left")
     closed = joined.withColumns({"valid_to": F.coalesce("_end", "valid_to"), "is_current": F.col("is_current") & F.col("_end").isNull()}).select(*dim.columns)
     opened = act.select(id_col, *tracked, F.col(ts).alias("valid_from"), F.lit(None).cast(dim.schema["valid_to"].dataType).alias("valid_to"), F.lit(True).alias("is_current"), "row_hash")
     return closed.unionByName(_numbered(opened, dim, key, [id_col]))

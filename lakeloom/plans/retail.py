@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..operators import cleaning, data_quality, facts, incremental
+from ..functions import row_fingerprint, row_hash
+from ..operators import cleaning, data_quality, facts, incremental, keys, layout, scd2
 from ..operators import relational as rel
-from ..sources import files, scratch
-from .queries import query
+from ..operators.feed import Feed
+from ..sources import files, ledger, partitions, scratch
+from .queries import _ACT, _batch, _history, query
 from .roles import Roles
 
 FIRST, LATER = "DATE '2024-01-01'", "DATE '2024-02-01'"
@@ -207,6 +210,31 @@ def stage_products(r: Roles) -> DataFrame:
     return _staged(r, PRODUCTS, "products")
 
 
+@query(_staged_sql(ORDERS, _moment(*_TIMES)))
+def stage_orders(r: Roles) -> DataFrame:
+    return _staged(r, ORDERS, "orders")
+
+
+@query(_staged_sql(GEOLOCATION, _double("geolocation_lat", "geolocation_lng")))
+def stage_geolocation(r: Roles) -> DataFrame:
+    return _staged(r, GEOLOCATION, "geolocation")
+
+
+@query(f"SELECT * FROM ({CUSTOMERS.sql()})")
+def stage_customers(r: Roles) -> DataFrame:
+    return _staged(r, CUSTOMERS, "customers")
+
+
+@query(f"SELECT * FROM ({SELLERS.sql()})")
+def stage_sellers(r: Roles) -> DataFrame:
+    return _staged(r, SELLERS, "sellers")
+
+
+@query(f"SELECT * FROM ({TRANSLATION.sql()})")
+def stage_translation(r: Roles) -> DataFrame:
+    return _staged(r, TRANSLATION, "category_translation")
+
+
 @query(f"SELECT side, reason, count(*) AS n FROM (SELECT CASE WHEN _reject_reason IS NULL THEN 'valid' ELSE 'reject' END AS side, _reject_reason AS reason FROM ({_clean_sql(SELLERS, 'seller_id', '', _null('seller_id'))})) GROUP BY ALL")
 def publish_split(r: Roles) -> DataFrame:
     """Both sides as published: an older run's rejects are gone."""
@@ -251,6 +279,66 @@ def ingested_tables(r: Roles) -> DataFrame:
     return read("customer", "c_custkey").union(read("supplier", "s_suppkey"))
 
 
+def _one_csv(df: DataFrame, path: str) -> str:
+    """The rows as a single CSV file of just that name."""
+    folder = _csv(df.coalesce(1), scratch.new_path(df.sparkSession))
+    made = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path").first()[0]
+    files.move(df.sparkSession, made, path)
+    return path
+
+
+def _day(n: int):
+    return F.lit(f"2024-03-{n:02d} 06:00:00").cast("timestamp")
+
+
+def _ingested(r: Roles, root: str, name: str, key: str) -> DataFrame:
+    """Rows and keys by file and day, and the batches that were written in all."""
+    day = F.date_format("_ingestion_date", "yyyy-MM-dd").alias("day")
+    rows = ledger.table(r.spark, root, name).groupBy(F.element_at(F.split("_source_file", "/"), -1).alias("file"), day)
+    return rows.agg(F.count("*").alias("n"), F.sum(key).alias("keys"), F.countDistinct("_batch").alias("batches"))
+
+
+@query("""SELECT 'one.csv' AS file, '2024-03-01' AS day, count(*) AS n, sum(c_custkey)::BIGINT AS keys, 1::BIGINT AS batches FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT 'two.csv', '2024-03-02', count(*), sum(c_custkey)::BIGINT, 1 FROM customer WHERE c_custkey % 3 = 0""")
+def ingest_next_day(r: Roles) -> DataFrame:
+    """One file on the first day, a second beside it on the next, nothing new on the third: each file's rows come in once."""
+    root = scratch.new_path(r.spark)
+    for day, (name, cond) in enumerate([("one", "c_custkey % 3 <> 0"), ("two", "c_custkey % 3 = 0"), (None, None)], 1):
+        if name:
+            _one_csv(r.customer.filter(cond), f"{root}/in/{name}.csv")
+        ledger.ingest_each(r.spark, {"customer": f"{root}/in/*.csv"}, f"{root}/bronze", {"customer": r.customer.schema}, _day(day))
+    return _ingested(r, f"{root}/bronze", "customer", "c_custkey")
+
+
+@query("""SELECT 'a.csv' AS file, '2024-03-02' AS day, count(*) AS n, sum(s_suppkey)::BIGINT AS keys, 1::BIGINT AS batches FROM supplier
+UNION ALL SELECT 'b.csv', '2024-03-01', count(*), sum(s_suppkey)::BIGINT, 1 FROM supplier WHERE s_suppkey % 2 = 0""")
+def ingest_changed_file(r: Roles) -> DataFrame:
+    """A file that comes again under its name with more rows replaces what it had brought; the other stays as it was."""
+    root = scratch.new_path(r.spark)
+    _one_csv(r.supplier.filter("s_suppkey % 5 = 0"), f"{root}/in/a.csv")
+    _one_csv(r.supplier.filter("s_suppkey % 2 = 0"), f"{root}/in/b.csv")
+    for day in (1, 2):
+        ledger.ingest_each(r.spark, {"supplier": f"{root}/in/*.csv"}, f"{root}/bronze", {"supplier": r.supplier.schema}, _day(day))
+        _one_csv(r.supplier, f"{root}/in/a.csv")
+    ledger.ingest_each(r.spark, {"supplier": f"{root}/in/b.csv"}, f"{root}/bronze", {"supplier": r.supplier.schema}, _day(3))
+    return _ingested(r, f"{root}/bronze", "supplier", "s_suppkey")
+
+
+@query("""SELECT 'customer' AS name, '2024-03-01' AS day, count(*) AS n, sum(c_custkey)::BIGINT AS keys, 1::BIGINT AS batches FROM customer
+UNION ALL SELECT 'supplier', '2024-03-02', count(*), sum(s_suppkey)::BIGINT, 1 FROM supplier""")
+def ingest_restart(r: Roles) -> DataFrame:
+    """A run ends after the first of two tables, when the second's rows are written but not entered; the next run takes just those again."""
+    root = scratch.new_path(r.spark)
+    sources = {"customer": _one_csv(r.customer, f"{root}/in/customer.csv"), "supplier": _one_csv(r.supplier, f"{root}/in/supplier.csv")}
+    schemas = {"customer": r.customer.schema, "supplier": r.supplier.schema}
+    ledger.ingest_each(r.spark, {"customer": sources["customer"]}, f"{root}/bronze", schemas, _day(1))
+    lost = files.with_lineage(files.read_csv(r.spark, sources["supplier"], schemas["supplier"]), F.col("_metadata.file_path"), _day(1))
+    files.append(lost.withColumn("_batch", F.lit("lost")), f"{root}/bronze/supplier", ["_batch"])
+    ledger.ingest_each(r.spark, sources, f"{root}/bronze", schemas, _day(2))
+    parts = [_ingested(r, f"{root}/bronze", name, key).select(F.lit(name).alias("name"), "day", "n", "keys", "batches") for name, key in (("customer", "c_custkey"), ("supplier", "s_suppkey"))]
+    return rel.union_all(parts)
+
+
 @query("SELECT n_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def sql_over_names(r: Roles) -> DataFrame:
     files.register(r.supplier, "lakeloom_supplier")
@@ -338,3 +426,138 @@ def lookup_by_expression(r: Roles) -> DataFrame:
     lo, hi = r.orders.agg(F.min(F.to_date("o_orderdate")), F.max(F.to_date("o_orderdate"))).first()
     days = files.date_spine(r.spark, lo, hi).select("full_date", F.date_format("full_date", "yyyyMMdd").cast("long").alias("date_key"))
     return rel.lookup(r.orders, days, F.to_date("o_orderdate") == F.col("full_date")).select("o_orderkey", "date_key")
+
+
+# ---- tables that are changed in part ---------------------------------------------------------
+
+
+def _written(r: Roles, path: str, by: str) -> DataFrame:
+    """(by, at): when each partition's files were last written."""
+    return r.spark.read.parquet(path).select(by, "_metadata.file_modification_time").groupBy(by).agg(F.max("file_modification_time").alias("at"))
+
+
+def _rewritten(r: Roles, path: str, by: str, before: DataFrame) -> DataFrame:
+    """The table's rows with whether their partition was written since; partitions that are new count."""
+    seen = _written(r, path, by).join(before.select(by, F.col("at").alias("was")), by, "left")
+    flags = seen.select(by, (F.col("was").isNull() | (F.col("at") > F.col("was"))).alias("rewritten"))
+    return r.spark.read.parquet(path).join(F.broadcast(flags), by)  # a row per partition
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, year(o_orderdate)::INTEGER AS year FROM orders), y AS (SELECT min(year) AS first FROM o),
+ t AS (SELECT o_orderkey, CASE WHEN year = first + 1 AND o_orderkey % 5 = 0 THEN 'M' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN year = first + 1 AND o_orderkey % 10 = 0 THEN 2050 ELSE year END AS year, first FROM o, y)
+SELECT year, year IN (first + 1, 2050) AS rewritten, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'M') AS merged, sum(o_orderkey)::BIGINT AS keys FROM t GROUP BY ALL""")
+def merge_touched_partitions(r: Roles) -> DataFrame:
+    """A batch for one year: some rows change there, some move to a year of their own. Files of the other years stay as they are."""
+    path, cols = scratch.new_path(r.spark), ["o_orderkey", "o_orderstatus", "year"]
+    old = r.orders.withColumn("year", F.year("o_orderdate")).select(*cols)
+    files.append(old.repartition("year"), path, ["year"])
+    before, first = scratch.cut(_written(r, path, "year")), old.agg(F.min("year")).first()[0]
+    batch = old.filter((F.col("year") == first + 1) & (F.col("o_orderkey") % 5 == 0)).withColumns({"o_orderstatus": F.lit("M"), "year": F.expr("IF(o_orderkey % 10 = 0, 2050, year)")})
+    partitions.merge_touched(path, batch, ["o_orderkey"], ["year"], lambda rows, b: incremental.upsert(rows, b, ["o_orderkey"]))
+    out = _rewritten(r, path, "year", before)
+    return out.groupBy("year", "rewritten").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "M").alias("merged"), F.sum("o_orderkey").alias("keys"))
+
+
+@query(f"""{_ACT}, ch AS (SELECT * FROM act WHERE (was IS NULL OR was <> h) AND o_custkey % 16 IN (3, 8)), merged AS (
+ SELECT d.o_custkey, d.o_orderpriority, d.valid_from, CASE WHEN d.is_current AND ch.o_custkey IS NOT NULL THEN ch.change_ts ELSE d.valid_to END AS valid_to,
+  d.is_current AND ch.o_custkey IS NULL AS is_current, d.row_hash FROM dim d LEFT JOIN ch ON d.o_custkey = ch.o_custkey
+ UNION ALL SELECT o_custkey, o_orderpriority, change_ts, NULL, true, h FROM ch)
+SELECT *, (o_custkey % 16)::INTEGER AS part, o_custkey % 16 IN (3, 8) AS rewritten FROM merged""")
+def scd2_merge_touched_partitions(r: Roles) -> DataFrame:
+    """A history in 16 partitions that the key decides; a batch of two of them leaves the files of 14 alone, and they aren't read."""
+    path, part = scratch.new_path(r.spark), F.expr("CAST(o_custkey % 16 AS INT)")
+    files.append(_history(r).drop("version_num").withColumn("part", part).repartition("part"), path, ["part"])
+    before = scratch.cut(_written(r, path, "part"))
+    batch = _batch(r).withColumn("part", part).filter("part IN (3, 8)")
+    merge = lambda rows, b: scd2.scd2_merge(rows.drop("part"), b, "o_custkey", ["o_orderpriority"], "change_ts").withColumn("part", part)
+    partitions.merge_touched(path, batch, ["o_custkey"], ["part"], merge, derived=True)
+    return _rewritten(r, path, "part", before)
+
+
+# ---- a stored change feed --------------------------------------------------------------------
+
+
+def _five_versions(r: Roles) -> Feed:
+    """Version 0 and five more, with a snapshot at every other: updates, deletes, some come back, updates again, one as known changes."""
+    v0 = r.orders.select("o_orderkey", "o_orderstatus")
+    v1 = incremental.update_where(v0, "o_orderkey % 11 = 0", {"o_orderstatus": "'X'"})
+    v2 = incremental.delete_where(v1, "o_orderkey % 7 = 0")
+    v3 = v2.union(v0.filter("o_orderkey % 21 = 0"))
+    v4 = incremental.update_where(v3, "o_orderkey % 5 = 0", {"o_orderstatus": "'Y'"})
+    v5 = incremental.delete_where(v4, "o_orderstatus = 'X'")
+    feed = Feed(r.spark, scratch.new_path(r.spark), ["o_orderkey"], every=2)
+    for state in (v0, v1, v2, v3, v4):
+        feed.commit(state)
+    feed.commit_changes(incremental.snapshot_diff(v4, v5, ["o_orderkey"]))
+    return feed
+
+
+_V3 = """v3 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 7 <> 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0 OR o_orderkey % 21 = 0),
+ v4 AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'Y' ELSE o_orderstatus END AS o_orderstatus FROM v3)"""
+
+
+@query(f"WITH {_V3} SELECT 3 AS version, * FROM v3 UNION ALL SELECT 4, * FROM v4 UNION ALL SELECT 5, * FROM v4 WHERE o_orderstatus <> 'X'")
+def feed_state_as_of(r: Roles) -> DataFrame:
+    """Three versions of a stored table: from the snapshot before, from a snapshot itself, and the last one."""
+    feed = _five_versions(r)
+    return rel.union_all([feed.state(n).select(F.lit(n).alias("version"), "o_orderkey", "o_orderstatus") for n in (3, 4, 5)])
+
+
+@query(f"""WITH {_V3} SELECT 3 AS _commit_version, 'insert' AS _change_type, count(*) AS n, true AS pruned FROM orders WHERE o_orderkey % 21 = 0
+UNION ALL SELECT 4, k, count(*), true FROM v3, (VALUES ('update_preimage'), ('update_postimage')) t(k) WHERE o_orderkey % 5 = 0 GROUP BY 2
+UNION ALL SELECT 5, 'delete', count(*), true FROM v4 WHERE o_orderstatus = 'X'""")
+def feed_changes_since(r: Roles) -> DataFrame:
+    """Changes from version 3 on; the scan hands on just as many rows as those versions' commits say."""
+    feed = _five_versions(r)
+    rows = feed.changes(3)
+    told = feed.history().filter("version >= 3").agg(F.sum("rows")).first()[0]
+    return rows.groupBy(F.col("_commit_version").cast("int").alias("_commit_version"), "_change_type").agg(F.count("*").alias("n")).withColumn("pruned", F.lit(layout.rows_scanned(rows) == told))
+
+
+# ---- keys and fingerprints that last ---------------------------------------------------------
+
+
+@query("""WITH old AS (SELECT row_number() OVER (ORDER BY c_custkey) AS customer_key, c_custkey FROM customer WHERE c_custkey % 10 <> 0),
+ reg AS (SELECT * FROM old UNION ALL SELECT (SELECT max(customer_key) FROM old) + row_number() OVER (ORDER BY c_custkey), c_custkey FROM customer WHERE c_custkey % 10 = 0)
+SELECT customer_key, c_custkey, c_custkey % 20 <> 1 AS there, c_custkey % 10 <> 0 AS kept FROM reg""")
+def stable_surrogate_keys(r: Roles) -> DataFrame:
+    """A dimension is built anew when a tenth of its keys is new and a twentieth is gone: all keys that were given stay."""
+    path = scratch.new_path(r.spark)
+    first = r.customer.filter("c_custkey % 10 <> 0").select("c_custkey")
+    empty = r.spark.createDataFrame([], "customer_key long, c_custkey long")
+    files.publish(keys.register_keys(empty, first, ["c_custkey"], "customer_key"), path)
+    old = scratch.cut(r.spark.read.parquet(path))
+    batch = r.customer.filter("c_custkey % 20 <> 1").select("c_custkey")
+    files.publish(keys.register_keys(r.spark.read.parquet(path), batch, ["c_custkey"], "customer_key"), path)
+    registry = r.spark.read.parquet(path)
+    there = rel.with_exists_flag(registry, batch, ["c_custkey"], "there")
+    return there.join(old.withColumnRenamed("customer_key", "was"), "c_custkey", "left").select("customer_key", "c_custkey", "there", F.coalesce(F.col("was") == F.col("customer_key"), F.lit(False)).alias("kept"))
+
+
+_LIKE = {"null and empty": ("NULL", "''"), "separator": ("concat(c_name, '|x')", "'y'"), "separator moved": ("c_name", "'x|y'"), "empty": ("''", "''"), "dash": ("'-'", "NULL"), "length": ("concat('1:', c_mktsegment)", "'1:'")}
+_PIECE = "coalesce(octet_length(encode({0})) || ':' || {0}, '-')"
+
+
+@query("WITH v AS (" + " UNION ALL ".join(f"SELECT c_custkey, '{n}' AS variant, {a} AS a, {b} AS b FROM customer" for n, (a, b) in _LIKE.items()) + f""") SELECT *, sha256({_PIECE.format('a')} || {_PIECE.format('b')}) AS fingerprint,
+  count(*) OVER (PARTITION BY c_custkey, sha256({_PIECE.format('a')} || {_PIECE.format('b')})) AS exact, count(*) OVER (PARTITION BY c_custkey, sha256(coalesce(a, '') || '|' || coalesce(b, ''))) AS plain FROM v""")
+def fingerprints_told_apart(r: Roles) -> DataFrame:
+    """Rows that differ by a null against an empty value, or by where a separator stands: how many share a fingerprint of either form."""
+    rows = rel.union_all([r.customer.selectExpr("c_custkey", f"'{n}' AS variant", f"CAST({a} AS STRING) AS a", f"CAST({b} AS STRING) AS b") for n, (a, b) in _LIKE.items()])
+    rows = rows.withColumns({"fingerprint": row_fingerprint(["a", "b"]), "_plain": row_hash(["a", "b"])})
+    alike = lambda c: F.count("*").over(Window.partitionBy("c_custkey", c))
+    return rows.withColumns({"exact": alike("fingerprint"), "plain": alike("_plain")}).drop("_plain")
+
+
+@query("""WITH p AS (SELECT unnest([0.1, 0.5, 0.9, 0.99])::DOUBLE AS p), g AS (SELECT DISTINCT l_returnflag FROM lineitem UNION ALL SELECT 'all') SELECT l_returnflag, p, true AS within FROM g, p""")
+def quantiles_by_sketch(r: Roles) -> DataFrame:
+    """Sketches by flag and supplier's part of the rows are stored, merged by flag and over all, and asked; the true ranks of the answers lie within 1 %."""
+    ranks, k = [0.1, 0.5, 0.9, 0.99], 400
+    items = r.lineitem.select("l_returnflag", "l_suppkey", F.col("l_extendedprice").cast("double").alias("price"))
+    stored = scratch.cut(rel.quantile_sketches(items.withColumn("part", F.col("l_suppkey") % 7), ["l_returnflag", "part"], "price", k))
+    merged = rel.merge_sketches(stored, ["l_returnflag"], k).unionByName(rel.merge_sketches(stored, [], k).withColumn("l_returnflag", F.lit("all")))
+    asked = rel.sketch_quantiles(merged, ranks).select("l_returnflag", F.posexplode("quantiles").alias("at", "value"))
+    both = items.unionByName(items.withColumn("l_returnflag", F.lit("all"))).join(F.broadcast(asked), "l_returnflag")  # four rows for each flag
+    true = both.groupBy("l_returnflag", "at").agg(F.count("*").alias("n"), F.count_if(F.col("price") < F.col("value")).alias("below"), F.count_if(F.col("price") <= F.col("value")).alias("upto"))
+    p = F.get(F.array(*map(F.lit, ranks)), F.col("at"))
+    within = (F.col("below") / F.col("n") <= p + 0.01) & (F.col("upto") / F.col("n") >= p - 0.01)
+    return true.select("l_returnflag", p.alias("p"), within.alias("within"))

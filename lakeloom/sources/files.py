@@ -119,6 +119,20 @@ def create_as(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.table(name)
 
 
+def move(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a file or folder over what stands there."""
+    fs, P = _filesystem(spark, new)
+    fs.delete(P(new), True)
+    fs.mkdirs(P(new).getParent())
+    if not fs.rename(P(old), P(new)):
+        raise OSError(f"can't move {old}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, P = _filesystem(spark, path)
+    fs.delete(P(path), True)
+
+
 def append_once(df: DataFrame, path: str, batch_cols: list[str], by: list[str] | None = None) -> DataFrame:
     """Appends only the batches that the table doesn't have yet, and returns the rows appended."""
     spark = df.sparkSession
@@ -129,11 +143,12 @@ def append_once(df: DataFrame, path: str, batch_cols: list[str], by: list[str] |
 
 
 def ingest_all(spark: SparkSession, files: dict[str, str], root: str, schemas: dict[str, StructType] | None = None, once: bool = True) -> None:
-    """Reads every named CSV file and appends it, with lineage, to root/name by ingestion date."""
+    """Reads every named CSV file and appends it, with lineage, to root/name by ingestion date; `once`: unless a file of
+    that name is there from any day. Where files change under their names, `ledger.ingest_each` tells."""
     for name, path in files.items():
         rows = with_lineage(read_csv(spark, path, (schemas or {}).get(name)), path.rsplit("/", 1)[-1])
         target = f"{root.rstrip('/')}/{name}"
         if once:
-            append_once(rows, target, ["_source_file", "_ingestion_date"], ["_ingestion_date"])
+            append_once(rows, target, ["_source_file"], ["_ingestion_date"])
         else:
             append(rows, target, ["_ingestion_date"])
