@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import row_fingerprint, row_hash
-from ..operators import cleaning, data_quality, facts, incremental, keys, layout, scd2
+from ..operators import cleaning, data_quality, facts, incremental, keys, layout, scd2, suite
 from ..operators import relational as rel
 from ..operators.feed import Feed
 from ..sources import files, ledger, partitions, scratch
@@ -428,6 +428,72 @@ def lookup_by_expression(r: Roles) -> DataFrame:
     return rel.lookup(r.orders, days, F.to_date("o_orderdate") == F.col("full_date")).select("o_orderkey", "date_key")
 
 
+# ---- the declared suite ----------------------------------------------------------------------
+
+_TABLES = {"customers": CUSTOMERS, "orders": ORDERS, "order_items": ITEMS, "order_payments": PAYMENTS, "order_reviews": REVIEWS, "products": PRODUCTS, "sellers": SELLERS, "category_translation": TRANSLATION, "geolocation": GEOLOCATION}
+#: Types that the suite is run on, as the cleaned tables have them: SQL's name of each cast column's type.
+_SUITE_TYPES = {
+    "orders": dict.fromkeys(_TIMES, "TIMESTAMP"), "order_items": {"order_item_id": "INTEGER", "shipping_limit_date": "TIMESTAMP", "price": "DOUBLE", "freight_value": "DOUBLE"},
+    "order_payments": {"payment_sequential": "INTEGER", "payment_installments": "INTEGER", "payment_value": "DOUBLE"}, "order_reviews": {"review_score": "INTEGER"},
+    "products": {"product_weight_g": "DOUBLE"}, "geolocation": {"geolocation_lat": "DOUBLE", "geolocation_lng": "DOUBLE"},
+}
+#: Declared checks that must fail whatever the rows are: a column that the tables don't have, and one that is text.
+_LACKS = {("customers", "customer_zip_code_prefix exists"), ("customers", "customer_zip_code_prefix is int"), ("geolocation", "geolocation_zip_code_prefix is int")}
+
+
+def _suite_frames(r: Roles) -> dict[str, DataFrame]:
+    """The source tables as they come, faults and repeated rows included, with the cleaned tables' types."""
+    return {name: raw.rows(r).withColumns({c: F.col(c).try_cast(t.lower().replace("integer", "int")) for c, t in _SUITE_TYPES.get(name, {}).items()}) for name, raw in _TABLES.items()}
+
+
+def _suite_sql(only: str | None = None) -> str:
+    """The suite by a statement for each check, told from the declared rules."""
+    typed, out = {}, []
+    for name, raw in _TABLES.items():
+        casts = ", ".join(f"TRY_CAST({c} AS {t}) AS {c}" for c, t in _SUITE_TYPES.get(name, {}).items())
+        typed[name] = f"SELECT * REPLACE ({casts}) FROM ({raw.sql()})" if casts else raw.sql()
+
+    def add(name: str, dimension: str, check: str, failing: str) -> None:
+        out.append(f"""SELECT '{name}' AS "table", '{dimension}' AS dimension, '{check}' AS "check", n = 0 AS passed, n || ' failing' AS detail FROM ({failing}) x(n)""")
+
+    for name, raw in _TABLES.items():
+        if only and name != only:
+            continue
+        rules = suite.rules(name)
+        for c, t in rules["types"].items():
+            for check in (f"{c} exists", f"{c} is {t}"):
+                add(name, "schema", check, f"SELECT {int((name, check) in _LACKS)}")
+        bad = [("completeness", f"{c} not null", f"{c} IS NULL") for c in rules["not_null"]]
+        bad += [("validity", f"{c} > 0", f"{c} <= 0") for c in rules.get("positive", [])] + [("validity", f"{c} >= 0", f"{c} < 0") for c in rules.get("non_negative", [])]
+        bad += [("validity", f"{c} between {lo} and {hi}", f"{c} NOT BETWEEN {lo} AND {hi}") for c, (lo, hi) in rules.get("between", {}).items()]
+        bad += [("validity", f"{c} in set", f"{c} NOT IN ({', '.join(repr(v) for v in vs)})") for c, vs in rules.get("in_set", {}).items()]
+        bad += [("consistency", f"{a} >= {b}", f"{a} < {b}") for a, b in rules.get("a_ge_b", [])]
+        for dimension, check, cond in bad:
+            add(name, dimension, check, f"SELECT count(*) FROM t_{name} WHERE {cond}")
+        for key in [rules[k] if k == "unique" else rules[k][0] for k in ("unique", "unique_together") if k in rules]:
+            add(name, "uniqueness", f"{', '.join(key)} unique", f"SELECT count(*) FROM (SELECT 1 FROM t_{name} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY {', '.join(key)} HAVING count(*) > 1)")
+        low, high = f"(SELECT floor(count(*) * (1 - 0.2))::BIGINT FROM {raw.table})", f"(SELECT floor(count(*) * (1 + 0.2))::BIGINT FROM {raw.table})"
+        out.append(f"""SELECT '{name}', 'volume', 'rows between ' || {low} || ' and ' || {high}, count(*) BETWEEN {low} AND {high}, count(*) || ' rows' FROM t_{name}""")
+    for child, c, parent, p in suite.REFERENCES if not only else []:
+        add(child, "consistency", f"{c} in {parent}.{p}", f"SELECT count(DISTINCT {c}) FROM t_{child} WHERE {c} NOT IN (SELECT {p} FROM t_{parent} WHERE {p} IS NOT NULL)")
+    named = ", ".join(f"t_{n} AS ({sql})" for n, sql in typed.items() if not only or n == only)
+    return f"WITH {named} " + " UNION ALL ".join(out)
+
+
+@query(_suite_sql())
+def dq_suite(r: Roles) -> DataFrame:
+    """All declared checks of the nine tables over rows with faults: schema, nulls, keys, bounds, volume against the driver's tables, references."""
+    baselines = {name: r.table(raw.table).count() for name, raw in _TABLES.items()}
+    return suite.run_suite(_suite_frames(r), baselines)
+
+
+@query(_suite_sql("order_items"))
+def dq_while_writing(r: Roles) -> DataFrame:
+    """The items' checks, taken while the table is written."""
+    rules = suite.rules("order_items", r.lineitem.count())
+    return data_quality.write_checked(_suite_frames(r)["order_items"], scratch.new_path(r.spark), "order_items", rules)
+
+
 # ---- tables that are changed in part ---------------------------------------------------------
 
 
