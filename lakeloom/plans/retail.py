@@ -10,7 +10,7 @@ from ..functions import row_fingerprint, row_hash
 from ..operators import cleaning, data_quality, facts, incremental, keys, layout, scd2, suite
 from ..operators import relational as rel
 from ..operators.feed import Feed
-from ..sources import files, ledger, partitions, scratch
+from ..sources import csv_blocks, files, ledger, partitions, scratch
 from .queries import _ACT, _batch, _history, query
 from .roles import Roles
 
@@ -251,10 +251,20 @@ _QUOTED = """concat('say "', c_mktsegment, '",', chr(10), c_name)"""
 
 
 def _csv(df: DataFrame, path: str) -> str:
-    df.write.options(header=True, escape='"', quoteAll=True).csv(path)
+    df.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
+_NOTED = """concat('line ', l_linenumber, chr(10), 'said "', l_returnflag, '", ', repeat('x', CAST(l_orderkey % 90 AS INTEGER)), CASE WHEN l_partkey % 3 = 0 THEN chr(10) ELSE '' END)"""
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_NOTED} AS note, CASE WHEN l_suppkey % 5 <> 0 THEN l_extendedprice END AS price FROM lineitem")
+def csv_by_blocks(r: Roles) -> DataFrame:
+    """One file of records with quotes and line ends inside fields, read by a task for each block of it."""
+    rows = r.lineitem.selectExpr("l_orderkey", "l_linenumber", f"{_NOTED} AS note", "CASE WHEN l_suppkey % 5 <> 0 THEN l_extendedprice END AS price")
+    return csv_blocks.read_csv_blocks(r.spark, _one_csv(rows, f"{scratch.new_path(r.spark)}/items.csv"), rows.schema)
+
+
 @query(f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {_QUOTED} AS note, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def csv_as_text(r: Roles) -> DataFrame:
     """Every column as text, with quotes, commas and line ends in the fields."""

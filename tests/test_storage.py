@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions import row_fingerprint, row_hash
-from lakeloom.operators import incremental, keys, layout, scd2
+from lakeloom.operators import data_quality, incremental, keys, layout, scd2, suite
 from lakeloom.operators import relational as rel
 from lakeloom.operators.feed import Feed
-from lakeloom.sources import files, ledger, partitions
+from lakeloom.sources import csv_blocks, files, ledger, partitions
 
 
 def put(path, text):
@@ -227,3 +227,78 @@ def test_update_from_refuses_repeated_keys(spark):
     target = spark.createDataFrame([(1, "a")], "id long, v string")
     with pytest.raises(ValueError):
         rel.update_from(target, spark.createDataFrame([(1, "b"), (1, "c")], "id long, w string"), ["id"], {"v": "w"})
+
+
+# ---- CSV by blocks
+
+
+def csv_field(rng):
+    text = "".join(rng.choice(["a", "b", " ", '"', '""', ",", "\n", "\n\n", "é", "\r\n", "x" * 30]) for _ in range(rng.randint(0, 6)))
+    return rng.choice([text, "plain", "", "long " * rng.randint(0, 30)])
+
+
+def csv_text(rows, end):
+    quoted = lambda x: '"' + x.replace('"', '""') + '"' if any(c in x for c in '",\n\r') else x
+    return end.join(",".join(map(quoted, r)) for r in [("id", "a", "b"), *rows]) + end
+
+
+@pytest.fixture
+def small_blocks(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "70")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("seed, end", [(1, "\n"), (2, "\r\n"), (3, "\n")])
+def test_csv_by_blocks_equals_the_plain_reader(spark, tmp_path, small_blocks, seed, end):
+    rng = random.Random(seed)
+    for k in range(3):
+        rows = [(str(i), csv_field(rng), csv_field(rng)) for i in range(60)]
+        if k == 2:
+            rows[20] = ("20", "over\nmany\nblocks\n" * 40, '"')
+        with open(tmp_path / f"{k}.csv", "w", newline="") as f:
+            f.write(csv_text(rows, end) + ("\n\n" if k == 1 else ""))
+    schema = "id int, a string, b string"
+    got = csv_blocks.read_csv_blocks(spark, str(tmp_path), schema)
+    assert csv_blocks._lines(spark, str(tmp_path)).select("file", "block").distinct().count() > 60
+    if end == "\r\n":
+        got = got.withColumns({c: F.regexp_replace(c, "\r\n", "\n") for c in "ab"})
+    assert rows_of(got, "id", "a", "b") == rows_of(files.read_csv(spark, str(tmp_path), schema), "id", "a", "b")
+
+
+def test_csv_by_blocks_without_rows_or_header(spark, tmp_path, small_blocks):
+    put(tmp_path / "a/none.csv", "id,a\n")
+    put(tmp_path / "b/some.csv", '1,x\n"2","y\nz"\n')
+    put(tmp_path / "c/quoted.csv", '"id","name\nof"\n7,q\n')
+    read = lambda p, **k: rows_of(csv_blocks.read_csv_blocks(spark, f"{tmp_path}/{p}", "id int, a string", **k), "id", "a")
+    assert read("a") == [] and read("b", header=False) == [(1, "x"), (2, "y\nz")] and read("c") == [(7, "q")]
+
+
+# ---- the declared suite
+
+
+def test_the_suite_has_its_checks_and_reads_each_table_once(spark):
+    assert sum(len(r.get(k, [])) for t in suite.COLUMNS for r in [suite.rules(t, 1)] for k in ("columns", "types", "not_null", "unique", "unique_together", "positive", "non_negative", "between", "in_set", "a_ge_b")) + len(suite.COLUMNS) + len(suite.REFERENCES) == 111
+    rows = spark.createDataFrame([("o1", 1, "p", "s", 1.0, 0.0), ("o1", 1, "p", "s", 0.0, -1.0), (None, 1, None, "s", None, None), (None, 1, "p", "s", 2.0, 3.0)], suite.COLUMNS["order_items"])
+    out = data_quality.check_table(rows, "order_items", suite.rules("order_items", 4))
+    failed = {r["check"]: r["detail"] for r in out.filter("NOT passed").collect()}
+    assert failed == {"order_id not null": "2 failing", "product_id not null": "1 failing", "price not null": "1 failing", "price > 0": "1 failing", "freight_value >= 0": "1 failing", "order_id, order_item_id unique": "1 failing"}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+
+
+def test_checks_while_writing_equal_those_of_a_scan(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 5), (1, None, -1), (2, "z", 7)], "id int, v string, n int")
+    rules = {"columns": ["id", "gone"], "types": {"id": "int", "v": "int"}, "not_null": ["v", "gone"], "unique": ["id"], "unique_together": [["id", "v"]], "between": {"n": (0, 6)}, "in_set": {"v": ["a"]}, "a_ge_b": [("n", "id")], "volume": (10, 0.2)}
+    for df in (rows, rows.limit(0)):
+        scanned = data_quality.check_table(df, "t", rules)
+        assert rows_of(data_quality.write_checked(df, f"{tmp_path}/t", "t", rules), *data_quality.COLUMNS) == rows_of(scanned, *data_quality.COLUMNS)
+        assert spark.read.parquet(f"{tmp_path}/t").count() == df.count()
+    assert {r["check"]: r["passed"] for r in data_quality.check_table(rows, "t", rules).collect()}["gone not null"] is False
+
+
+def test_a_suite_over_some_tables_checks_what_is_there(spark):
+    sellers = spark.createDataFrame([("s", "SP")], "seller_id string, seller_state string")
+    assert suite.run_suite({"sellers": sellers}).filter("NOT passed").isEmpty()
