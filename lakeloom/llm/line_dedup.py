@@ -15,6 +15,8 @@ on what is broadcast. Equal sets are joined first and count as their earliest li
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import store, textkit
 from .language_model import _spread, _squeeze
-from .minhash import overlap
+from .minhash import hot_pivots, overlap
 
 PERCENT = 80
 #: By default, lines with fewer distinct words always stay. The registered query and the pipeline ask for EVERY: each line with a word.
@@ -135,12 +137,12 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
                 who, pos, word = who[asked], pos[asked], word[asked]
             where = (word % np.uint64(buckets)).astype(small)
             order = np.argsort(where, kind="stable")
-            edge = np.searchsorted(where[order], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edge)):
-                i = order[edge[b] : edge[b + 1]]
+            own, edge = np.unique(where[order], return_index=True)
+            for b, lo, hi in zip(own.tolist(), edge, np.append(edge[1:], len(order))):
+                i = order[lo:hi]
                 w = who[i]
-                own, doc = textkit.own_ids(ids, x["doc"][w])
-                rows.append((int(b), own, _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
+                names, doc = textkit.own_ids(ids, x["doc"][w])
+                rows.append((b, names, _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, big binary")
@@ -180,6 +182,52 @@ PAIR = ["a", "b", "na", "nb", "a_doc", "a_pos", "b_doc", "b_pos", "turn", "more"
 ARROW = pa.schema([(c, pa.bool_() if c == "more" else pa.int64()) for c in PAIR])
 
 
+#: Pairs of classes, and lines with a class, that are looked at together.
+CLASS_PAIRS = 1 << 20
+
+
+def partners(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, lo, hi): places a whose partners are at lo .. hi; of its word's lines the earlier ones that pass the length and the positional filter.
+
+    Entries are sorted by word, set size n, place pos of the word in the set, and rank, which rises with lateness. Lines of
+    one word, size and place form a class, and both filters depend on the classes alone, so they cost nothing for
+    each pair of lines: a template that puts its words too far behind its lines' own ones is left out as a whole.
+    """
+    if not len(word):
+        return
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])
+    start = np.flatnonzero(new)
+    count = np.diff(np.append(start, len(word)))
+    of, cn, cp = np.cumsum(np.diff(word[start], prepend=word[:1]) != 0), n[start], pos[start]
+    wide = int(cn.max()) + 2
+    key = of * wide + cn
+    first = np.searchsorted(key, of * wide + -(-percent * cn // 100), "left")
+    last = np.searchsorted(key, of * wide + np.minimum(100 * cn // percent, wide - 1), "right")
+    place = (np.cumsum(new) - 1) * (len(word) + 1) + rank  # rises over all entries
+    for chosen in _chunks(last - first):
+        x = chosen[0] + np.repeat(np.arange(chosen[1] - chosen[0]), (last - first)[slice(*chosen)])
+        y = np.arange(len(x)) - np.searchsorted(x, x, "left") + first[x]
+        need = -(-percent * (cn[x] + cn[y]) // (100 + percent))
+        ok = np.minimum(cn[x] - cp[x], cn[y] - cp[y]) >= need
+        x, y = x[ok], y[ok]
+        for lo, hi in _chunks(count[x]):
+            each = count[x[lo:hi]]
+            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            a, b = np.repeat(start[x[lo:hi]], each) + inside, np.repeat(y[lo:hi], each)
+            at, end = start[b], np.searchsorted(place, b * (len(word) + 1) + rank[a], "left")
+            some = end > at
+            if some.any():
+                yield a[some], at[some], end[some]
+
+
+def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of items whose sizes add up to CLASS_PAIRS, about."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // CLASS_PAIRS, prepend=0)).tolist()
+    edges = sorted({0, *edges, len(sizes)})
+    return zip(edges, edges[1:])
+
+
 def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | None) -> DataFrame:
     """(a, b, na, nb, a_doc, a_pos, b_doc, b_pos, turn, more): pairs of sets, b the earlier, that pass the filters; and, with
     b null, every line (a_doc, a_pos) with its set a.
@@ -231,32 +279,31 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         w = word[order]
         start = np.flatnonzero(np.diff(w, prepend=-1))
         size = np.diff(np.append(start, len(w)))
-        keep = np.repeat(size > 1, size)
-        order, w = order[keep], w[keep]
-        start = np.flatnonzero(np.diff(w, prepend=-1))
-        size = np.diff(np.append(start, len(w)))
-        n, pos, marks, wide, sets, owner, number = (x[order] for x in (n, pos, marks, wide, sets, owner, number))
-        base = np.repeat(start, size)
-        active = np.arange(len(w))
-        if only is not None:
-            active = active[np.isin(sets, only)]
+        order = order[np.repeat(size > 1, size)]
+        rank = np.arange(len(order))  # by word, and there from the earliest line
+        by = np.lexsort((rank, pos[order], n[order], word[order]))
+        order, rank = order[by], rank[by]
+        w, n, pos, marks, wide, sets, owner, number = (x[order] for x in (word, n, pos, marks, wide, sets, owner, number))
         hits, got = np.zeros(len(w), np.int64), []
-        j = 0
-        while len(active := active[(active > base[active] + j) & (hits[active] <= most)]):
-            x = base[active] + j
-            na, nb = n[active], n[x]
-            total = na + nb
-            need = -(-percent * total // (100 + percent))
-            ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(na - pos[active], nb - pos[x]) >= need)
-            room = total - 2 * need  # what is in one set alone
-            ok[ok] = np.bitwise_count(marks[active[ok]] ^ marks[x[ok]]) <= room[ok]
-            far = np.flatnonzero(ok)[(na[ok] > FEW) & (nb[ok] > FEW)]
-            ok[far] = np.bitwise_count(wide[active[far]] ^ wide[x[far]]).sum(1, dtype=np.int64) <= room[far]
-            a, b = active[ok], x[ok]
-            hits[a] += 1
-            full = hits[a] <= most
-            got.append((a[full], b[full], hits[a[full]]))
-            j += 1
+        for a, at, end in partners(w, n, pos, rank, percent):
+            if only is not None:
+                asked = np.isin(sets[a], only)
+                a, at, end = a[asked], at[asked], end[asked]
+            while len(a):
+                go = (at < end) & (hits[a] <= most)
+                if not go.all():
+                    a, at, end = a[go], at[go], end[go]
+                    continue
+                total = n[a] + n[at]
+                room = total - 2 * -(-percent * total // (100 + percent))  # what is in one set alone
+                ok = np.bitwise_count(marks[a] ^ marks[at]) <= room
+                far = np.flatnonzero(ok & (n[a] > FEW) & (n[at] > FEW))
+                ok[far] = np.bitwise_count(wide[a[far]] ^ wide[at[far]]).sum(1, dtype=np.int64) <= room[far]
+                who, found = a[ok], at[ok]
+                np.add.at(hits, who, 1)
+                full = hits[who] <= most
+                got.append((who[full], found[full], hits[who[full]]))
+                at = at + 1
         a, b, turn = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
         more = hits[a] > most
         order = np.lexsort((turn, ~more, sets[b], sets[a]))  # a pair that several words show counts once
@@ -290,7 +337,9 @@ def verify(docs: DataFrame, asking: DataFrame, percent: int, least: int) -> tupl
     """(a, lines): the sets that are similar to an earlier one they are paired with, and their lines (doc_id, pos)."""
     wanted = asking.select(F.col("a_doc").alias("doc_id"), F.col("a_pos").alias("pos")).union(asking.select("b_doc", "b_pos")).distinct()
     items = store.cut(full_sets(docs, wanted, least))
-    near = overlap(asking.select("a", "b", "na", "nb").distinct(), items).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
+    pairs = store.cut(asking.select("a", "b", "na", "nb").distinct())
+    hot = store.cut(hot_pivots(pairs))  # the earliest line of a family stands in very many pairs
+    near = overlap(pairs, items, None if hot.isEmpty() else store.side(hot)).filter(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common")))
     hit = store.cut(near.select("a").distinct())
     where = asking.groupBy("a").agg(F.min(F.struct("a_doc", "a_pos")).alias("at"))
     return hit, where.join(hit, "a").select(F.col("at.a_doc").alias("doc_id"), F.col("at.a_pos").alias("pos"))
