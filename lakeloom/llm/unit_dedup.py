@@ -22,7 +22,7 @@ def normalise(unit: Column) -> Column:
 
 
 def later_units(rows: DataFrame, unit: str, run_words: int) -> DataFrame:
-    """(doc_id, body, pos): places of the units to remove from rows (doc_id, body, text).
+    """(doc_id, body, pos, gone): places of all later units in rows (doc_id, body, text), and whether they are to be removed.
 
     A unit is later if its normal form stands earlier, by (doc_id, body, pos). Units without a word
     are passed over. Later units in a row are a run, which goes if it has `run_words` words.
@@ -36,16 +36,16 @@ def later_units(rows: DataFrame, unit: str, run_words: int) -> DataFrame:
     later = units.join(store.cut(again), "digest").filter(place > F.col("first")).select("doc_id", "body", "k", "pos", "words").distinct()
     own = Window.partitionBy("doc_id", "body")
     later = later.withColumn("run", F.col("k") - F.row_number().over(own.orderBy("k")))
-    return later.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "body", "run"))).filter(F.col("total") >= run_words).select("doc_id", "body", "pos")
+    return later.withColumn("total", F.sum("words").over(Window.partitionBy("doc_id", "body", "run"))).select("doc_id", "body", "pos", (F.col("total") >= run_words).alias("gone"))
 
 
 def deduplicate(docs: DataFrame, unit: str = "line", run_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_units, n_removed, removed_spans, kept_text), one row per row of docs with an id.
+    """(doc_id, n_units, n_later, n_removed, removed_spans, kept_text), one row per row of docs with an id.
 
     Units are lines, paragraphs (ended by an empty line) or sentences of lines (ended by one of . ! ?
     and a space or tab, or by the line's end); unit names the kind. Of units with the same normal form all
     but the earliest are later ones. Runs of later units go if they have `run_words` words: 1
-    removes every later unit. n_units counts the units with a word. removed_spans are the removed
+    removes every later unit. n_units counts the units with a word, n_later the later ones, removed or not. removed_spans are the removed
     units' places in the original text, "start-end" in characters, each with the separator that ends it,
     joined by commas; kept_text is what is left, in place.
     Null and empty texts have no units. Rows that repeat an id and text are the same document and get the
@@ -56,8 +56,10 @@ def deduplicate(docs: DataFrame, unit: str = "line", run_words: int = 1, id_col:
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     repeats = not rows.groupBy("doc_id").count().filter("count > 1").isEmpty()
     rows = rows.select("doc_id", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("body"), "text")
-    gone = store.cut(later_units(rows, unit, run_words))
     key = ["doc_id", "body"]
+    later = store.cut(later_units(rows, unit, run_words))
+    n_later = store.side(store.cut(later.groupBy(*key).agg(F.count("*").alias("n_later"))))
+    gone = later.filter("gone").select(*key, "pos")
     parted = F.split("text", PARTED[unit])
     names = store.side(store.cut(gone.select(*key).distinct()))
     pieces = rows.join(names, key).groupBy(*key).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
@@ -68,14 +70,15 @@ def deduplicate(docs: DataFrame, unit: str = "line", run_words: int = 1, id_col:
     out, left = F.filter("ps", lambda p: p["gone"]), F.filter("ps", lambda p: ~p["gone"])
     spans = F.transform(out, lambda p: F.concat((p["end"] - F.length(p["piece"])).cast("string"), F.lit("-"), p["end"].cast("string")))
     n_units = lambda pieces, piece=lambda x: x: F.size(F.filter(pieces, lambda x: piece(x).rlike(r"[^\x20\x09-\x0D]"))).cast("long")
-    touched = whole.select("doc_id", n_units("ps", lambda p: p["piece"]).alias("n_units"), F.size(out).cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"), F.array_join(left["piece"], "").alias("kept_text"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
+    touched = whole.select(*key, n_units("ps", lambda p: p["piece"]).alias("n_units"), F.size(out).cast("long").alias("n_removed"), F.array_join(spans, ",").alias("removed_spans"), F.array_join(left["piece"], "").alias("kept_text"), F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
     rest = rows.join(names, key, "left_anti")
-    return touched.union(rest.select("doc_id", n_units(parted), F.lit(0).cast("long"), F.lit(""), "text"))
+    out = touched.union(rest.select(*key, n_units(parted), F.lit(0).cast("long"), F.lit(""), "text")).join(n_later, key, "left")
+    return out.select("doc_id", "n_units", F.coalesce("n_later", F.lit(0).cast("long")).alias("n_later"), "n_removed", "removed_spans", "kept_text")
 
 
 def digest(result: DataFrame) -> DataFrame:
     """The registered query's columns: the kept text as its MD5."""
-    return result.select("doc_id", "n_units", "n_removed", "removed_spans", F.md5("kept_text").alias("kept_md5"))
+    return result.select("doc_id", "n_units", "n_later", "n_removed", "removed_spans", F.md5("kept_text").alias("kept_md5"))
 
 
 #: DuckDB SQL for the registered query.
@@ -97,7 +100,7 @@ WITH s AS (
 ), g AS (
   SELECT doc_id, pos, sum(length(norm) - length(replace(norm, ' ', '')) + 1) OVER (PARTITION BY doc_id, run) >= {RUN_WORDS} AS gone FROM r
 )
-SELECT o.doc_id, count(*) FILTER (WHERE norm <> '')::BIGINT AS n_units, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
+SELECT o.doc_id, count(*) FILTER (WHERE norm <> '')::BIGINT AS n_units, count(g.pos)::BIGINT AS n_later, count(*) FILTER (WHERE gone)::BIGINT AS n_removed,
   coalesce(string_agg((stop - length(unit)) || '-' || stop, ',' ORDER BY o.pos) FILTER (WHERE gone), '') AS removed_spans,
   md5(coalesce(string_agg(unit, '' ORDER BY o.pos) FILTER (WHERE NOT coalesce(gone, false)), '')) AS kept_md5
 FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.pos = g.pos GROUP BY o.doc_id

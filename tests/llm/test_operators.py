@@ -149,16 +149,18 @@ def test_units_keep_the_earliest_and_their_offsets(spark, frame):
 def test_units_of_every_kind_and_rows_that_repeat(frame):
     docs = [(1, "p q r\n\ns t\nu\n\nv"), (2, "new\n\nS t\nu\n\nv w"), (2, "new\n\nS t\nu\n\nv w"), (3, "new\n\nother")]
     got = [tuple(r) for r in unit_dedup.deduplicate(frame(docs), "paragraph").collect()]
-    twice = (2, 3, 1, "5-12", "new\n\nv w")
-    assert sorted(got) == [(1, 3, 0, "", docs[0][1]), twice, twice, (3, 2, 1, "0-5", "other")]
+    twice = (2, 3, 1, 1, "5-12", "new\n\nv w")
+    assert sorted(got) == [(1, 3, 0, 0, "", docs[0][1]), twice, twice, (3, 2, 1, 1, "0-5", "other")]
 
 
 @pytest.mark.parametrize("unit,run_words", [("line", 1), ("line", 8), ("sentence", 1), ("sentence", 25), ("paragraph", 3)])
 def test_units_equal_brute_force(frame, corpus, unit, run_words):
     long = "Word by word it goes. " * 4000
     docs = corpus + [(400, "one a. two b! three c? four.\n\n\nfive d"), (401, "zero. Two  b! three c? six\tfour.\nfive d"), (402, long), (403, "so. " + long)]
-    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in unit_dedup.deduplicate(frame(docs), unit, run_words).collect()}
+    rows = unit_dedup.deduplicate(frame(docs), unit, run_words).collect()
+    got = {r["doc_id"]: (r["n_units"], r["n_removed"], r["removed_spans"], r["kept_text"]) for r in rows}
     assert got == brute.later_units(docs, unit, run_words)
+    assert {r["doc_id"]: r["n_later"] for r in rows} == {i: x[1] for i, x in brute.later_units(docs, unit, 1).items()}
 
 
 def as_repeats(df):
