@@ -6,6 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.files import exists, file_of_row, move, path_of, remove
+from ..sources.scratch import cut, discard
 
 
 def rewrite(df: DataFrame, path: str, n: int) -> None:
@@ -27,6 +31,74 @@ def compact(spark: SparkSession, path: str, out: str, target_bytes: int = 128 <<
     return n
 
 
+#: Small files that one run of `compact_small` takes, at most: their paths go to the driver, as those of any scan do.
+MAX_FILES = 200_000
+
+
+def file_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, folder, bytes) of every data file below `path`, by listing alone; files are named as rows name them."""
+    listed = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(path)
+    return listed.select(file_of_row().alias("file"), F.regexp_replace(file_of_row(), "/[^/]*$", "").alias("folder"), F.col("length").alias("bytes"))
+
+
+def packing_plan(sizes: DataFrame, target_bytes: int) -> DataFrame:
+    """(file, folder, bytes, bin): which files are written together. Files of half the target and more stay; the others of a
+    folder, largest first, fill bins of about the target (less than one and a half). A bin of one file stays too."""
+    small = sizes.filter(F.col("bytes") * 2 < target_bytes)
+    own = Window.partitionBy("folder").orderBy(F.desc("bytes"), "file").rowsBetween(Window.unboundedPreceding, -1)
+    binned = small.withColumn("bin", F.floor(F.coalesce(F.sum("bytes").over(own), F.lit(0)) / target_bytes))
+    return binned.withColumn("_n", F.count("*").over(Window.partitionBy("folder", "bin"))).filter("_n > 1").drop("_n")
+
+
+def compact_small(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> int:
+    """Packs the small files of every partition of the table at `path` into files of about the target; the number of files made.
+
+    Large files aren't read. The new files are written aside, then the old ones are named in a list, and only then
+    are they swapped; `recover_compaction`, which runs first, ends a swap that was broken off. Nobody should read the
+    table while files are swapped.
+    """
+    recover_compaction(spark, path)
+    plan = packing_plan(file_sizes(spark, path), target_bytes).orderBy("folder", "bin", "file").limit(MAX_FILES)
+    bins = cut(plan.withColumn("slot", (F.dense_rank().over(Window.orderBy("folder", "bin")) - 1).cast("int")).select("file", "slot"))  # a row per small file
+    old = [path_of(r["file"]) for r in bins.select("file").collect()]
+    if not old:
+        return 0
+    n = bins.agg(F.max("slot")).first()[0] + 1
+    rows = spark.read.option("basePath", path).parquet(*old)
+    names = rows.columns
+    by = [c for c in names if c not in spark.read.parquet(old[0]).columns]  # what the folders tell
+    there = rows.select("*", file_of_row().alias("_file")).join(F.broadcast(bins.withColumnRenamed("file", "_file")), "_file")
+    writer = there.repartitionById(n, "slot").select(*names).write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{FRESH}")
+    if (made := spark.read.parquet(f"{path}/{FRESH}").count()) != (had := rows.count()):
+        raise OSError(f"{made} rows were written of {had}")
+    spark.createDataFrame([(f,) for f in old], "file string").coalesce(1).write.parquet(f"{path}/{FRESH}.list")
+    move(spark, f"{path}/{FRESH}.list", f"{path}/{OLD}")
+    recover_compaction(spark, path)
+    discard(bins)
+    return n
+
+
+#: Folders beside a table's partitions that readers pass over: files that are to be swapped in, and the list of those that go.
+FRESH, OLD = "_fresh", "_old"
+
+
+def recover_compaction(spark: SparkSession, path: str) -> None:
+    """Ends a compaction whose list of old files is there; what one without a list had written is removed."""
+    if exists(spark, f"{path}/{OLD}"):
+        for r in spark.read.parquet(f"{path}/{OLD}").collect():  # before what replaces them comes in, so that no row is seen twice
+            remove(spark, r["file"])
+        if exists(spark, f"{path}/{FRESH}"):
+            fresh = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter="*.parquet").load(f"{path}/{FRESH}")
+            for r in fresh.select("path").collect():
+                move(spark, r["path"], r["path"].replace(f"/{FRESH}/", "/"))
+        remove(spark, f"{path}/{FRESH}")
+        remove(spark, f"{path}/{OLD}")
+    else:
+        remove(spark, f"{path}/{FRESH}")
+        remove(spark, f"{path}/{FRESH}.list")
+
+
 def _bucket(c: str, edges: list) -> Column:
     """Number of the quantile bucket that a value lies in."""
     return reduce(lambda a, e: a + F.when(F.col(c) >= e, 1).otherwise(0), edges, F.lit(0))

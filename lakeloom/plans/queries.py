@@ -267,7 +267,7 @@ def _late(r: Roles) -> DataFrame:
     )
 
 
-_LATE_SQL = f"""WITH {_HIST.replace("GROUP BY 1", "GROUP BY 1")}, {_LATE.replace("FROM orders GROUP BY ALL", "FROM orders GROUP BY orders.o_custkey")},
+_LATE_SQL = f"""WITH {_HIST}, {_LATE.replace("FROM orders GROUP BY ALL", "FROM orders GROUP BY orders.o_custkey")},
  known AS (SELECT DISTINCT o_custkey FROM dim),
  act AS (SELECT b.*, sha256(b.o_orderpriority) AS h, k.o_custkey IS NOT NULL AS known, d.valid_from AS vf, d.valid_to AS vt, d.is_current AS cur, d.row_hash AS was
    FROM batch b LEFT JOIN known k ON b.o_custkey = k.o_custkey LEFT JOIN dim d ON b.o_custkey = d.o_custkey AND change_ts >= d.valid_from AND (d.valid_to IS NULL OR change_ts < d.valid_to)),

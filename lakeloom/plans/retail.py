@@ -418,16 +418,19 @@ def quality_gate(r: Roles) -> DataFrame:
     return r.spark.read.parquet(f"{path}/report").join(F.broadcast(held)).select(F.lit(passed).alias("passed"), "quarantined", "check", "detail")
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, (o_totalprice::DECIMAL(18,2)) AS total,
-   floor(o_totalprice::DECIMAL(18,2)::DOUBLE * (l_extendedprice::DECIMAL(18,2)::DOUBLE / nullif(sum(l_extendedprice::DECIMAL(18,2)) OVER (PARTITION BY l_orderkey)::DOUBLE, 0)) * 100 + 0.5) / 100 AS part
-   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT l_orderkey, sum(CASE WHEN rest THEN 1 ELSE 0 END)::BIGINT AS given, max(total)::DOUBLE AS allocated FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) = 1 AS rest FROM a) WHERE part IS NOT NULL GROUP BY 1""")
+_SHARE = "o_totalprice::DECIMAL(18,2)::DOUBLE * (l_extendedprice::DECIMAL(18,2)::DOUBLE / nullif(sum(l_extendedprice::DECIMAL(18,2)) OVER (PARTITION BY l_orderkey)::DOUBLE, 0))"
+
+
+@query(f"""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, o_totalprice::DECIMAL(18,2) AS total, floor({_SHARE} * 100 + 0.5) / 100 AS part FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice::DECIMAL(18,2) DESC, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) = 1 AS first, total - sum(part::DECIMAL(18,2)) OVER (PARTITION BY l_orderkey) AS rest FROM a WHERE part IS NOT NULL)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN first THEN floor((part + rest::DOUBLE) * 100 + 0.5) / 100 ELSE part END AS allocated, first AND rest <> 0 AS given FROM b""")
 def allocate_to_the_cent(r: Roles) -> DataFrame:
-    """With the residue given to one item, an order's items add up to its amount."""
+    """What rounding leaves over goes to an order's most expensive item, and every item says what it got."""
     items = r.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-    out = facts.allocate(items, r.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), "l_orderkey", "l_extendedprice", "o_totalprice", residue_order=["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"])
-    out = out.join(r.orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey").filter("allocated IS NOT NULL")
-    return out.groupBy("l_orderkey").agg(F.lit(1).cast("long").alias("given"), F.sum(F.col("allocated").cast("decimal(18,2)")).cast("double").alias("allocated"))
+    totals, by = r.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice"), ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
+    plain = facts.allocate(items, totals, "l_orderkey", "l_extendedprice", "o_totalprice", name="plain")
+    out = facts.allocate(plain, totals, "l_orderkey", "l_extendedprice", "o_totalprice", residue_order=by).join(totals.select("l_orderkey"), "l_orderkey")
+    return out.filter("allocated IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "allocated", (F.col("allocated") != F.col("plain")).alias("given"))
 
 
 @query("SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS BIGINT) AS date_key FROM orders")
@@ -550,6 +553,23 @@ def scd2_merge_touched_partitions(r: Roles) -> DataFrame:
     return _rewritten(r, path, "part", before)
 
 
+@query("SELECT l_returnflag, 6::BIGINT AS files_before, 2::BIGINT AS files, true AS big_stays, count(*) AS n, sum(l_orderkey)::BIGINT AS keys FROM lineitem GROUP BY 1")
+def compact_small_files(r: Roles) -> DataFrame:
+    """A large file and five small ones in each partition: the small ones become one, the large one isn't touched."""
+    path = scratch.new_path(r.spark)
+    items = r.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_returnflag")
+    files.append(items.filter("l_linenumber <= 4").repartition(1), path, ["l_returnflag"])
+    big = scratch.cut(layout.file_sizes(r.spark, path))
+    for k in range(5):
+        files.append(items.filter(f"l_linenumber > 4 AND l_suppkey % 5 = {k}").repartition(1), path, ["l_returnflag"])
+    before = scratch.cut(layout.file_sizes(r.spark, path).groupBy("folder").agg(F.count("*").alias("files_before")))
+    layout.compact_small(r.spark, path, 2 * big.agg(F.min("bytes")).first()[0])
+    after = layout.file_sizes(r.spark, path).join(big.select("file", F.lit(True).alias("was")), "file", "left").groupBy("folder").agg(F.count("*").alias("files"), F.coalesce(F.bool_or("was"), F.lit(False)).alias("big_stays"))
+    folder = F.regexp_extract("folder", "l_returnflag=([^/]*)$", 1).alias("l_returnflag")
+    told = before.join(after, "folder").select(folder, "files_before", "files", "big_stays")
+    return told.join(r.spark.read.parquet(path).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys")), "l_returnflag")
+
+
 # ---- a stored change feed --------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,10 +48,14 @@ def date_spine(spark: SparkSession, start: date | str, end: date | str) -> DataF
 
 
 def file_of_row() -> Column:
-    """Path of the file that a scanned row came from."""
+    """Path of the file that a scanned row came from, as a URI: `path_of` gives the name that readers and folders know."""
     return F.col("_metadata.file_path")
 
 
+def path_of(uri: str) -> str:
+    return unquote(uri)
+
+
 def with_lineage(df: DataFrame, source: str | Column, at: Column | None = None) -> DataFrame:
     """Adds _ingested_at, _source_file and _ingestion_date."""
     at = F.current_timestamp() if at is None else at

@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import row_bytes
-from .files import append, exists, read_csv
+from .files import append, exists, file_of_row, path_of, read_csv
 
 #: What a file is known by.
 FILE = ["_source_file", "_size", "_modified"]
@@ -38,7 +38,7 @@ def _ledger(spark: SparkSession, root: str, name: str) -> tuple[str, DataFrame]:
 def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(_source_file, _size, _modified) of all files there; their content isn't read."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("_source_file"), F.col("length").alias("_size"), F.col("modificationTime").alias("_modified"))
+    return files.select(file_of_row().alias("_source_file"), F.col("length").alias("_size"), F.col("modificationTime").alias("_modified"))
 
 
 def live(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -64,7 +64,7 @@ def ingest(spark: SparkSession, name: str, path: str | list[str], root: str, sch
     at = F.current_timestamp() if at is None else at
     now = spark.range(1).select(at.cast("timestamp")).first()[0]
     stamp, batch = F.lit(now).cast("timestamp"), uuid.uuid4().hex
-    rows = read(spark, [r["_source_file"] for r in found], schema).withColumn("_source_file", F.col("_metadata.file_path"))
+    rows = read(spark, [path_of(r["_source_file"]) for r in found], schema).withColumn("_source_file", file_of_row())
     rows = rows.withColumns({"_ingested_at": stamp, "_ingestion_date": F.to_date(stamp), "_batch": F.lit(batch)})
     append(rows, f"{root.rstrip('/')}/{name}", ["_batch"])
     entries = spark.createDataFrame(found, "_source_file string, _size long, _modified timestamp")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .files import remove
+from .files import file_of_row, path_of, remove
 from .scratch import cut, discard
 
 #: Partitions that one merge may touch: their values go to the driver, to be named in the scan's filter.
@@ -63,7 +63,7 @@ def merge_touched(path: str, batch: DataFrame, keys: list[str], by: list[str], m
         raise ValueError(f"rows came out in partitions that the batch doesn't touch: {sorted(left - set(values), key=str)[:5]}")
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     for gone in set(values) - left:
-        for folder in {r[0].rsplit("/", 1)[0] for r in target.filter(_within(by, [gone])).select("_metadata.file_path").distinct().collect()}:
-            remove(spark, folder)
+        for folder in {r[0].rsplit("/", 1)[0] for r in target.filter(_within(by, [gone])).select(file_of_row()).distinct().collect()}:
+            remove(spark, path_of(folder))
     discard(fresh)
     return values
