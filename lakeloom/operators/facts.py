@@ -30,13 +30,14 @@ def allocate(items: DataFrame, totals: DataFrame, key: str, weight: str, amount:
     return out.drop("_share", "_amount")
 
 
-def build_fact(items: DataFrame, orders: DataFrame, history: DataFrame, dims: list[tuple[DataFrame, list[str] | Column]], order_key: str, entity: str, ts: str, cols: list[str], key: str, key_order: list[str], pit: str = "inner") -> DataFrame:
+def build_fact(items: DataFrame, orders: DataFrame, history: DataFrame, dims: list[tuple[DataFrame, list[str] | Column]], order_key: str, entity: str, ts: str, cols: list[str], key: str | None = None, key_order: list[str] | None = None, pit: str = "inner") -> DataFrame:
     """Items with their order, the version of the entity that held at the order's time, and all
-    dimensions' keys (missing ones stay null), numbered in key_order and stamped with _loaded_at."""
+    dimensions' keys (missing ones stay null), stamped with _loaded_at; with `key`, numbered in key_order."""
     fact = pit_join(items.join(orders, order_key), history, entity, ts, pit)
     for dim, on in dims:
         fact = lookup(fact, dim, on)
-    return add_surrogate_key(fact.select(*cols), key, key_order).withColumn("_loaded_at", F.current_timestamp())
+    fact = fact.select(*cols)
+    return (add_surrogate_key(fact, key, key_order) if key else fact).withColumn("_loaded_at", F.current_timestamp())
 
 
 def fact_completeness(fact: DataFrame, key_cols: list[str], order_key: str, grain: list[str]) -> DataFrame:

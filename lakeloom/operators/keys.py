@@ -11,17 +11,24 @@ from pyspark.sql.window import Window
 from ..sources.scratch import cut
 
 
+#: So few rows are numbered by a single task.
+FEW_ROWS = 10_000
+
+
 def add_surrogate_key(df: DataFrame, name: str, order_cols: list[str], start: int = 0) -> DataFrame:
     """Numbers start + 1 .. start + n in the order of `order_cols` (nulls first), as a global row_number would.
 
     The rows are written first, for ranges are drawn from a sample and what makes the rows would run twice. They go to
     ranges of the key, are sorted and numbered there, and are written with that; each range then counts on from where
     the ranges before it end. Only the ranges' counts come together. Rows that tie in all of `order_cols` are
-    numbered in any order. There are as many ranges as shuffle partitions.
+    numbered in any order. There are as many ranges as shuffle partitions. Up to FEW_ROWS are numbered by one window.
     """
     order = [F.col(c).asc() for c in order_cols]
+    df = cut(df)
+    if df.count() <= FEW_ROWS:
+        return df.select((F.lit(start) + F.row_number().over(Window.orderBy(*order))).cast("long").alias(name), *df.columns)
     place = F.monotonically_increasing_id()  # the range in the upper bits, the row's place in it in the lower 33
-    ranged = cut(cut(df).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_range", F.shiftrightunsigned("_place", 33))
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)).withColumn("_range", F.shiftrightunsigned("_place", 33))
     counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row per partition
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

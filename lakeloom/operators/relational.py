@@ -33,8 +33,9 @@ def having(df: DataFrame, keys: list[str], aggs: dict[str, Column], predicate: C
 
 
 def lookup(fact: DataFrame, dim: DataFrame, on: list[str] | Column, how: str = "left", rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Joins a dimension, which is broadcast if it has at most `rows` rows of at most LOOKUP_BYTES, and else shuffled."""
-    n, size = dim.limit(rows + 1).agg(F.count("*"), F.sum(row_bytes(dim))).first()
+    """Joins a dimension, which is broadcast if it has at most `rows` rows of at most LOOKUP_BYTES, and else shuffled.
+    Both are counted where the rows are; what makes the dimension runs once for that."""
+    n, size = dim.agg(F.count("*"), F.sum(row_bytes(dim))).first()
     small = n <= rows and (size or 0) <= LOOKUP_BYTES
     return fact.join(F.broadcast(dim) if small else dim, on, how)
 

@@ -316,7 +316,7 @@ def allocate_payment(r: Roles) -> DataFrame:
 _GRAIN = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity"]
 
 
-def _fact(r: Roles) -> DataFrame:
+def _fact(r: Roles, key: str | None = None) -> DataFrame:
     items = r.lineitem.select(*_GRAIN)
     orders = r.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate", "o_orderstatus")
     # a third of the parts is missing from the dimension, so that some keys are
@@ -324,7 +324,7 @@ def _fact(r: Roles) -> DataFrame:
     supplier = r.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_suppkey").alias("supplier_key"))
     status = dimensions.build_distinct_dim(r.orders, "o_orderstatus", "status_key")
     cols = [*_GRAIN, "o_custkey", "version_num", "part_key", "supplier_key", "status_key"]
-    return facts.build_fact(items, orders, _history(r).drop("o_orderpriority"), [(part, ["l_partkey"]), (supplier, ["l_suppkey"]), (status, ["o_orderstatus"])], "l_orderkey", "o_custkey", "o_orderdate", cols, "item_key", _GRAIN)
+    return facts.build_fact(items, orders, _history(r).drop("o_orderpriority"), [(part, ["l_partkey"]), (supplier, ["l_suppkey"]), (status, ["o_orderstatus"])], "l_orderkey", "o_custkey", "o_orderdate", cols, key, _GRAIN)
 
 
 _FACT = f"""WITH {_HIST}, st AS (SELECT o_orderstatus, row_number() OVER (ORDER BY o_orderstatus) AS status_key FROM (SELECT DISTINCT o_orderstatus FROM orders)),
@@ -336,7 +336,7 @@ _FACT = f"""WITH {_HIST}, st AS (SELECT o_orderstatus, row_number() OVER (ORDER
 @query(f"{_FACT} SELECT row_number() OVER (ORDER BY {', '.join(_GRAIN)}) AS item_key, *, true AS loaded_now FROM fact")
 def fact_order_items(r: Roles) -> DataFrame:
     now = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("_loaded_at")) < 3600
-    return _fact(r).withColumn("loaded_now", now).drop("_loaded_at")
+    return _fact(r, "item_key").withColumn("loaded_now", now).drop("_loaded_at")
 
 
 @query(f"""{_FACT} SELECT count(*) AS total, count(*) FILTER (WHERE part_key IS NULL) AS missing_part_key, count(*) FILTER (WHERE supplier_key IS NULL) AS missing_supplier_key,

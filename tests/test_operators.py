@@ -147,10 +147,12 @@ def test_allocation_zero_weight_missing_payment_and_residue(spark):
 
 
 @FEW
-@given(st.lists(st.one_of(st.none(), st.integers(0, 20)), max_size=40))
-def test_surrogate_key_equals_global_row_number(spark, values):
+@given(st.lists(st.one_of(st.none(), st.integers(0, 20)), max_size=40), st.sampled_from([0, 10_000]))
+def test_surrogate_key_equals_global_row_number(spark, values, few):
     df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, i int")
-    got = keys.add_surrogate_key(df, "k", ["v", "i"], 5).collect()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(keys, "FEW_ROWS", few)  # by ranges, and by one window
+        got = keys.add_surrogate_key(df, "k", ["v", "i"], 5).collect()
     want = df.withColumn("k", F.row_number().over(Window.orderBy("v", "i")) + 5).collect()
     assert {r["i"]: r["k"] for r in got} == {r["i"]: r["k"] for r in want}
 
