@@ -182,12 +182,19 @@ PAIR = ["a", "b", "na", "nb", "a_doc", "a_pos", "b_doc", "b_pos", "turn", "more"
 ARROW = pa.schema([(c, pa.bool_() if c == "more" else pa.int64()) for c in PAIR])
 
 
-#: Pairs of classes, and lines with a class, that are looked at together.
-CLASS_PAIRS = 1 << 20
+#: Pairs that are looked at together, and lines of a word that are looked at first.
+PAIRS, WINDOW = 1 << 20, 512
 
 
-def partners(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, lo, hi): places a whose partners are at lo .. hi; of its word's lines the earlier ones that pass the length and the positional filter.
+def places(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """A number for every entry that rises over all of them: its class (word, set size, place in the set) and its rank."""
+    new = (np.diff(word, prepend=-1) != 0) | (np.diff(n, prepend=-1) != 0) | (np.diff(pos, prepend=-1) != 0)
+    return (np.cumsum(new) - 1) * (len(word) + 1) + rank
+
+
+def partners(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray, place: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, lo, hi), rising by a: partners of entry a stand at lo .. hi, from the earliest; of its word's lines those that
+    are earlier and pass the length and the positional filter.
 
     Entries are sorted by word, set size n, place pos of the word in the set, and rank, which rises with lateness. Lines of
     one word, size and place form a class, and both filters depend on the classes alone, so they cost nothing for
@@ -195,35 +202,37 @@ def partners(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray,
     """
     if not len(word):
         return
-    new = np.ones(len(word), bool)
-    new[1:] = (word[1:] != word[:-1]) | (n[1:] != n[:-1]) | (pos[1:] != pos[:-1])
-    start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(word)))
+    wide = len(word) + 1
+    kind = place // wide
+    start = np.flatnonzero(np.diff(kind, prepend=-1))
     of, cn, cp = np.cumsum(np.diff(word[start], prepend=word[:1]) != 0), n[start], pos[start]
-    wide = int(cn.max()) + 2
-    key = of * wide + cn
-    first = np.searchsorted(key, of * wide + -(-percent * cn // 100), "left")
-    last = np.searchsorted(key, of * wide + np.minimum(100 * cn // percent, wide - 1), "right")
-    place = (np.cumsum(new) - 1) * (len(word) + 1) + rank  # rises over all entries
-    for chosen in _chunks(last - first):
-        x = chosen[0] + np.repeat(np.arange(chosen[1] - chosen[0]), (last - first)[slice(*chosen)])
+    sizes = int(cn.max()) + 2
+    key = of * sizes + cn
+    first = np.searchsorted(key, of * sizes + -(-percent * cn // 100), "left")
+    last = np.searchsorted(key, of * sizes + np.minimum(100 * cn // percent, sizes - 1), "right")
+    edges = np.append(start, len(word))
+    for lo, hi in _chunks(last - first):
+        x = lo + np.repeat(np.arange(hi - lo), (last - first)[lo:hi])
         y = np.arange(len(x)) - np.searchsorted(x, x, "left") + first[x]
         need = -(-percent * (cn[x] + cn[y]) // (100 + percent))
         ok = np.minimum(cn[x] - cp[x], cn[y] - cp[y]) >= need
         x, y = x[ok], y[ok]
-        for lo, hi in _chunks(count[x]):
-            each = count[x[lo:hi]]
-            inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            a, b = np.repeat(start[x[lo:hi]], each) + inside, np.repeat(y[lo:hi], each)
-            at, end = start[b], np.searchsorted(place, b * (len(word) + 1) + rank[a], "left")
+        begin, many = np.searchsorted(x, np.arange(lo, hi), "left"), np.bincount(x - lo, minlength=hi - lo)
+        lines = np.arange(edges[lo], edges[hi])
+        own = kind[lines] - lo
+        for p, q in _chunks(many[own]):
+            each = many[own[p:q]]
+            a = np.repeat(lines[p:q], each)
+            b = y[np.arange(len(a)) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begin[own[p:q]], each)]
+            at, end = start[b], np.searchsorted(place, b * wide + rank[a], "left")
             some = end > at
             if some.any():
                 yield a[some], at[some], end[some]
 
 
 def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs of items whose sizes add up to CLASS_PAIRS, about."""
-    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // CLASS_PAIRS, prepend=0)).tolist()
+    """Runs of items whose sizes add up to PAIRS, about."""
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS, prepend=0)).tolist()
     edges = sorted({0, *edges, len(sizes)})
     return zip(edges, edges[1:])
 
@@ -285,25 +294,35 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         order, rank = order[by], rank[by]
         w, n, pos, marks, wide, sets, owner, number = (x[order] for x in (word, n, pos, marks, wide, sets, owner, number))
         hits, got = np.zeros(len(w), np.int64), []
-        for a, at, end in partners(w, n, pos, rank, percent):
+        place = places(w, n, pos, rank)
+        base = np.minimum.reduceat(rank, edge := np.flatnonzero(np.diff(w, prepend=-1))) if len(w) else rank
+        base = np.repeat(base, np.diff(np.append(edge, len(w)))) if len(w) else rank
+        for a, at, end in partners(w, n, pos, rank, place, percent):
             if only is not None:
                 asked = np.isin(sets[a], only)
                 a, at, end = a[asked], at[asked], end[asked]
-            while len(a):
-                go = (at < end) & (hits[a] <= most)
-                if not go.all():
-                    a, at, end = a[go], at[go], end[go]
-                    continue
-                total = n[a] + n[at]
-                room = total - 2 * -(-percent * total // (100 + percent))  # what is in one set alone
-                ok = np.bitwise_count(marks[a] ^ marks[at]) <= room
-                far = np.flatnonzero(ok & (n[a] > FEW) & (n[at] > FEW))
-                ok[far] = np.bitwise_count(wide[a[far]] ^ wide[at[far]]).sum(1, dtype=np.int64) <= room[far]
-                who, found = a[ok], at[ok]
-                np.add.at(hits, who, 1)
-                full = hits[who] <= most
-                got.append((who[full], found[full], hits[who[full]]))
-                at = at + 1
+            reach = WINDOW
+            while len(a):  # the word's earliest lines first, then twice as many, and so on
+                stop = np.minimum(end, np.searchsorted(place, place[at] - rank[at] + base[a] + reach, "left"))
+                for lo, hi in _chunks(stop - at):
+                    each = stop[lo:hi] - at[lo:hi]
+                    x = np.repeat(a[lo:hi], each)
+                    y = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(at[lo:hi], each)
+                    total = n[x] + n[y]
+                    room = total - 2 * -(-percent * total // (100 + percent))  # what is in one set alone
+                    ok = np.bitwise_count(marks[x] ^ marks[y]) <= room
+                    far = np.flatnonzero(ok & (n[x] > FEW) & (n[y] > FEW))
+                    ok[far] = np.bitwise_count(wide[x[far]] ^ wide[y[far]]).sum(1, dtype=np.int64) <= room[far]
+                    x, y = x[ok], y[ok]
+                    by = np.lexsort((rank[y], x))
+                    x, y = x[by], y[by]
+                    own, first, count = np.unique(x, return_index=True, return_counts=True)
+                    turn = np.arange(len(x)) - np.repeat(first, count) + hits[x] + 1
+                    hits[own] += count
+                    full = turn <= most
+                    got.append((x[full], y[full], turn[full]))
+                go = (stop < end) & (hits[a] <= most)
+                a, at, end, reach = a[go], stop[go], end[go], 2 * reach
         a, b, turn = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
         more = hits[a] > most
         order = np.lexsort((turn, ~more, sets[b], sets[a]))  # a pair that several words show counts once

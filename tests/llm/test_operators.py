@@ -86,6 +86,7 @@ def test_components_are_the_smallest_ids_reachable(spark):
 
 @pytest.mark.parametrize("first", [4, 1])
 def test_line_dedup_equals_brute_force(frame, corpus, first, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WINDOW", first)
     monkeypatch.setattr(line_dedup, "FIRST_ROUND", first)
     monkeypatch.setattr(line_dedup, "SECOND_ROUND", 2 * first)
     want = brute.later_lines(corpus)
@@ -108,14 +109,14 @@ def test_line_dedup_of_short_lines_equals_brute_force(frame, corpus):
 
 @pytest.mark.parametrize("chunk", [1 << 20, 7])
 def test_partners_are_the_earlier_lines_that_pass_the_filters(monkeypatch, chunk):
-    monkeypatch.setattr(line_dedup, "CLASS_PAIRS", chunk)
+    monkeypatch.setattr(line_dedup, "PAIRS", chunk)
     rng = np.random.default_rng(4)
     size = 400
     word, n, rank = np.sort(rng.integers(0, 9, size)), rng.integers(2, 30, size), rng.permutation(size)
     pos = (rng.random(size) * np.minimum(n, 8)).astype(np.int64)
     by = np.lexsort((rank, pos, n, word))
     word, n, pos, rank = word[by], n[by], pos[by], rank[by]
-    got = sorted((int(i), int(k)) for a, lo, hi in line_dedup.partners(word, n, pos, rank, 80) for i, x, y in zip(a, lo, hi) for k in range(x, y))
+    got = sorted((int(i), int(k)) for a, lo, hi in line_dedup.partners(word, n, pos, rank, line_dedup.places(word, n, pos, rank), 80) for i, x, y in zip(a, lo, hi) for k in range(x, y))
     want = [(i, k) for i in range(size) for k in range(size) if word[i] == word[k] and rank[k] < rank[i] and 100 * min(n[i], n[k]) >= 80 * max(n[i], n[k]) and min(n[i] - pos[i], n[k] - pos[k]) >= -(-80 * (n[i] + n[k]) // 180)]
     assert got == want and want
 
@@ -124,7 +125,7 @@ def test_a_template_with_own_words_costs_no_comparison():
     """Lines of four words that all have and one of their own share a prefix word but can't be similar."""
     size = 50_000
     x = np.zeros(size, np.int64), np.full(size, 5), np.ones(size, np.int64), np.arange(size)
-    assert sum(int((hi - lo).sum()) for _, lo, hi in line_dedup.partners(*x, 80)) == 0
+    assert sum(int((hi - lo).sum()) for _, lo, hi in line_dedup.partners(*x, line_dedup.places(*x), 80)) == 0
 
 
 def test_templated_lines_stay_and_their_copies_go(frame):
