@@ -136,7 +136,8 @@ def check(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: f
     only whole; one without words never. Null and empty texts share nothing; rows with a null or repeated id
     are judged each by their own text; very long texts are tiled whole. Passages with a null id or text are left out.
     Up to `broadcast_bytes` of passages, each document is tiled where it is read; beyond, seeds are joined
-    and only texts with a seed move. Both ways give the same rows.
+    and only texts with a seed move. Both ways give the same rows. An empty table of documents gives no rows, an empty
+    benchmark covers nothing; other columns, whatever their names, are not looked at.
     """
     store.small_batches(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("passage")).filter("item_id is not null and passage is not null")

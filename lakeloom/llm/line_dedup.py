@@ -404,7 +404,7 @@ def deduplicate(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     without a word. Words have A-Z lower-cased. Two lines are similar if 100 * |A & B| >= percent * |A | B|.
     Null and empty texts have no lines. Rows that repeat an id and text get the same result; of rows with one id and
     different texts, lines count as earlier by their number alone, and a number that goes in one goes in all. Rows with a null id
-    keep their text whole and remove nothing. Very long texts and lines are looked at whole. Other columns pass
+    keep their text whole and remove nothing. Very long texts and lines are looked at whole. An empty table gives no rows. Other columns pass
     through whatever their names are, but for those named like an added one, which it replaces.
     """
     plain = store.small_batches(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, key
     Null and empty texts have an empty set and are linked with nothing. Rows with a null id are left
     out, for they can't be named in a link. Rows that repeat an id are each told by their own text, so
     rows of one id with different texts may be in different components. Very long texts are one set each,
-    and other columns don't matter. Equal sets are collapsed first, by two 64-bit hashes and the size, so
+    and other columns don't matter; an empty table gives no rows. Equal sets are collapsed first, by two 64-bit hashes and the size, so
     copies cost no comparison.
     """
     docs = store.small_batches(docs).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

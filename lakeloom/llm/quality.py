@@ -123,7 +123,8 @@ def scored(docs: DataFrame, labels: DataFrame, train=None, train_rows: int = TRA
     """(doc_id, score): score rises with the likelihood of label 1; every row gets one, empty texts and rows with
     a null or repeated id too. An empty table gives none.
 
-    train is a condition on doc_id that training rows meet. Only the text's statistics are inputs.
+    train is a condition on doc_id that training rows meet. Only the text's statistics are inputs, of very long texts
+    too; other columns, whatever their names, are not looked at.
     """
     table = store.cut(stats.with_stats(store.small_batches(docs), id_col, text_col))
     x, y = stats.labelled(table, labels, train_rows, label, train)

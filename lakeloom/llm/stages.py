@@ -11,7 +11,8 @@ from . import contamination, line_dedup, minhash, packing, quality, store
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least 0.7; learned from the labelled ids with crc32 mod 4 other than 2.
 
-    Rows with a null id stay; null and empty texts are scored like others.
+    Rows with a null id stay; null and empty texts are scored like others. Rows are known by their id: all rows of a
+    repeated id go if one of their texts scores below. Columns pass through, whatever their names are; an empty table stays empty.
     """
     learn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     scored = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn)
@@ -49,14 +50,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold half a passage of the benchmark or more.
 
-    Rows with a null id stay; all rows of an id go if one of its texts holds a passage.
+    Rows with a null id stay; all rows of an id go if one of its texts holds a passage. Columns pass through, whatever
+    their names are; an empty table stays empty.
     """
     checked = contamination.check(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return store.without(docs, checked.filter("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens; every row is packed, null and empty texts as their end mark."""
+    """Sequences of at most 4096 tokens; every row is packed, null and empty texts as their end mark. Other columns, whatever
+    their names, don't matter; an empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

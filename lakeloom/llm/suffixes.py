@@ -347,6 +347,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BUCKE
     spans. Null and empty texts have no bytes. A text that another document with a smaller id has as
     well goes as a whole. Rows that repeat an id and text count as one document, and of several
     texts under one id the one with the smallest digest counts as the earliest; a null id comes before all others.
+    Very long texts are looked at whole. An empty table gives no rows; other columns, whatever their names, are not looked at.
     """
     if length < V + SEED_BYTES:
         raise ValueError(f"length must be at least {V + SEED_BYTES}")
