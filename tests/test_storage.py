@@ -10,7 +10,7 @@ from lakeloom.functions import row_fingerprint, row_hash
 from lakeloom.operators import data_quality, incremental, keys, layout, scd2, suite
 from lakeloom.operators import relational as rel
 from lakeloom.operators.feed import Feed
-from lakeloom.sources import csv_blocks, files, ledger, partitions
+from lakeloom.sources import csv_blocks, files, ledger, partitions, scratch
 
 
 def put(path, text):
@@ -22,6 +22,29 @@ def rows_of(df, *cols):
     return sorted(map(tuple, df.select(*cols).collect()), key=str)
 
 
+# ---- scratch tables
+
+
+def folders(spark, path):
+    return {p.name for p in path.iterdir()}
+
+
+def test_a_scope_leaves_only_what_is_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scratch, "shared_dir", lambda s: str(tmp_path))
+    outer = scratch.cut(spark.range(2))
+    with scratch.scope():
+        with scratch.scope():
+            numbered = keys.add_surrogate_key(spark.range(30_000), "k", ["id"])
+            result = scratch.keep(scratch.cut(numbered.filter("k % 10 = 0")))
+            assert len(folders(spark, tmp_path)) == 4
+        assert len(folders(spark, tmp_path)) == 2 and result.count() == 3_000
+    assert folders(spark, tmp_path) == {outer._lakeloom_path.rsplit("/", 1)[-1]} and outer.count() == 2
+    with pytest.raises(ValueError), scratch.scope():
+        scratch.cut(spark.range(1))
+        raise ValueError
+    assert len(folders(spark, tmp_path)) == 1
+
+
 # ---- ledger
 
 
