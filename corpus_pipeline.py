@@ -19,8 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of `documents`."""
+    """All stages over the whole of `documents`. A stage's scratch tables go when its result is written, and that when the next one's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = store.cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        before = docs
+        with store.scope():
+            docs = store.keep(store.cut(stage(spark, before, sf_dir)))
+        if k:
+            store.discard(before)
     return docs

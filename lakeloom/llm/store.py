@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from ..sources.scratch import cut, discard  # noqa: F401
+from ..sources.scratch import cut, discard, keep, scope  # noqa: F401
 
 #: A side of a join is broadcast only up to this many bytes, as size_of() counts them.
 BROADCAST_BYTES = 32 << 20
