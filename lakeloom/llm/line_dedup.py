@@ -110,6 +110,18 @@ def _name(word: np.ndarray) -> np.ndarray:
     return word >> np.uint64(20) & _NAME
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Ids as the steps between them, byte plane by byte plane, compressed: each of very many cells names its documents."""
+    steps = np.diff(ids, prepend=np.int64(0)).astype("<i8")
+    return len(ids).to_bytes(8, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes() or b"\0", codec="zstd", asbytes=True)
+
+
+def _unpacked(cell: bytes) -> np.ndarray:
+    n = int.from_bytes(cell[:8], "little")
+    planes = np.frombuffer(pa.decompress(cell[8:], max(1, 8 * n), codec="zstd", asbytes=True), np.uint8)[: 8 * n].reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
 def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, buckets: int, only: np.ndarray | None = None) -> DataFrame:
     """(bucket, ids, cell, big): lines' prefixes by the bucket of their words, big for the longer marks; where big is null,
     cell has all lines of some documents (document, number, set). only: sorted names of the words that are asked about; lines are not told then."""
@@ -126,7 +138,7 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
             folded = np.bitwise_xor.reduce(x["marks"], axis=1)
             rows = []
             if only is None:
-                rows.append((int(len(buf) + off[len(off) // 2]) % buckets, ids.tobytes(), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None))
+                rows.append((int(len(buf) + off[len(off) // 2]) % buckets, _packed(ids), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None))
             # equal sets of this part: the earliest stands for all
             order = np.lexsort((x["number"], ids[x["doc"]], x["set"]))
             k = order[np.flatnonzero(np.diff(x["set"][order], prepend=x["set"][order[:1]] ^ np.uint64(1)))] if len(order) else order
@@ -141,8 +153,8 @@ def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, bucke
             for b, lo, hi in zip(own.tolist(), edge, np.append(edge[1:], len(order))):
                 i = order[lo:hi]
                 w = who[i]
-                names, doc = textkit.own_ids(ids, x["doc"][w])
-                rows.append((b, names, _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
+                here, doc = np.unique(x["doc"][w], return_inverse=True)
+                rows.append((b, _packed(ids[here]), _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, big binary")
@@ -249,7 +261,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         cols, owners, wide = [], [], []
         lines: list[list[np.ndarray]] = [[], [], []]
         for ids, cell, big in zip(*(table.column(c).to_pylist() for c in ("ids", "cell", "big"))):
-            ids = np.frombuffer(ids, "<i8")
+            ids = _unpacked(ids)
             if big is None:
                 doc, number, high, low = _spread(cell, 4)
                 for out, x in zip(lines, (_sets(high, low), ids[doc], number)):

@@ -121,6 +121,11 @@ def test_partners_are_the_earlier_lines_that_pass_the_filters(monkeypatch, chunk
     assert got == want and want
 
 
+def test_packed_ids_come_back():
+    for ids in ([], [0], [5, 6, 7, 1_000_000], [3, -(2**63), 2**63 - 1, 0, 0], list(range(2_000))):
+        assert line_dedup._unpacked(line_dedup._packed(np.array(ids, np.int64))).tolist() == ids
+
+
 def test_a_template_with_own_words_costs_no_comparison():
     """Lines of four words that all have and one of their own share a prefix word but can't be similar."""
     size = 50_000
