@@ -15,6 +15,8 @@ COLUMNS = {
     "op5": {"doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"},
     "op7": {"doc_id", "held_out", "score", "predicted"},
     "op9": {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"},
+    "op11": {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"},
+    "op13": {"doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"},
     "op10": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
 }
 
@@ -58,7 +60,7 @@ def test_lines_of_any_length_go_in_the_query_and_the_pipeline(spark, sf_dir):
 
 def test_queries_return_their_columns_for_every_row(spark, sf_dir):
     found = queries.queries()
-    assert [n for n in range(1, 11) if not any(q.startswith(f"op{n}_") for q in found)] == []
+    assert [n for n in range(1, 14) if not any(q.startswith(f"op{n}_") for q in found)] == []
     for name, f in found.items():
         if columns := COLUMNS.get(name.split("_")[0]):
             df = f(spark, sf_dir)
