@@ -50,7 +50,8 @@ def asof_join(fact: DataFrame, dim: DataFrame, id_col: str, ts: str, how: str =
     As `relational.pit_join` over versions that don't overlap, but a fact is never multiplied: of versions that do
     overlap the one that started last counts. Validity is half-open, a null end is open, versions of no length hold
     nothing. Facts with a null id or time, and those without a version, come out with nulls if `how` is "left" and
-    drop out if it is "inner". The dimension's other columns must have names that the facts don't have.
+    drop out if it is "inner". The dimension's other columns must have names that the facts don't have. What makes the two
+    sides runs once more, for ids and times alone, to draw the sample that tells entities with very many rows.
     """
     rest = [c for c in dim.columns if c != id_col]
     if clash := sorted(set(rest) & set(fact.columns)):
