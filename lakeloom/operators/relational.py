@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import ColumnLike, col, row_bytes
+from ..sources.scratch import cut
 
 #: A lookup side is broadcast up to so many rows and bytes, which are counted first.
 LOOKUP_ROWS, LOOKUP_BYTES = 1_000_000, 64 << 20
@@ -112,8 +115,26 @@ def rollup(df: DataFrame, keys: list[str], aggs: dict[str, Column], labels: dict
     return out.select(*(F.when(F.col(f"_g_{k}") == 1, F.lit(labels[k])).otherwise(F.col(k).cast("string")).alias(k) for k in keys), *aggs)
 
 
-def quantile(df: DataFrame, c: str, p: float, accuracy: int = 10_000) -> DataFrame:
-    return df.agg(F.percentile_approx(c, F.lit(p), F.lit(accuracy)).alias("quantile"))
+def quantiles(df: DataFrame, c: str, ranks: dict[str, float]) -> DataFrame:
+    """One row with the value at each of the named ranks, exactly: the least one that ceil(p * n) of the n values don't exceed, as
+    percentile_disc has it. Nulls don't count; without values all are null.
+
+    Distinct values are counted, go to ranges and count on in those that hold a rank; only the ranges' counts come together.
+    """
+    counts = cut(df.select(F.col(c).alias("_v")).dropna().groupBy("_v").agg(F.count("*").alias("_n")))
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    at = {name: max(1, ceil(Fraction(str(p)) * n)) for name, p in ranks.items()}
+    ranged = cut(counts.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    told = ranged.groupBy("_range").agg(F.sum("_n").alias("_held")).select("_range", "_held", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))  # a row per range
+    holds = reduce(lambda a, b: a | b, ((F.col("_before") < k) & (F.col("_before") + F.col("_held") >= k) for k in at.values()))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_range").orderBy("_v"))
+    near = ranged.join(F.broadcast(told.filter(holds)), "_range").select("_v", upto.alias("_upto"))
+    return near.agg(*(F.min(F.when(F.col("_upto") >= k, F.col("_v"))).alias(name) for name, k in at.items()))
+
+
+def quantile(df: DataFrame, c: str, p: float) -> DataFrame:
+    return quantiles(df, c, {"quantile": p})
 
 
 def quantile_sketches(df: DataFrame, by: list[str], c: str, k: int = 200, name: str = "sketch") -> DataFrame:

@@ -300,3 +300,13 @@ def test_scratch_is_refused_on_a_cluster_and_can_be_discarded(spark, tmp_path):
     assert df.count() == 4
     scratch.discard(df)
     assert not files.exists(spark, df._lakeloom_path)
+
+
+def test_quantiles_are_exact_with_ties_and_nulls(spark):
+    df = spark.range(400_000).selectExpr("id * 7919 % 400009 AS v", "IF(id % 5 = 0, NULL, id % 3) AS few", "CAST(NULL AS INT) AS none")
+    values = sorted(i * 7919 % 400009 for i in range(400_000))
+    for p in (0.0, 0.001, 0.25, 0.5, 0.77777, 1.0):
+        assert rel.quantile(df, "v", p).first()[0] == values[max(1, round(p * 400_000)) - 1]
+    few = sorted(i % 3 for i in range(400_000) if i % 5)
+    assert rel.quantiles(df, "few", {"a": 0.1, "b": 0.5, "c": 0.9}).first() == (few[32_000 - 1], few[160_000 - 1], few[288_000 - 1])
+    assert rel.quantiles(df, "none", {"a": 0.1, "b": 0.5}).first() == (None, None)
