@@ -10,7 +10,10 @@ from lakeloom.functions import row_fingerprint, row_hash
 from lakeloom.operators import data_quality, incremental, keys, layout, scd2, suite
 from lakeloom.operators import relational as rel
 from lakeloom.operators.feed import Feed
+from lakeloom.plans import retail  # noqa: F401  adds its queries
+from lakeloom.plans.queries import ORACLE, QUERIES
 from lakeloom.sources import csv_blocks, files, ledger, partitions, scratch
+from tests.compare import assert_same, connect
 
 
 def put(path, text):
@@ -357,6 +360,30 @@ def test_csv_by_blocks_without_rows_or_header(spark, tmp_path, small_blocks):
     assert read("a") == [] and read("b", header=False) == [(1, "x"), (2, "y\nz")] and read("c") == [(7, "q")]
 
 
+# ---- tests of layouts on larger tables
+
+
+@pytest.mark.parametrize("name, kind", [("compact_report", "parquet"), ("csv_by_blocks", "csv"), ("compact_small_files", "parquet")])
+def test_no_task_writes_a_whole_table(spark, tmp_path, monkeypatch, name, kind):
+    sf_dir = "/root/testdata/sf0.01"
+    monkeypatch.setattr(layout, "TASK_BYTES", 200 << 10)
+    monkeypatch.setattr(scratch, "shared_dir", lambda session: str(tmp_path))
+    assert_same(QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLE[name])
+    for folder in tmp_path.iterdir():
+        sizes = [f.stat().st_size for f in folder.rglob(f"part-*.{kind}")]
+        assert sum(sizes) < 100 << 10 or max(sizes) < sum(sizes) / 2
+
+
+def test_compaction_within_partitions(spark, tmp_path):
+    path, out = f"{tmp_path}/t", f"{tmp_path}/out"
+    small_table(spark, path)
+    assert layout.compact(spark, path, out, 1 << 40, by=["p"]) == 2
+    assert sorted(r["count"] for r in layout.file_sizes(spark, out).groupBy("folder").count().collect()) == [1, 1]
+    assert rows_of(spark.read.parquet(out), "id", "p") == rows_of(spark.read.parquet(path), "id", "p")
+    n = layout.compact(spark, path, out, 32 << 10, by=["p"])
+    assert n > 3 and layout.file_sizes(spark, out).count() == n and rows_of(spark.read.parquet(out), "id", "p") == rows_of(spark.read.parquet(path), "id", "p")
+
+
 # ---- the declared suite
 
 
