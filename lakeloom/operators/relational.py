@@ -44,9 +44,11 @@ def lookup(fact: DataFrame, dim: DataFrame, on: list[str] | Column, how: str = "
 
 
 def orphans(child: DataFrame, parent: DataFrame, on: dict[str, str]) -> DataFrame:
-    """Child rows without a parent; on: child column to parent column. A null key has no parent."""
-    cond = reduce(lambda a, b: a & b, (child[c] == parent[p] for c, p in on.items()))
-    return child.join(parent, cond, "left_anti")
+    """Child rows without a parent; on: child column to parent column. A null key has no parent.
+    Parents' keys are made distinct where they are read, so that only keys are shuffled and sorted."""
+    keys = parent.select(*(F.col(p).alias(f"_parent_{p}") for p in on.values())).distinct()
+    cond = reduce(lambda a, b: a & b, (child[c] == keys[f"_parent_{p}"] for c, p in on.items()))
+    return child.join(keys, cond, "left_anti")
 
 
 def with_exists_flag(a: DataFrame, b: DataFrame, on: list[str], name: str = "is_known") -> DataFrame:
