@@ -32,9 +32,26 @@ def allocate(items: DataFrame, totals: DataFrame, key: str, weight: str, amount:
 
 def build_fact(items: DataFrame, orders: DataFrame, history: DataFrame, dims: list[tuple[DataFrame, list[str] | Column]], order_key: str, entity: str, ts: str, cols: list[str], key: str | None = None, key_order: list[str] | None = None, pit: str = "inner") -> DataFrame:
     """Items with their order, the version of the entity that held at the order's time, and all
-    dimensions' keys (missing ones stay null), stamped with _loaded_at; with `key`, numbered in key_order."""
-    fact = pit_join(items.join(orders, order_key), history, entity, ts, pit)
+    dimensions' keys (missing ones stay null), stamped with _loaded_at; with `key`, numbered in key_order.
+
+    Versions and dimensions that an order names are joined to orders, those that an item names to items; both meet last, so that
+    items are shuffled once by order_key, and by no key but those of dimensions too large to broadcast."""
+    of = lambda on, side: isinstance(on, list) and set(on) <= set(side.columns)
+    at_orders = {entity, ts} <= set(orders.columns)
+    if at_orders:
+        orders = pit_join(orders, history, entity, ts, pit)
+    late = []
     for dim, on in dims:
+        if of(on, items):
+            items = lookup(items, dim, on)
+        elif of(on, orders):
+            orders = lookup(orders, dim, on)
+        else:
+            late.append((dim, on))
+    fact = items.join(orders, order_key)
+    if not at_orders:
+        fact = pit_join(fact, history, entity, ts, pit)
+    for dim, on in late:
         fact = lookup(fact, dim, on)
     fact = fact.select(*cols)
     return (add_surrogate_key(fact, key, key_order) if key else fact).withColumn("_loaded_at", F.current_timestamp())
