@@ -59,9 +59,14 @@ def build_fact(items: DataFrame, orders: DataFrame, history: DataFrame, dims: li
 
 def fact_completeness(fact: DataFrame, key_cols: list[str], order_key: str, grain: list[str]) -> DataFrame:
     """One row: rows, missing keys by dimension, distinct orders, and grain values that occur more than once."""
+    names = ["total", *(f"missing_{c}" for c in key_cols)]
+    if order_key in grain:  # one pass: grains lie in orders, and both are grouped where a join by order_key left the rows
+        grains = fact.groupBy(*grain).agg(F.count("*").alias("total"), *(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in key_cols))
+        held = grains.groupBy(order_key).agg(*(F.sum(c).alias(c) for c in names), F.count_if(F.col("total") > 1).alias("duplicate_grain"))
+        known = F.when(F.col(order_key).isNotNull(), 1).otherwise(0)
+        return held.agg(*(F.sum(c).alias(c) for c in names), F.sum(known).alias("orders"), F.sum("duplicate_grain").alias("duplicate_grain"))
     orders = fact.groupBy(order_key).agg(F.count("*").alias("total"), *(F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in key_cols))
     grains = fact.groupBy(*grain).agg(F.count("*").alias("n"))
-    names = ["total", *(f"missing_{c}" for c in key_cols)]
     zero = F.lit(0).cast("long")
     a = orders.select(*names, F.when(F.col(order_key).isNotNull(), 1).otherwise(0).alias("orders"), zero.alias("duplicate_grain"))
     b = grains.select(*(zero.alias(c) for c in names), zero.alias("orders"), F.when(F.col("n") > 1, 1).otherwise(0).alias("duplicate_grain"))

@@ -310,3 +310,35 @@ def test_quantiles_are_exact_with_ties_and_nulls(spark):
     few = sorted(i % 3 for i in range(400_000) if i % 5)
     assert rel.quantiles(df, "few", {"a": 0.1, "b": 0.5, "c": 0.9}).first() == (few[32_000 - 1], few[160_000 - 1], few[288_000 - 1])
     assert rel.quantiles(df, "none", {"a": 0.1, "b": 0.5}).first() == (None, None)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_orphans_take_distinct_keys_of_parents(spark):
+    child = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "k long, v string")
+    parent = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "k long, w string")
+    got = rel.orphans(child, parent, {"k": "k"})
+    assert got.columns == ["k", "v"] and sorted(r["v"] for r in got.collect()) == ["b", "c", "d"]
+    assert "Aggregate" in optimized(got)
+
+
+def test_completeness_makes_the_fact_once(spark):
+    fact = spark.range(7).selectExpr("IF(id = 6, NULL, id div 3) AS o", "IF(id = 1, 0, id) % 3 AS line", "IF(id % 4 = 0, NULL, id) AS part", "id AS other")
+    got = facts.fact_completeness(fact, ["part"], "o", ["o", "line"])
+    assert got.first().asDict() == {"total": 7, "missing_part": 2, "orders": 2, "duplicate_grain": 1}
+    assert facts.fact_completeness(fact, ["part"], "o", ["other"]).first().asDict() == {"total": 7, "missing_part": 2, "orders": 2, "duplicate_grain": 0}
+    assert optimized(got).count("Range (") == 1
+
+
+def test_versions_and_dimensions_meet_orders_before_items(spark):
+    items = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (2, 1, 10), (3, 1, 12)], "o long, line long, p long")
+    orders = spark.createDataFrame([(1, 7, 5, "F"), (2, 8, 6, None), (4, 7, 9, "F")], "o long, c long, at long, s string")
+    history = spark.createDataFrame([(7, 1, 0, 5), (7, 2, 5, None), (8, 1, 7, None)], "c long, version_num long, valid_from long, valid_to long")
+    parts, states = spark.createDataFrame([(10, 100)], "p long, part_key long"), spark.createDataFrame([("F", 1)], "s string, state_key long")
+    of = lambda **k: facts.build_fact(items, orders, history, [(parts, ["p"]), (states, ["s"])], "o", "c", "at", ["o", "line", "c", "version_num", "part_key", "state_key"], **k).drop("_loaded_at")
+    assert sorted(map(tuple, of().collect())) == [(1, 1, 7, 2, 100, 1), (1, 2, 7, 2, None, 1)]
+    assert sorted(map(tuple, of(pit="left").collect()), key=str) == [(1, 1, 7, 2, 100, 1), (1, 2, 7, 2, None, 1), (2, 1, 8, None, 100, None)]
+    first = next(x for x in optimized(of()).splitlines() if "Join " in x)
+    assert "o#" in first and "valid_from" not in first
