@@ -1,20 +1,24 @@
 """Quality rules by an isolation forest over rule statistics.
 
-Random splits isolate odd documents after few steps. The forest is grown from a bounded sample of labelled
-documents of either quality, whose labels then calibrate the bound on the anomaly score.
+Random splits isolate odd documents after few steps. As the method has it, every tree is grown from a few rows that
+are drawn for it, here among all labelled documents of either quality; the labels of all of them then calibrate the
+bound on the anomaly score.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..operators.relational import quantiles
 from . import stats, store, textkit
 
-#: At most so many labelled rows grow and calibrate the forest.
-TRAIN_ROWS = 20_000
+#: Trees, and the rows that each is grown from: the subsampling that defines an isolation forest.
 TREES, SAMPLE = 100, 256
 #: The statistics that are split; a document's length is none, for length is no fault.
 LOOKED_AT = ["mean_word", "symbols_word", "bang_word", "top_share", "byte_entropy", "other_end_share"]
@@ -36,6 +40,14 @@ class Forest:
         self.sample = min(sample, len(x))
         self.trees = [self._grow(x[rng.choice(len(x), self.sample, replace=False)], rng) for _ in range(trees)]
 
+    @classmethod
+    def of(cls, drawn: list[np.ndarray], seed: int = 5) -> Forest:
+        """A tree for each table of rows that were drawn for it, all of one length."""
+        self, rng = cls.__new__(cls), np.random.default_rng(seed)
+        self.sample = len(drawn[0])
+        self.trees = [self._grow(x, rng) for x in drawn]
+        return self
+
     def _grow(self, x: np.ndarray, rng: np.random.Generator) -> tuple:
         split, bound, child, depth = [-1], [0.0], [0], [0.0]
         todo, limit = [(0, x, 0)], int(np.ceil(np.log2(max(2, self.sample))))
@@ -76,7 +88,47 @@ def calibrate(score: np.ndarray, y: np.ndarray, false_rejects: float) -> float:
     return (max(least, float(good[good < first].max(initial=least))) + first) / 2 if first > least else least
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, false_rejects: float = FALSE_REJECTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drawn(rows: DataFrame, n: int, trees: int = TREES, sample: int = SAMPLE) -> list[np.ndarray]:
+    """For every tree `sample` of the n rows (all, if there are fewer), those with the least hashes for that tree. Only
+    hashes below a bound for half more than that go on."""
+    bound = int(2**63 * min(1.0, (1.5 * sample + 100) / n)) - 1
+    pick = lambda t: F.shiftrightunsigned(F.xxhash64(t, "doc_id", *LOOKED_AT), 1)
+    near = rows.select("doc_id", *LOOKED_AT, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: pick(t) < bound)).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(pick(F.col("tree")), "doc_id", *LOOKED_AT)
+    got = near.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= sample).orderBy("tree", "_at").select("tree", *LOOKED_AT).toPandas()
+    tables = [g[LOOKED_AT].to_numpy(np.float64) for _, g in got.groupby("tree")]
+    least = min(map(len, tables))
+    return [x[:least] for x in tables]
+
+
+def bound_of(scores: DataFrame, false_rejects: float) -> float:
+    """`calibrate` over all rows of (anomaly, y), where they are."""
+    good, bad = scores.filter("y = 1"), scores.filter("y = 0")
+    n = good.count()
+    at = (n - 1) * (1 - false_rejects)
+    low, high = quantiles(good, "anomaly", {"low": Fraction(int(at) + 1, n), "high": Fraction(min(int(at) + 2, n), n)}).first()
+    least = low + (high - low) * (at - int(at))
+    first = bad.filter(F.col("anomaly") > least).agg(F.min("anomaly")).first()[0]
+    if first is None:
+        return least
+    last = good.filter((F.col("anomaly") < first) & (F.col("anomaly") > least)).agg(F.max("anomaly")).first()[0]
+    return ((least if last is None else last) + first) / 2
+
+
+def _scored(table: DataFrame, forest: Forest | None, names: list[str], types: str) -> DataFrame:
+    """The named columns with `anomaly`, which is 0 without a forest."""
+
+    @textkit.released
+    def run(batches):
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in LOOKED_AT]) if len(batch) else np.zeros((0, len(LOOKED_AT)))
+            score = forest.score(x) if forest else np.zeros(len(x))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], [*names, "anomaly"])
+
+    return table.mapInArrow(run, f"{types}, anomaly double")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, false_rejects: float = FALSE_REJECTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, COUNTS, base_failed, anomaly, kept), one row per row of docs.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. kept: not
@@ -87,19 +139,12 @@ def verdicts(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, f
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     table = store.cut(stats.with_stats(store.small_batches(docs), id_col, text_col).withColumn("base_failed", failed))
-    x, y = stats.labelled(table, labels, train_rows, keep=~F.col("base_failed"))
-    cols = [stats.RATIOS.index(c) for c in LOOKED_AT]
-    forest = Forest(x[:, cols]) if (y == 1).sum() >= 8 else None
-    bound = calibrate(forest.score(x[:, cols]), y, false_rejects) if forest else 1.0
-
-    @textkit.released
-    def run(batches):
-        for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in LOOKED_AT]) if len(batch) else np.zeros((0, len(LOOKED_AT)))
-            score = forest.score(x) if forest else np.zeros(len(x))
-            kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & (score <= bound)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score), pa.array(kept.astype(bool))], [*names, "anomaly", "kept"])
-
-    names = ["doc_id", *stats.COUNTS, "base_failed"]
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in stats.COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
-    return table.mapInArrow(run, schema)
+    rows = store.cut(stats.marked(table, labels, keep=~F.col("base_failed")).select("doc_id", "y", *LOOKED_AT))
+    n, n_good = rows.agg(F.count("*"), F.count_if(F.col("y") == 1)).first()
+    forest, bound = None, 1.0
+    if n_good >= 8:
+        forest = Forest.of(drawn(rows, n))
+        bound = bound_of(store.cut(_scored(rows, forest, ["y"], "y int")), false_rejects)
+    counts = ", ".join(f"{c} long" for c in stats.COUNTS)
+    out = _scored(table, forest, ["doc_id", *stats.COUNTS, "base_failed"], f"doc_id long, {counts}, base_failed boolean")
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("anomaly") <= bound))

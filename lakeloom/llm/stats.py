@@ -88,17 +88,21 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def marked(stats: DataFrame, labels: DataFrame, label: str = "quality", keep=None) -> DataFrame:
+    """The statistics of all labelled documents with their label y; a document with several counts with the least. Null
+    labels and ids are left out."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
+    both = stats.join(marks, "doc_id")
+    return both if keep is None else both.filter(keep)
+
+
 def labelled(stats: DataFrame, labels: DataFrame, rows: int, label: str = "quality", keep=None) -> tuple[np.ndarray, np.ndarray]:
     """(ratios, labels) of at most `rows` labelled documents, those with the least hashes of their ids.
 
     They are counted first, and only hashes below a bound for a tenth more than `rows` go on, so what is sorted
-    and reaches the driver is bounded, too. A document with several labels counts with the least; null labels and
-    ids are left out. Rows that repeat an id are drawn together.
+    and reaches the driver is bounded, too. Rows that repeat an id are drawn together.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.min("y").alias("y"))
-    both = stats.join(marks, "doc_id")
-    if keep is not None:
-        both = both.filter(keep)
+    both = marked(stats, labels, label, keep)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     if (n := both.count()) > rows:
         both = both.filter(draw < F.lit(int(2**63 * min(1.0, (1.1 * rows + 100) / n)) - 1))

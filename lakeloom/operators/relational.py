@@ -117,7 +117,7 @@ def rollup(df: DataFrame, keys: list[str], aggs: dict[str, Column], labels: dict
     return out.select(*(F.when(F.col(f"_g_{k}") == 1, F.lit(labels[k])).otherwise(F.col(k).cast("string")).alias(k) for k in keys), *aggs)
 
 
-def quantiles(df: DataFrame, c: str, ranks: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, c: str, ranks: dict[str, float | Fraction]) -> DataFrame:
     """One row with the value at each of the named ranks, exactly: the least one that ceil(p * n) of the n values don't exceed, as
     percentile_disc has it. Nulls don't count; without values all are null.
 

@@ -294,6 +294,19 @@ def test_forest_and_bound_equal_plain_versions():
     assert np.mean(got[y == 1] > bound) <= 0.011 and (got[y == 0] > bound).sum() == max((got[y == 0] > b).sum() for b in allowed)
 
 
+def test_trees_are_drawn_and_the_bound_is_set_from_all_labelled_rows(spark):
+    rows = spark.range(30_000).select(F.col("id").alias("doc_id"), *(F.col("id").cast("double").alias(c) for c in anomaly.LOOKED_AT))
+    trees = anomaly.drawn(rows, 30_000, 40, 256)
+    assert [x.shape for x in trees] == [(256, len(anomaly.LOOKED_AT))] * 40 and all(len(set(x[:, 0])) == 256 for x in trees)
+    held = np.concatenate(trees)[:, 0]
+    assert len(set(held)) > 8_000 and abs(held.mean() - 15_000) < 400  # 10,240 draws of all rows, a row by several trees now and then
+    assert all(np.array_equal(a, b) for a, b in zip(trees, anomaly.drawn(rows.repartition(7), 30_000, 40, 256)))
+    assert {len(x) for x in anomaly.drawn(rows.limit(90), 90, 5, 256)} == {90}
+    score, y = np.random.default_rng(3).permutation(25_000) / 25_000, np.arange(25_000) % 10 > 0
+    bound = anomaly.bound_of(spark.createDataFrame([(float(a), int(b)) for a, b in zip(score, y)], "anomaly double, y int"), 0.003)
+    assert math.isclose(bound, anomaly.calibrate(score, y.astype(int), 0.003), rel_tol=1e-12)
+
+
 def test_rules_are_paths_and_the_lasso_is_at_its_optimum():
     """Every kept rule is a conjunction that holds for some rows; at the optimum no weight's gradient beats the penalty."""
     rng = np.random.default_rng(10)
