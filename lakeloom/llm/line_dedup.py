@@ -3,7 +3,7 @@
 A line's set are its distinct words, ordered by rarity. If two sets are similar enough, they share a
 word within their prefixes, so only prefixes are dealt, by word; sets so small that only equal ones are
 similar deal none. Within a word's lines, pairs must pass
-the length filter, the positional filter and a filter on marks of the sets, 64 or 256 bits by their
+the length filter, the positional filter and a filter on marks of the sets, 64, 128 or 256 bits by their
 size: every word turns one bit over, so marks differ in at most as many bits as sets in words. What is left is
 verified on the full sets. A line goes if an earlier line is similar: any earlier one of the input, by
 (doc_id, line number).
@@ -33,9 +33,11 @@ MIN_WORDS, EVERY = 4, 1
 SLOTS, RANGES = 1 << 20, 64
 #: Earlier lines by word that a line is verified with in the first and second round; those then open get all.
 FIRST_ROUND, SECOND_ROUND = 4, 256
-#: Sets of more words have marks of 256 bits.
-FEW = 64
+#: Sets of more words have marks of 128 bits, and of 256 bits.
+FEW, MANY = 64, 128
 BUCKET_BYTES = 8 << 20
+#: Bytes of text whose prefixes are dealt together: with one part's alone, cells grow in number with the square of the input.
+DEAL_BYTES = 8 << 20
 _NAME = np.uint64((1 << 40) - 1)
 
 
@@ -98,9 +100,13 @@ def line_sets(buf: np.ndarray, off: np.ndarray, count: np.ndarray, least: int) -
     return {k: x[keep] for k, x in zip(names, got)} | {"words": g}
 
 
+def _prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    return n - -(-percent * n // 100) + 1
+
+
 def _prefix(x: dict[str, np.ndarray], k: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(line, place, word hash) of every word in the prefixes of the lines k."""
-    size = x["n"][k] - -(-percent * x["n"][k] // 100) + 1
+    size = _prefix_size(x["n"][k], percent)
     who = np.repeat(k, size)
     pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     return who, pos, x["words"][x["first"][who] + pos]
@@ -122,42 +128,85 @@ def _unpacked(cell: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
 
 
+def _width(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the marks of sets of n words."""
+    return 1 + (n > FEW) + 2 * (n > MANY)
+
+
+def _marked(marks: np.ndarray, n: np.ndarray) -> bytes:
+    """Marks of 256 bits, folded to what sets of n words have."""
+    out, some, few = marks.copy(), n <= MANY, n <= FEW
+    out[some, :2] ^= out[some, 2:]
+    out[few, 0] ^= out[few, 1]
+    return out[np.arange(4) < _width(n)[:, None]].tobytes()
+
+
+def _marks(cell: bytes, n: np.ndarray) -> np.ndarray:
+    """The marks that `_marked` packed, with 0 for what is not there: folding them further gives those of smaller sets."""
+    out = np.zeros((len(n), 4), np.uint64)
+    out[np.arange(4) < _width(n)[:, None]] = np.frombuffer(cell, np.uint64)
+    return out
+
+
 def prefixes(docs: DataFrame, count: np.ndarray, percent: int, least: int, buckets: int, only: np.ndarray | None = None) -> DataFrame:
-    """(bucket, ids, cell, big): lines' prefixes by the bucket of their words, big for the longer marks; where big is null,
+    """(bucket, ids, cell, marks): lines' prefixes by the bucket of their words; where marks is null,
     cell has all lines of some documents (document, number, set). only: sorted names of the words that are asked about; lines are not told then."""
     known = docs.sparkSession.sparkContext.broadcast((count, only))
     small = np.uint16 if buckets < 1 << 16 else np.int64
+    low = np.uint64((1 << 32) - 1)
+    schema = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("cell", pa.binary()), ("marks", pa.binary())])
+
+    def ask(x, ids):
+        """Of a part's lines, one for each set, and the words of their prefixes."""
+        k = _earliest(x["set"], ids[x["doc"]], x["number"])
+        k = np.sort(k[100 * x["n"][k] >= percent * (x["n"][k] + 1)])  # smaller sets are similar to equal ones only, which need no prefix
+        _, pos, word = _prefix(x, k, percent)
+        return {"id": ids[x["doc"][k]]} | {c: x[c][k] for c in ("number", "set", "n", "marks")}, pos, word
+
+    def deal(held, only):
+        line = {c: np.concatenate([x[0][c] for x in held]) for c in held[0][0]}
+        pos, word = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        first = np.zeros(len(line["n"]), bool)
+        first[_earliest(line["set"], line["id"], line["number"])] = True
+        who = np.repeat(np.arange(len(first)), _prefix_size(line["n"], percent))
+        take = first[who] if only is None else first[who] & np.isin(_name(word), only)
+        who, pos, word = who[take], pos[take], word[take]
+        where = (word % np.uint64(buckets)).astype(small)
+        order = np.argsort(where, kind="stable")
+        own, edge = np.unique(where[order], return_index=True)
+        for b, lo, hi in zip(own.tolist(), edge, np.append(edge[1:], len(order))):
+            i = order[lo:hi]
+            w = who[i]
+            here, doc = np.unique(line["id"][w], return_inverse=True)
+            yield b, _packed(here), _squeeze(doc, line["number"][w], line["set"][w] >> np.uint64(32), line["set"][w] & low, _name(word[i]), pos[i], line["n"][w]), _marked(line["marks"][w], line["n"][w])
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, schema.types)], schema.names)
 
     @textkit.released
     def run(batches):
         count, only = known.value
+        held, bytes_held = [], 0
         for batch, buf, off in textkit.parts(batches):
             x = line_sets(buf, off, count, least)
             ids = batch.column(0).to_numpy().astype("<i8")
-            low = np.uint64((1 << 32) - 1)
-            folded = np.bitwise_xor.reduce(x["marks"], axis=1)
-            rows = []
             if only is None:
-                rows.append((int(len(buf) + off[len(off) // 2]) % buckets, _packed(ids), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None))
-            # equal sets of this part: the earliest stands for all
-            order = np.lexsort((x["number"], ids[x["doc"]], x["set"]))
-            k = order[np.flatnonzero(np.diff(x["set"][order], prepend=x["set"][order[:1]] ^ np.uint64(1)))] if len(order) else order
-            k = k[100 * x["n"][k] >= percent * (x["n"][k] + 1)]  # smaller sets are similar to equal ones only, which need no prefix
-            who, pos, word = _prefix(x, k, percent)
-            if only is not None:
-                asked = np.isin(_name(word), only)
-                who, pos, word = who[asked], pos[asked], word[asked]
-            where = (word % np.uint64(buckets)).astype(small)
-            order = np.argsort(where, kind="stable")
-            own, edge = np.unique(where[order], return_index=True)
-            for b, lo, hi in zip(own.tolist(), edge, np.append(edge[1:], len(order))):
-                i = order[lo:hi]
-                w = who[i]
-                here, doc = np.unique(x["doc"][w], return_inverse=True)
-                rows.append((b, _packed(ids[here]), _squeeze(doc, x["number"][w], x["set"][w] >> np.uint64(32), x["set"][w] & low, _name(word[i]), pos[i], x["n"][w], folded[w] >> np.uint64(32), folded[w] & low), x["marks"][w[x["n"][w] > FEW]].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "cell", "big"])
+                yield batch_of([(int(len(buf) + off[len(off) // 2]) % buckets, _packed(ids), _squeeze(x["doc"], x["number"], x["set"] >> np.uint64(32), x["set"] & low), None)])
+            held.append(ask(x, ids))
+            bytes_held += len(buf)
+            if bytes_held >= DEAL_BYTES:
+                yield batch_of(list(deal(held, only)))
+                held, bytes_held = [], 0
+        if held:
+            yield batch_of(list(deal(held, only)))
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, marks binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket long, ids binary, cell binary, big binary")
+def _earliest(sets: np.ndarray, ids: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Places of the earliest line of every set."""
+    order = np.lexsort((number, ids, sets))
+    return order[np.flatnonzero(np.diff(sets[order], prepend=sets[order[:1]] ^ np.uint64(1)))] if len(order) else order
 
 
 def prefix_names(docs: DataFrame, wanted: DataFrame, count: np.ndarray, percent: int, least: int) -> DataFrame:
@@ -260,17 +309,15 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
     def run(table):
         cols, owners, wide = [], [], []
         lines: list[list[np.ndarray]] = [[], [], []]
-        for ids, cell, big in zip(*(table.column(c).to_pylist() for c in ("ids", "cell", "big"))):
+        for ids, cell, marks in zip(*(table.column(c).to_pylist() for c in ("ids", "cell", "marks"))):
             ids = _unpacked(ids)
-            if big is None:
+            if marks is None:
                 doc, number, high, low = _spread(cell, 4)
                 for out, x in zip(lines, (_sets(high, low), ids[doc], number)):
                     out.append(x)
                 continue
-            x = _spread(cell, 9)
-            w = np.zeros((len(x[0]), 4), np.uint64)
-            w[x[6] > FEW] = np.frombuffer(big, np.uint64).reshape(-1, 4)
-            cols.append(x), owners.append(ids[x[0]]), wide.append(w)
+            x = _spread(cell, 7)
+            cols.append(x), owners.append(ids[x[0]]), wide.append(_marks(marks, x[6]))
         pairs = paired(cols, owners, wide) if cols else {c: np.zeros(0, np.int64) for c in PAIR}
         if not lines[0] or only is not None:
             return pa.table(pairs).cast(ARROW)
@@ -280,9 +327,8 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         return pa.concat_tables([pa.table(pairs).cast(ARROW), found.cast(ARROW)])
 
     def paired(cols, owners, wide):
-        _, number, high, low, word, pos, n, mh, ml = (np.concatenate(x) for x in zip(*cols))
+        _, number, high, low, word, pos, n = (np.concatenate(x) for x in zip(*cols))
         owner, sets = np.concatenate(owners), _sets(high, low)
-        marks = (mh.astype(np.uint64) << np.uint64(32)) | ml.astype(np.uint64)
         # words that one line has are of no use; most are such
         order = np.argsort(word)
         alone = np.ones(len(order), bool)
@@ -290,7 +336,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         alone[1:] &= ~same
         alone[:-1] &= ~same
         keep = np.sort(order[~alone])
-        number, word, pos, n, marks, owner, sets = (x[keep] for x in (number, word, pos, n, marks, owner, sets))
+        number, word, pos, n, owner, sets = (x[keep] for x in (number, word, pos, n, owner, sets))
         wide = np.concatenate(wide)[keep]
         order = np.lexsort((number, owner, sets, word))
         new = np.ones(len(order), bool)
@@ -304,7 +350,9 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         rank = np.arange(len(order))  # by word, and there from the earliest line
         by = np.lexsort((rank, pos[order], n[order], word[order]))
         order, rank = order[by], rank[by]
-        w, n, pos, marks, wide, sets, owner, number = (x[order] for x in (word, n, pos, marks, wide, sets, owner, number))
+        w, n, pos, wide, sets, owner, number = (x[order] for x in (word, n, pos, wide, sets, owner, number))
+        half = wide[:, :2] ^ wide[:, 2:]
+        marks = half[:, 0] ^ half[:, 1]
         hits, got = np.zeros(len(w), np.int64), []
         place = places(w, n, pos, rank)
         base = np.minimum.reduceat(rank, edge := np.flatnonzero(np.diff(w, prepend=-1))) if len(w) else rank
@@ -323,8 +371,9 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
                     total = n[x] + n[y]
                     room = total - 2 * -(-percent * total // (100 + percent))  # what is in one set alone
                     ok = np.bitwise_count(marks[x] ^ marks[y]) <= room
-                    far = np.flatnonzero(ok & (n[x] > FEW) & (n[y] > FEW))
-                    ok[far] = np.bitwise_count(wide[x[far]] ^ wide[y[far]]).sum(1, dtype=np.int64) <= room[far]
+                    for least_n, longer in ((FEW, half), (MANY, wide)):
+                        far = np.flatnonzero(ok & (n[x] > least_n) & (n[y] > least_n))
+                        ok[far] = np.bitwise_count(longer[x[far]] ^ longer[y[far]]).sum(1, dtype=np.int64) <= room[far]
                     x, y = x[ok], y[ok]
                     by = np.lexsort((rank[y], x))
                     x, y = x[by], y[by]
@@ -387,7 +436,9 @@ def later_lines(docs: DataFrame, percent: int = PERCENT, least: int = MIN_WORDS,
     gone = lines.join(store.side(firsts), "line").filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
     hit, found = verify(docs, pairs.filter(F.col("turn") <= FIRST_ROUND), percent, least)
     gone = gone.union(found)
-    pairs = store.cut(pairs.join(hit, "a", "left_anti"))  # of the lines that are open still
+    # lines that are open still are few, unlike pairs, which stay where they are
+    pairs = pairs.filter((F.col("turn") > FIRST_ROUND) | F.col("more"))
+    pairs = store.cut(store.semi(pairs, store.cut(pairs.select("a").distinct().join(hit, "a", "left_anti")), "a"))
     if not (asking := pairs.filter(F.col("turn") > FIRST_ROUND)).isEmpty():
         hit, found = verify(docs, asking, percent, least)
         gone = gone.union(found)

@@ -139,6 +139,23 @@ def test_templated_lines_stay_and_their_copies_go(frame):
     assert {r["doc_id"]: r["n_removed"] for r in rows} == {i: 0 for i in range(40)} | {90: 2}
 
 
+def test_prefixes_of_many_parts_share_a_cell(frame):
+    """A cell for each bucket and part of 1 MB would make cells grow with the square of the input."""
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(100_000))) for i in range(4)]
+    dealt = line_dedup.prefixes(frame(docs, 1).select("doc_id", "text"), np.zeros(line_dedup.SLOTS, np.uint32), 80, 1, 1)
+    assert [r["n"] for r in dealt.groupBy(dealt.marks.isNull().alias("lines")).agg(F.count("*").alias("n")).orderBy("lines").collect()] == [1, 4]
+
+
+def test_marks_come_back_folded():
+    rng = np.random.default_rng(3)
+    n, marks = np.array([1, 64, 65, 128, 129, 400]), rng.integers(0, 2**63, (6, 4)).astype(np.uint64)
+    cell = line_dedup._marked(marks, n)
+    back = line_dedup._marks(cell, n)
+    assert len(cell) == 8 * (1 + 1 + 2 + 2 + 4 + 4) and (back[4:] == marks[4:]).all()
+    assert (back[2:, :2] ^ back[2:, 2:] == marks[2:, :2] ^ marks[2:, 2:]).all()
+    assert (np.bitwise_xor.reduce(back, axis=1) == np.bitwise_xor.reduce(marks, axis=1)).all()
+
+
 def test_line_dedup_of_nothing_and_of_repeated_rows(spark, frame):
     assert line_dedup.deduplicate(empty(spark)).count() == 0
     out = line_dedup.deduplicate(frame([(1, "a b c d\na b c d"), (1, "a b c d\na b c d"), (None, "a b c d")]))
