@@ -244,7 +244,9 @@ ARROW = pa.schema([(c, pa.bool_() if c == "more" else pa.int64()) for c in PAIR]
 
 
 #: Pairs that are looked at together, and lines of a word that are looked at first.
-PAIRS, WINDOW = 1 << 20, 512
+PAIRS, WINDOW = 1 << 17, 512
+#: Lines that are paired together, and pairs that leave a task together: in a family of near lines each has SECOND_ROUND pairs a word.
+TOGETHER, LEAVING = 1 << 11, 1 << 17
 
 
 def places(word: np.ndarray, n: np.ndarray, pos: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -298,6 +300,15 @@ def _chunks(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges, edges[1:])
 
 
+def _together(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], lines: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same (a, lo, hi) of so many lines a at a time, at most, each whole."""
+    for a, lo, hi in found:
+        part = np.cumsum(np.diff(a, prepend=a[:1]) != 0) // lines
+        edges = [0, *np.flatnonzero(np.diff(part, prepend=0)).tolist(), len(a)]
+        for i, j in zip(edges, edges[1:]):
+            yield a[i:j], lo[i:j], hi[i:j]
+
+
 def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | None) -> DataFrame:
     """(a, b, na, nb, a_doc, a_pos, b_doc, b_pos, turn, more): pairs of sets, b the earlier, that pass the filters; and, with
     b null, every line (a_doc, a_pos) with its set a.
@@ -305,30 +316,27 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
     A set a gets its `most` earliest candidates of every word, numbered by turn; more: it had others. only: the sets that are asked about, all if None.
     """
 
-    @textkit.released
-    def run(table):
-        cols, owners, wide = [], [], []
-        lines: list[list[np.ndarray]] = [[], [], []]
-        for ids, cell, marks in zip(*(table.column(c).to_pylist() for c in ("ids", "cell", "marks"))):
-            ids = _unpacked(ids)
-            if marks is None:
-                doc, number, high, low = _spread(cell, 4)
-                for out, x in zip(lines, (_sets(high, low), ids[doc], number)):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cols: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for batch in batches:
+            for ids, cell, marks in zip(*(batch.column(c) for c in ("ids", "cell", "marks"))):
+                ids, cell, marks = _unpacked(ids.as_py()), cell.as_py(), marks.as_py()
+                if marks is None:
+                    doc, number, high, low = _spread(cell, 4)
+                    none = pa.nulls(len(doc), pa.int64())
+                    if only is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(_sets(high, low)), none, none, none, pa.array(ids[doc]), pa.array(number), none, none, none, pa.nulls(len(doc), pa.bool_())], schema=ARROW)
+                    continue
+                doc, number, high, low, word, pos, n = _spread(cell, 7)
+                for out, x in zip(cols, (number, word, pos, n, ids[doc], _sets(high, low), _marks(marks, n))):
                     out.append(x)
-                continue
-            x = _spread(cell, 7)
-            cols.append(x), owners.append(ids[x[0]]), wide.append(_marks(marks, x[6]))
-        pairs = paired(cols, owners, wide) if cols else {c: np.zeros(0, np.int64) for c in PAIR}
-        if not lines[0] or only is not None:
-            return pa.table(pairs).cast(ARROW)
-        sets, docs, numbers = (np.concatenate(x) for x in lines)
-        none = pa.nulls(len(sets), pa.int64())
-        found = pa.table({"a": sets, "b": none, "na": none, "nb": none, "a_doc": docs, "a_pos": numbers, "b_doc": none, "b_pos": none, "turn": none, "more": pa.nulls(len(sets), pa.bool_())})
-        return pa.concat_tables([pa.table(pairs).cast(ARROW), found.cast(ARROW)])
-
-    def paired(cols, owners, wide):
-        _, number, high, low, word, pos, n = (np.concatenate(x) for x in zip(*cols))
-        owner, sets = np.concatenate(owners), _sets(high, low)
+        if cols[0]:
+            yield from paired(cols)
+        textkit.release()
+
+    def paired(cols):
+        number, word, pos, n, owner, sets, wide = (np.concatenate(x) for x in cols)
+        cols.clear()
         # words that one line has are of no use; most are such
         order = np.argsort(word)
         alone = np.ones(len(order), bool)
@@ -336,8 +344,7 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         alone[1:] &= ~same
         alone[:-1] &= ~same
         keep = np.sort(order[~alone])
-        number, word, pos, n, owner, sets = (x[keep] for x in (number, word, pos, n, owner, sets))
-        wide = np.concatenate(wide)[keep]
+        number, word, pos, n, owner, sets, wide = (x[keep] for x in (number, word, pos, n, owner, sets, wide))
         order = np.lexsort((number, owner, sets, word))
         new = np.ones(len(order), bool)
         new[1:] = np.diff(word[order]).astype(bool) | np.diff(sets[order]).astype(bool)
@@ -353,11 +360,22 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
         w, n, pos, wide, sets, owner, number = (x[order] for x in (word, n, pos, wide, sets, owner, number))
         half = wide[:, :2] ^ wide[:, 2:]
         marks = half[:, 0] ^ half[:, 1]
-        hits, got = np.zeros(len(w), np.int64), []
+        hits, got, held = np.zeros(len(w), np.int64), [], 0
         place = places(w, n, pos, rank)
         base = np.minimum.reduceat(rank, edge := np.flatnonzero(np.diff(w, prepend=-1))) if len(w) else rank
         base = np.repeat(base, np.diff(np.append(edge, len(w)))) if len(w) else rank
-        for a, at, end in partners(w, n, pos, rank, place, percent):
+        def leave():
+            a, b, turn = (np.concatenate(z) for z in zip(*got))
+            more = hits[a] > most
+            order = np.lexsort((turn, ~more, sets[b], sets[a]))  # a pair that several words show counts once
+            a, b, turn, more = a[order], b[order], turn[order], more[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (sets[a][1:] != sets[a][:-1]) | (sets[b][1:] != sets[b][:-1])
+            a, b, turn, more = a[new], b[new], turn[new], more[new]
+            columns = sets[a], sets[b], n[a], n[b], owner[a], number[a], owner[b], number[b], turn.astype(np.int64), more
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=ARROW)
+
+        for a, at, end in _together(partners(w, n, pos, rank, place, percent), TOGETHER):
             if only is not None:
                 asked = np.isin(sets[a], only)
                 a, at, end = a[asked], at[asked], end[asked]
@@ -381,17 +399,15 @@ def candidates(dealt: DataFrame, percent: int, most: int, only: np.ndarray | Non
                     turn = np.arange(len(x)) - np.repeat(first, count) + hits[x] + 1
                     hits[own] += count
                     full = turn <= most
-                    got.append((x[full], y[full], turn[full]))
+                    got.append(tuple(z[full].astype(np.int32) for z in (x, y, turn)))
+                    held += int(np.count_nonzero(full))
                 go = (stop < end) & (hits[a] <= most)
                 a, at, end, reach = a[go], stop[go], end[go], 2 * reach
-        a, b, turn = (np.concatenate(z) for z in zip(*got)) if got else (np.zeros(0, np.int64),) * 3
-        more = hits[a] > most
-        order = np.lexsort((turn, ~more, sets[b], sets[a]))  # a pair that several words show counts once
-        a, b, turn, more = a[order], b[order], turn[order], more[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (sets[a][1:] != sets[a][:-1]) | (sets[b][1:] != sets[b][:-1])
-        a, b, turn, more = a[new], b[new], turn[new], more[new]
-        return dict(zip(PAIR, (sets[a], sets[b], n[a], n[b], owner[a], number[a], owner[b], number[b], turn, more)))
+            if held >= LEAVING:
+                yield leave()
+                got, held = [], 0
+        if got:
+            yield leave()
 
     return dealt.groupBy("bucket").applyInArrow(run, ", ".join(f"{c} {'boolean' if c == 'more' else 'long'}" for c in PAIR))
 

@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_I
     @textkit.released
     def run(batches):
         encode, serial = WordTokens(path), 0
-        for batch, buf, off in textkit.parts(batches):
+        for batch, buf, off in textkit.parts(batches, limit=textkit.PART_BYTES // 2):
             ids, count = encode(buf, off)
             name, rows, lo = batch.column(0).to_pylist(), [], 0
             for x, n in zip(name, count.tolist()):

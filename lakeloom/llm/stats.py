@@ -80,7 +80,7 @@ def with_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     @textkit.released
     def run(batches):
-        for batch, buf, off in textkit.parts(batches):
+        for batch, buf, off in textkit.parts(batches, limit=textkit.PART_BYTES // 2):
             x = text_stats(buf, off)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x[c].astype(np.int64)) for c in COUNTS), *(pa.array(x[c].astype(np.float64)) for c in RATIOS)], ["doc_id", *COUNTS, *RATIOS])
 

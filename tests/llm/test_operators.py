@@ -156,6 +156,21 @@ def test_marks_come_back_folded():
     assert (np.bitwise_xor.reduce(back, axis=1) == np.bitwise_xor.reduce(marks, axis=1)).all()
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_line_dedup_in_small_pieces_equals_brute_force(frame, corpus, size, monkeypatch):
+    """A family of near lines is paired and leaves its task piece by piece, whatever its size; no line's pairs are torn apart."""
+    rng = np.random.default_rng(5)
+    a = np.repeat(np.arange(20), rng.integers(1, 5, 20))
+    pieces = list(line_dedup._together(iter([(a, a, a)]), size))
+    assert np.concatenate([p[0] for p in pieces]).tolist() == a.tolist()
+    assert all(len(set(p[0])) <= size for p in pieces) and sum(len(set(p[0])) for p in pieces) == 20
+    monkeypatch.setattr(line_dedup, "TOGETHER", size)
+    monkeypatch.setattr(line_dedup, "LEAVING", size)
+    want = brute.later_lines(corpus)
+    rows = line_dedup.deduplicate(frame(corpus), bucket_bytes=1 << 12).collect()
+    assert {r["doc_id"]: r["removed_lines"] for r in rows} == {i: want[i] for i, _ in corpus}
+
+
 def test_line_dedup_of_nothing_and_of_repeated_rows(spark, frame):
     assert line_dedup.deduplicate(empty(spark)).count() == 0
     out = line_dedup.deduplicate(frame([(1, "a b c d\na b c d"), (1, "a b c d\na b c d"), (None, "a b c d")]))
