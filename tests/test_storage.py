@@ -175,6 +175,65 @@ def test_small_files_are_packed_by_partition(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["p=__HIVE_DEFAULT_PARTITION__", "p=a b"]
 
 
+@pytest.mark.parametrize("most", [1, 5, 8])
+def test_small_files_beyond_a_round_are_packed_by_the_next(spark, tmp_path, monkeypatch, most):
+    path = f"{tmp_path}/t"
+    small_table(spark, path)
+    want = rows_of(spark.read.parquet(path), "id", "p")
+    monkeypatch.setattr(layout, "MAX_FILES", most)
+    assert layout.compact_small(spark, path, 64 << 10) == 2
+    assert layout.file_sizes(spark, path).count() == 3 and rows_of(spark.read.parquet(path), "id", "p") == want
+    assert layout.compact_small(spark, path, 64 << 10) == 0
+
+
+def test_rounds_take_whole_bins(spark):
+    rng = random.Random(3)
+    files_of = {("d%d" % (k % 4), k): rng.randint(2, 9) for k in range(60)}
+    plan = [(f"f{k}_{i}", folder, 1, k) for (folder, k), n in files_of.items() for i in range(n)]
+    got = layout.in_rounds(spark.createDataFrame(plan, "file string, folder string, bytes long, bin long"), 20).collect()
+    assert sorted(r["file"] for r in got) == sorted(f for f, *_ in plan)
+    rounds = {}
+    for r in got:
+        rounds.setdefault(r["round"], {}).setdefault(r["slot"], []).append(r["file"])
+    assert len(rounds) > 10 and all(sorted(slots) == list(range(len(slots))) for slots in rounds.values())
+    assert all(sum(map(len, slots.values())) < 20 + 9 for slots in rounds.values())
+    bins = [sorted(x) for slots in rounds.values() for x in slots.values()]
+    assert sorted(bins) == sorted(sorted(f"f{k}_{i}" for i in range(n)) for (_, k), n in files_of.items())
+
+
+def test_a_compaction_that_was_broken_off_in_a_later_round_is_ended(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    small_table(spark, path)
+    want, real, lists = rows_of(spark.read.parquet(path), "id", "p"), layout.move, []
+
+    def breaks(session, old, new):
+        lists.extend([new] * new.endswith(layout.OLD))
+        if len(lists) == 2:
+            raise OSError("ended")
+        real(session, old, new)
+
+    monkeypatch.setattr(layout, "MAX_FILES", 5)
+    monkeypatch.setattr(layout, "move", breaks)
+    with pytest.raises(OSError):
+        layout.compact_small(spark, path, 64 << 10)
+    assert rows_of(spark.read.parquet(path), "id", "p") == want and layout.file_sizes(spark, path).count() == 9
+    monkeypatch.setattr(layout, "move", real)
+    assert layout.compact_small(spark, path, 64 << 10) == 1
+    assert rows_of(spark.read.parquet(path), "id", "p") == want and layout.file_sizes(spark, path).count() == 3
+
+
+def test_a_round_keeps_the_names_of_folders_and_all_columns(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    for p in ("01", "01", "1.50", "1.50"):
+        files.append(spark.range(10).selectExpr("id", f"'{p}' AS p").repartition(1), path, ["p"])
+    files.append(spark.range(10).selectExpr("id", "id * 2 AS v", "'01' AS p").repartition(1), path, ["p"])
+    files.append(spark.range(50_000).selectExpr("id", "'a' AS p").repartition(1), path, ["p"])
+    table = lambda: spark.read.option("mergeSchema", True).parquet(path)
+    want = rows_of(table(), "id", "v", "p")
+    assert layout.compact_small(spark, path, 64 << 10) == 2
+    assert rows_of(table(), "id", "v", "p") == want and {r["p"] for r in table().select("p").distinct().collect()} == {"01", "1.50", "a"}
+
+
 @pytest.mark.parametrize("ends_at", ["list", "swap"])
 def test_a_compaction_that_was_broken_off_is_ended(spark, tmp_path, monkeypatch, ends_at):
     path = f"{tmp_path}/t"
